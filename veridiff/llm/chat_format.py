@@ -50,6 +50,7 @@ def format_turns(conversations: DataFrame, model: str) -> DataFrame:
     """One row of TURN per turn, ids as 16-bit and mask as 8-bit arrays; a conversation's rows are together and in order."""
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     spark = conversations.sparkSession
+    C.small_batches(spark)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model, 0.0, 0, 1)
@@ -57,15 +58,16 @@ def format_turns(conversations: DataFrame, model: str) -> DataFrame:
             raise ValueError("ids need 16 bits at most")
         for batch in batches:
             ids, mask = [], []
-            for role, text in zip(batch["role"], batch["text"]):
-                parts = [np.array([BOS], np.int32), c.encode(HEAD + escape(role) + TAIL), c.encode(escape(text)), np.array([EOS], np.int32)]
+            heads = {r: c.encode(HEAD + escape(r) + TAIL) for r in set(batch["role"])}
+            texts = [x for s in range(0, len(batch), 500) for x in c.encode_all([escape(t) for t in batch["text"].iloc[s : s + 500]], [0] * len(batch["text"].iloc[s : s + 500]))]
+            for role, text in zip(batch["role"], texts):
+                parts = [np.array([BOS], np.int32), heads[role], text, np.array([EOS], np.int32)]
                 ends = np.cumsum([len(p) for p in parts])
                 m = np.zeros(ends[-1], np.uint8)
                 if role == "assistant":
                     m[ends[1] : ends[2]] = 1
                 ids.append(np.concatenate(parts).astype("<u2").tobytes())
                 mask.append(np.packbits(m).tobytes())
-            c.trim()
             yield pd.DataFrame({"conv_id": batch["conv_id"].astype("Int64"), "turn": batch["turn"].astype("Int64"), "role": batch["role"], "text": batch["text"], "ids": ids, "mask": mask})
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLANK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 20240229, 8
+DROPOUT, SEED, VARIANTS = 0.1, 20240229, 2
+_NEVER = np.int64(1) << np.int64(40)
 
 
 def default_model() -> str:
@@ -75,6 +76,101 @@ class Codec:
         self.keep_above = int(dropout * 2**32)
         self.seed, self.variants = seed, max(1, variants if dropout else 1)
         self._known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
+        keys = np.array([a << 32 | b for a, b in self._merges], np.int64)
+        by = np.argsort(keys)
+        self._pair = keys[by]
+        self._order_of, self._merged_of = np.array(list(self._merges.values()), np.int64)[by].T
+        self._code = np.full(0x110000, -1, np.int64)
+        for c, i in self._symbol.items():
+            self._code[ord(c)] = i
+
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order (or ``_NEVER``) and merged id of pairs of ids."""
+        key = a << 32 | b
+        at = np.minimum(np.searchsorted(self._pair, key), len(self._pair) - 1)
+        ok = (self._pair[at] == key) & (a >= 0) & (b >= 0)
+        return np.where(ok, self._order_of[at], _NEVER), self._merged_of[at]
+
+    def encode_many(self, chunks: list[str], variants: list[int]) -> list[bytes]:
+        """:meth:`encode_chunk` of many chunks at once: each step takes the best entry of every chunk's agenda."""
+        out: list[bytes] = [b""] * len(chunks)
+        lens = np.array([len(c) for c in chunks])
+        order = np.argsort(lens, kind="stable")
+        for s in range(0, len(order), 8192):
+            rows = order[s : s + 8192]
+            n, width = lens[rows], int(lens[rows[-1]])
+            flat = np.frombuffer("".join([chunks[k] for k in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            sym = np.full((len(rows), width + 1), -3, np.int64)  # -1: bytes, -3: beyond the end
+            inside = np.arange(width)[None, :] < n[:, None]
+            code = np.full((len(rows), width), -3, np.int64)
+            code[inside] = self._code[flat]
+            raw = np.zeros((len(rows), width), np.uint32)
+            raw[inside] = flat
+            sym[:, :width] = code
+            drop = None
+            if self.keep_above:
+                drop = np.fromiter((xxhash.xxh64_intdigest(f"{variants[k]}/{chunks[k]}", self.seed) for k in rows.tolist()), C.U64, len(rows))
+            final, place = self._agenda(sym, drop)
+            left = final != -3
+            ends = np.cumsum(left.sum(axis=1)).tolist()
+            body = final[left].astype(np.int32).tobytes()
+            start = 0
+            for k, end in zip(rows.tolist(), ends):
+                out[k] = body[4 * start : 4 * end]
+                start = end
+            for r in np.flatnonzero((final == -1).any(axis=1)).tolist():  # characters without a piece
+                got: list[int] = []
+                for x, at in zip(final[r][left[r]].tolist(), place[r][left[r]].tolist()):
+                    got += [self.byte_ids[b] for b in chr(raw[r, at]).encode()] if x == -1 else [x]
+                out[int(rows[r])] = np.array(got, np.int32).tobytes()
+        return out
+
+    def _agenda(self, sym: np.ndarray, key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        """Run the agendas of all rows; the symbols left in each row (then -3) and their first characters' places."""
+        width = sym.shape[1]
+        done, where = np.empty_like(sym), np.empty_like(sym)
+        rows = np.arange(len(sym))
+        place = np.broadcast_to(np.arange(width), sym.shape).copy()
+        rank, merged = self._lookup(sym[:, :-1], sym[:, 1:])
+        cols = np.arange(width)
+        while True:
+            at = rank.argmin(axis=1)
+            r = np.arange(len(rows))
+            best = rank[r, at]
+            over = best == _NEVER
+            if over.any():
+                done[rows[over]], where[rows[over]] = sym[over], place[over]
+                live = ~over
+                if not live.any():
+                    return done, where
+                rows, sym, place, rank, merged, at, best = rows[live], sym[live], place[live], rank[live], merged[live], at[live], best[live]
+                key = key[live] if key is not None else None
+                r = np.arange(len(rows))
+            if key is not None:
+                entry = best.astype(C.U64) << C.U64(32) | place[r, at].astype(C.U64)
+                skip = (((entry * C.U64(0x9E3779B97F4A7C15) ^ key) * C.U64(0xD6E8FEB86659FD93)) >> C.U64(24)) & C.U64(0xFFFFFFFF) < C.U64(self.keep_above)
+                rank[r[skip], at[skip]] = _NEVER
+                go = ~skip
+                if not go.any():
+                    continue
+            else:
+                go = np.ones(len(rows), np.bool_)
+            w, a = r[go], at[go]
+            # the right neighbour leaves: columns behind it move up
+            source = np.minimum(cols[None, :] + (cols[None, :] > a[:, None]), width - 1)
+            new = merged[w, a]
+            sym[w] = np.where(cols[None, :] + (cols[None, :] > a[:, None]) < width, np.take_along_axis(sym[w], source, 1), -3)
+            place[w] = np.take_along_axis(place[w], source, 1)
+            sym[w, a] = new
+            narrow = np.minimum(source[:, :-1], width - 2)
+            rank[w] = np.where(source[:, :-1] < width - 1, np.take_along_axis(rank[w], narrow, 1), _NEVER)
+            merged[w] = np.take_along_axis(merged[w], narrow, 1)
+            right = np.minimum(a, width - 2)
+            rank[w, right], merged[w, right] = self._lookup(sym[w, right], sym[w, right + 1])
+            has = a > 0
+            if has.any():
+                u, left = w[has], a[has] - 1
+                rank[u, left], merged[u, left] = self._lookup(sym[u, left], sym[u, left + 1])
 
     def encode_chunk(self, chunk: str, variant: int = 0) -> list[int]:
         """Ids of one chunk (its blanks still plain), by the agenda."""
@@ -124,30 +220,43 @@ class Codec:
                 out += [self.byte_ids[b] for b in c.encode()]
         return out
 
-    def _of(self, chunk: str, variant: int) -> bytes:
-        known = self._known[variant]
-        got = known.get(chunk)
-        if got is None:
-            got = np.array(self.encode_chunk(chunk, variant), np.int32).tobytes()
-            if len(chunk) < 48:
-                known[chunk] = got
-        return got
-
-    def trim(self, most: int = 900_000) -> None:
+    def trim(self, most: int = 500_000) -> None:
         if sum(map(len, self._known)) > most:
             for k in self._known:
                 k.clear()
 
+    def encode_all(self, texts: list[str], doc_ids: list[int]) -> list[np.ndarray]:
+        """Ids of each text; new chunks of all texts run their agendas together."""
+        cut, which = [], []
+        new: set[tuple[int, str]] = set()
+        for text, doc in zip(texts, doc_ids):
+            chunks = self._chunk.findall(" " + text) if text else []
+            cut.append(chunks)
+            if self.variants == 1:
+                v = [0] * len(chunks)
+            else:
+                key = C.U64(xxhash.xxh64_intdigest(f"{self.seed}:{doc}"))
+                v = (C.mix(np.arange(len(chunks), dtype=C.U64) * C.U64(0x9E3779B97F4A7C15) ^ key) % C.U64(self.variants)).tolist()
+            which.append(v)
+            known = self._known
+            new.update((k, c) for k, c in zip(v, chunks) if c not in known[k])
+        todo = list(new)
+        long = {}
+        short = [(v, c) for v, c in todo if len(c) < 48]
+        for (v, c), ids in zip(short, self.encode_many([c for _, c in short], [v for v, _ in short])):
+            self._known[v][c] = ids
+        for v, c in todo:
+            if len(c) >= 48:  # kept for these texts only
+                long[v, c] = self._known[v][c] = np.array(self.encode_chunk(c, v), np.int32).tobytes()
+        known = self._known
+        out = [np.frombuffer(b"".join([known[k][c] for k, c in zip(v, chunks)]), np.int32) for v, chunks in zip(which, cut)]
+        for v, c in long:
+            del known[v][c]
+        self.trim()
+        return out
+
     def encode(self, text: str, doc_id: int = 0) -> np.ndarray:
-        if not text:
-            return np.zeros(0, np.int32)
-        chunks = self._chunk.findall(" " + text)
-        if self.variants == 1:
-            which = [0] * len(chunks)
-        else:
-            key = C.U64(xxhash.xxh64_intdigest(f"{self.seed}:{doc_id}"))
-            which = (C.mix(np.arange(len(chunks), dtype=C.U64) * C.U64(0x9E3779B97F4A7C15) ^ key) % C.U64(self.variants)).tolist()
-        return np.frombuffer(b"".join(map(self._of, chunks, which)), np.int32)
+        return self.encode_all([text], [doc_id])[0]
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist()))
@@ -165,13 +274,14 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SE
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = codec(model, dropout, seed, variants)
         for batch in batches:
-            for s in range(0, len(batch), 200):
-                part = batch.iloc[s : s + 200]
+            for s in range(0, len(batch), 1000):
+                part = batch.iloc[s : s + 1000]
                 key = [None if pd.isna(i) else int(i) for i in part["doc_id"]]
-                ids = [c.encode(t, -1 if i is None else i) if isinstance(t, str) else None for i, t in zip(key, part["text"])]
+                found = c.encode_all([t if isinstance(t, str) else "" for t in part["text"]], [-1 if i is None else i for i in key])
+                ids = [x if isinstance(t, str) else None for x, t in zip(found, part["text"])]
                 yield pd.DataFrame({"doc_id": pd.array(key, "Int64"), "ids": ids})
-            c.trim()
 
+    C.small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>")
 
 
