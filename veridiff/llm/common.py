@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 BLOCK_CHARS = 12_000_000
-BLOCK_SCHEMA = "block long, n_words long, doc_ids binary, nulls binary, lens binary, body binary"
+BLOCK_SCHEMA = "block long, n_words long, doc_ids binary, nulls binary, tags binary, lens binary, body binary"
 REQUEST_SCHEMA = "bucket int, block long, kind int, keys binary, vals binary"
 REPLY_SCHEMA = "block long, kind int, bucket int, body binary"
 
@@ -39,6 +39,13 @@ def shared_path(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of bounded bytes: texts are long, and a worker has a few hundred MB. A session's own settings stay."""
+    for key, usual, ours in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"), ("spark.sql.execution.arrow.maxBytesPerBatch", None, "8388608")):
+        if spark.conf.get(key, usual) in (usual, "-1", "2147483647", "9223372036854775807"):
+            spark.conf.set(key, ours)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
@@ -110,7 +117,7 @@ class WordHashes(dict):
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
-    def trim(self, most: int = 600_000) -> None:
+    def trim(self, most: int = 250_000) -> None:
         if len(self) > most:
             self.clear()
 
@@ -146,18 +153,22 @@ def shingles(h: np.ndarray, k: int) -> np.ndarray:
 # --- blocks of documents -------------------------------------------------------------------------------------
 
 
-def write_blocks(docs: DataFrame, label: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def write_blocks(docs: DataFrame, label: str, block_chars: int = BLOCK_CHARS, tagged: bool = False) -> DataFrame:
     """Materialize (doc_id, text) as blocks of whole documents with about ``block_chars`` characters each.
 
-    Later passes see the same blocks whatever the scheduler does. Null texts stay null, null ids get a flag.
+    Later passes see the same blocks whatever the scheduler does. Null texts stay null, null ids get a flag. With ``tagged``,
+    a column ``tag`` of integers goes with the ids.
     """
 
+    small_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         base, seq = TaskContext.get().partitionId() << 32, 0
         ids: list[int] = []
         null: list[bool] = []
+        tags: list[int] = []
         body: list[bytes] = []
         lens: list[int] = []
         held = 0
@@ -167,16 +178,17 @@ def write_blocks(docs: DataFrame, label: str, block_chars: int = BLOCK_CHARS) ->
             raw = b"".join(body)
             row = pd.DataFrame({
                 "block": [base + seq], "n_words": [sum(len(x.split()) for x in body)], "doc_ids": [np.array(ids, np.int64).tobytes()],
-                "nulls": [np.array(null, np.bool_).tobytes()], "lens": [np.array(lens, np.int64).tobytes()],
+                "nulls": [np.array(null, np.bool_).tobytes()], "tags": [np.array(tags, np.int64).tobytes()], "lens": [np.array(lens, np.int64).tobytes()],
                 "body": [zstandard.ZstdCompressor(level=3).compress(raw)],
             })
             seq, held = seq + 1, 0
-            for x in (ids, null, body, lens):
+            for x in (ids, null, tags, body, lens):
                 x.clear()
             return row
 
         for batch in batches:
-            for i, t in zip(batch["doc_id"], batch["text"]):
+            for i, t, tag in zip(batch["doc_id"], batch["text"], batch["tag"]):
+                tags.append(int(tag))
                 ids.append(0 if pd.isna(i) else int(i))
                 null.append(bool(pd.isna(i)))
                 raw = t.encode() if isinstance(t, str) else b""
@@ -188,7 +200,8 @@ def write_blocks(docs: DataFrame, label: str, block_chars: int = BLOCK_CHARS) ->
         if ids:
             yield flush()
 
-    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, BLOCK_SCHEMA), label)
+    tag = F.col("tag") if tagged else F.lit(0)
+    return materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tag.cast("long").alias("tag")).mapInPandas(cut, BLOCK_SCHEMA), label)
 
 
 class Block:
@@ -198,6 +211,7 @@ class Block:
         self.id = int(row.block)
         self.doc_ids = np.frombuffer(bytes(row.doc_ids), np.int64)
         self.null_ids = np.frombuffer(bytes(row.nulls), np.bool_)
+        self.tags = np.frombuffer(bytes(row.tags), np.int64)
         lens = np.frombuffer(bytes(row.lens), np.int64)
         self.null_text = lens < 0
         self._ends = np.cumsum(np.maximum(lens, 0))

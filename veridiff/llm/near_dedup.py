@@ -11,10 +11,14 @@ shingle; without words the set is empty and linked with nothing). Two documents
    stop as soon as all bins are filled, which the last T rounds guarantee. Two sets agree in a coordinate with
    probability equal to their similarity, and the number of agreements is concentrated around that mean.
 3. *Bands* of ``ROWS`` coordinates. At similarity 0.75 a pair shares none of the 42 bands with probability 1e-10.
-4. *Verification* on whole shingle sets. In each bucket all classes are compared with one hub (the smallest). Classes that the
-   verified links already join need no further comparison in a bucket. Where classes of one bucket remain in
-   different components, more of them become hubs, twice as many in each round, until every pair of unjoined classes of every
-   bucket has been compared or joined. No bucket is capped and no bucket is expanded into all its pairs unless all its members are unlinked.
+4. *Verification* on whole shingle sets. In each bucket all classes are compared with one hub (the smallest), and linked
+   classes are joined. Buckets that still hold more than one component are *contested*. For each of their members the
+   *private* shingles are counted exactly: those of its own component alone, and those that at most ``RARE`` contested members
+   have. Members of different components that share one of the latter are compared as pairs (at most RARE**2 / 2 from a
+   shingle). All others can share at most o = min(n_a - p_a, n_b - p_b) shingles, so a pair with o / (n_a + n_b - o) < 0.75 is not
+   linked. The few that remain are compared in rounds, members with the least private shingles first: each round takes ``GROW`` times as many hubs of
+   each bucket as the last, until every such pair has been compared or joined. No bucket is capped; edited copies of one
+   text whose pairs are below the threshold leave by their counts, not by comparison.
 5. *Components* by minimum labels with pointer jumping, as joins; labels never leave the executors.
 
 Defined cases. Null text and text without words: n_shingles 0, own component. Null doc_id: takes no part in any
@@ -36,7 +40,7 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-T, ROWS, WORDS = 128, 3, 5
+T, ROWS, WORDS, GROW, RARE = 128, 3, 5, 32, 32
 BANDS = T // ROWS
 _SEEDS = C.mix(np.arange(1, 2 * T + 1, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
 
@@ -69,6 +73,7 @@ def shingle_set(text: str | None, hashes: C.WordHashes, words: int = WORDS) -> n
 
 
 def _sketched(docs: DataFrame, words: int) -> DataFrame:
+    C.small_batches(docs.sparkSession)
     schema = "doc_id long, n_shingles long, set_a long, set_b long, bands binary"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -87,7 +92,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                 for c in ("doc_id", "n_shingles", "set_a", "set_b"):
                     out[c] = pd.array([None if pd.isna(v) else int(v) for v in out[c]], "Int64")
                 yield out
-            hashes.trim()
+                hashes.trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
 
@@ -147,44 +152,143 @@ def connect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _private(texts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """Of a table (id, text, label): (id, n, u) with the numbers of shingles and of private ones, and the pairs (a, b) of
+    different labels that share a shingle of 2 to ``RARE`` rows."""
+    tagged = texts.select(F.col("id").alias("doc_id"), "text", F.col("label").alias("tag"))
+    blocks = C.write_blocks(tagged, "contested-blocks", tagged=True)
+    buckets = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // 1_000_000))
+
+    def sets(row, hashes) -> tuple[C.Block, np.ndarray, np.ndarray, np.ndarray]:
+        """The block, each document's number of shingles, all shingles sorted, and the document of each."""
+        block = C.Block(row)
+        each = [C.shingles(hashes.of(t.lower().split()), words) for t in block.texts()]
+        hashes.trim()
+        n = np.array([len(x) for x in each], np.int64)
+        flat = np.concatenate(each) if each else np.zeros(0, C.U64)
+        order = np.argsort(flat, kind="stable")
+        return block, n, flat[order], np.repeat(np.arange(len(n)), n)[order]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = C.WordHashes()
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                block, _, flat, doc = sets(row, hashes)
+                both = np.stack([block.doc_ids[doc], block.tags[doc]], axis=1)
+                yield C.frame([(b, block.id, 1, C.pack_sorted(flat[s:e]), C.pack(both[s:e].ravel())) for b, s, e in C.bucket_slices(flat, buckets)], C.REQUEST_SCHEMA)
+
+    def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        ks = [C.unpack_sorted(x) for x in pdf["keys"]]
+        both = np.concatenate([C.unpack(x, np.int64) for x in pdf["vals"]]).reshape(-1, 2)
+        flat = np.concatenate(ks)
+        order = np.lexsort((both[:, 1], flat))
+        k, ids, labels = flat[order], both[order, 0], both[order, 1]
+        new = np.concatenate(([True], k[1:] != k[:-1]))
+        of = np.cumsum(new) - 1
+        df = np.bincount(of)
+        last = np.concatenate((np.flatnonzero(new)[1:], [len(k)])) - 1
+        alone = labels[new] == labels[last]  # sorted by label: the key's first and last are the same
+        private = (alone | (df <= RARE))[of]
+        back = np.empty(len(k), np.bool_)
+        back[order] = private
+        out, at = [], 0
+        for block, part in zip(pdf["block"], ks):
+            out.append((int(block), 1, key[0], C.pack(np.packbits(back[at : at + len(part)]).view(np.uint8))))
+            at += len(part)
+        near = (~alone & (df <= RARE))[of]
+        k, ids, labels = k[near], ids[near], labels[near]
+        pairs = np.zeros((0, 2), np.int64)
+        for lag in range(1, min(RARE, len(k))):
+            hit = (k[lag:] == k[:-lag]) & (labels[lag:] != labels[:-lag])
+            some = np.stack([np.maximum(ids[lag:][hit], ids[:-lag][hit]), np.minimum(ids[lag:][hit], ids[:-lag][hit])], axis=1)
+            pairs = np.unique(np.concatenate((pairs, some)), axis=0)
+        for s in range(0, len(pairs), 100_000):
+            out.append((-1, 2, key[0], C.pack(pairs[s : s + 100_000].ravel())))
+        return C.frame(out, C.REPLY_SCHEMA)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = C.WordHashes()
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                block, n, flat, doc = sets(row, hashes)
+                got = {r["bucket"]: r["body"] for r in (row.replies if row.replies is not None else ())}
+                private = np.zeros(len(flat), np.bool_)
+                for b, s, e in C.bucket_slices(flat, buckets):
+                    private[s:e] = np.unpackbits(C.unpack(got[b], np.uint8), count=e - s)
+                yield pd.DataFrame({"id": block.doc_ids, "n": n, "u": np.bincount(doc, weights=private, minlength=len(n)).astype(np.int64)})
+
+    def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for body in batch["body"]:
+                yield pd.DataFrame(C.unpack(body, np.int64).reshape(-1, 2), columns=["a", "b"])
+
+    asked = blocks.mapInPandas(ask, C.REQUEST_SCHEMA).repartition(buckets, "bucket")
+    replies = C.materialize(asked.groupBy("bucket").applyInPandas(judge, C.REPLY_SCHEMA), "contested-replies")
+    stats = C.materialize(C.with_replies(blocks, replies.where("kind = 1")).mapInPandas(count, "id long, n long, u long"), "private-shingles")
+    return stats, replies.where("kind = 2").select("body").mapInPandas(expand, "a long, b long").distinct()
+
+
 def links(sketched: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame]:
     """(classes, labels) of a sketched table: all classes with their smallest id, and the labels of linked classes."""
-    spark = docs.sparkSession
     classes = C.materialize(sketched.where("set_a IS NOT NULL").groupBy("set_a", "set_b").agg(F.min("doc_id").alias("id")), "classes")
     reps = sketched.where("set_a IS NOT NULL").select(F.col("doc_id").alias("id"), "set_a", "set_b", "bands").join(classes, ["id", "set_a", "set_b"], "left_semi")
     raw = C.materialize(_buckets(reps), "bands")
     shared = C.materialize(raw.groupBy("bucket").agg(F.min("id").alias("hub"), F.max("id").alias("top")).where("hub < top").select("bucket", "hub"), "hubs")
     members = C.materialize(raw.join(shared, "bucket"), "buckets")
     C.release(raw)
-    touched = members.select("id").distinct()
+    touched = C.materialize(members.select("id").distinct(), "touched")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(touched, "id", "left_semi").dropDuplicates(["id"])
     texts = C.materialize(texts, "candidate-texts")
     pairs = members.where("id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
     edges = C.materialize(verified(pairs, texts, words, percent), "edges")
     labels = connect(touched, edges)
-    n_hubs, done_rank = 2, 1
-    while True:
-        # members of buckets that still hold more than one component; those of rank 2 and up become hubs
-        known = members.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where(f"lo < hi AND n > {done_rank}").select("bucket")
-        mixed = C.materialize(mixed, "mixed")
-        if mixed.isEmpty():
-            C.release(mixed)
+
+    def contested(rows: DataFrame) -> DataFrame:
+        """Rows (bucket, id, ...) of buckets that hold more than one component, with their labels."""
+        known = C.materialize(rows.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")), "labelled")
+        mixed = known.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("bucket")
+        out = C.materialize(known.join(C.materialize(mixed, "mixed"), "bucket", "left_semi"), "contested")
+        C.release(known)
+        return out
+
+    # documents whose component meets another one in some bucket; only these are counted
+    met = members.join(labels, "id", "left").select("bucket", F.coalesce("label", "id").alias("label")).distinct()
+    met = C.materialize(met, "bucket-labels")
+    mixed = C.materialize(met.groupBy("bucket").agg(F.count("*").alias("k")).where("k > 1").select("bucket"), "mixed")
+    rest = mixed
+    if not mixed.isEmpty():
+        some = met.join(mixed, "bucket", "left_semi").select("label").distinct()
+        meeting = touched.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")).join(some, "label", "left_semi")
+        stats, near = _private(texts.join(meeting, "id"), words)
+        size = stats.select(F.col("id").alias("a"), "n")
+        long = near.join(size, "a").join(stats.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
+        long = long.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
+        found = C.materialize(verified(long, texts, words, percent), "edges")
+        if not found.isEmpty():
+            edges = edges.unionByName(found)
+            labels = connect(touched, edges)
+        alive = stats.where(F.lit(100) * F.col("u") <= F.lit(100 - percent) * F.col("n"))
+        order = Window.partitionBy("bucket").orderBy(F.col("u") / F.col("n"), "id")
+        ranked = members.select("bucket", "id").join(alive, "id").join(mixed, "bucket", "left_semi")
+        rest = C.materialize(ranked.withColumn("rank", F.row_number().over(order)), "ranked")
+    done_rank, n_hubs = 0, 1
+    while not mixed.isEmpty():
+        rest = contested(rest.drop("label"))
+        if rest.where(F.col("rank") > done_rank).isEmpty():
             break
-        rest = C.materialize(known.join(mixed, "bucket", "left_semi"), "unjoined")
-        order = Window.partitionBy("bucket").orderBy("id")
-        hubs = rest.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= done_rank + n_hubs).where(F.col("rank") > done_rank)
-        hubs = C.materialize(hubs.select("bucket", F.col("id").alias("hub"), F.col("label").alias("hub_label")), "more-hubs")
-        more = rest.join(hubs, "bucket").where("label <> hub_label AND id > hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+        hubs = C.materialize(rest.where(F.col("rank").between(done_rank + 1, done_rank + n_hubs)).select("bucket", *(F.col(c).alias(f"hub_{c}") for c in ("id", "label", "n", "u", "rank"))), "more-hubs")
+        most = F.least(F.col("n") - F.col("u"), F.col("hub_n") - F.col("hub_u"))
+        may = (F.col("rank") > F.col("hub_rank")) & (F.col("label") != F.col("hub_label")) & (100 * most >= percent * (F.col("n") + F.col("hub_n") - most))
+        on = F.col("bucket") == F.col("hub_bucket")
+        more = rest.join(hubs.withColumnRenamed("bucket", "hub_bucket"), on & may).select(F.col("id").alias("a"), F.col("hub_id").alias("b")).distinct()
         found = C.materialize(verified(more, texts, words, percent), "edges")
-        for x in (mixed, rest, hubs):
-            C.release(x)
-        done_rank, n_hubs = done_rank + n_hubs, n_hubs * 2
+        C.release(hubs)
+        done_rank, n_hubs = done_rank + n_hubs, n_hubs * GROW
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = connect(touched, edges)
-    C.release(members)
-    C.release(texts)
+    for x in (rest, members, texts):
+        C.release(x)
     return classes, labels
 
 
