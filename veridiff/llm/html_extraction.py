@@ -24,6 +24,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from . import common as C
+
 RESULT = "page_id long, url string, text string, n_chars long"
 
 # Element names of the HTML standard by their role here.
@@ -225,4 +227,5 @@ def main_text(pages: DataFrame) -> DataFrame:
                 text = [extract(h) if isinstance(h, str) else "" for h in part["html"]]
                 yield pd.DataFrame({"page_id": part["page_id"].astype("Int64").array, "url": part["url"].array, "text": text, "n_chars": [len(t) for t in text]})
 
+    C.small_batches(pages.sparkSession)
     return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInPandas(run, RESULT)

@@ -86,6 +86,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
             total += C.unpack(b, np.int64)
         return pd.DataFrame([(key[0], int(pdf["docs"].sum()), C.pack(total))], columns=["lang", "docs", "counts"])
 
+    C.small_batches(labelled.sparkSession)
     schema = "lang string, docs long, counts binary"
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     parts = rows.mapInPandas(count, schema)
@@ -130,6 +131,7 @@ def score_texts(texts: list, langs: list[str], prior: np.ndarray, logp: np.ndarr
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns ``keep`` of each row with ``lang_pred`` and ``score``; only the text is scored."""
     spark = docs.sparkSession
+    C.small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
     rows = docs.select(*keep, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema) + ", lang_pred string, score double"
