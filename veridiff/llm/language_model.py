@@ -63,9 +63,10 @@ class _Grams:
         word[0] = _END
         del vocab
         self.held = np.array([held_out(None if z else int(d)) for d, z in zip(block.doc_ids, block.null_ids)], np.bool_)
-        tok = word[np.array(ids, np.int64)] if ids else np.zeros(0, C.U64)
+        tok = word[np.array(ids, np.int32)] if ids else np.zeros(0, C.U64)
+        del ids, word
         self.first = np.cumsum(self.n_tokens) - self.n_tokens
-        place = np.arange(len(tok)) - np.repeat(self.first, self.n_tokens)
+        place = (np.arange(len(tok)) - np.repeat(self.first, self.n_tokens)).astype(np.int32)
         train = np.repeat(~self.held, self.n_tokens)
         self.keys, self.local, self.key_of, self.has = [], [], [], []
         gram = tok
@@ -74,7 +75,7 @@ class _Grams:
                 gram = np.concatenate((gram[:1], C.mix(gram[:-1] * C.U64(0x9E3779B97F4A7C15) + tok[1:] + C.U64(n)))) if len(tok) else tok
             has = place >= n - 1
             keys, inverse = np.unique(gram[has], return_inverse=True)
-            key_of = np.zeros(len(tok), np.int64)
+            key_of = np.zeros(len(tok), np.int32)
             key_of[has] = inverse
             self.keys.append(keys)
             self.local.append(np.bincount(inverse, weights=train[has], minlength=len(keys)).astype(np.int64))
@@ -128,7 +129,7 @@ def score(docs: DataFrame, order: int = ORDER, k: float = K, held_out: Callable
     if order < 1:
         raise ValueError("order must be at least 1")
     spark = docs.sparkSession
-    blocks = C.write_blocks(docs, "lm-blocks", 2 * C.BLOCK_CHARS)
+    blocks = C.write_blocks(docs, "lm-blocks")
     total = blocks.agg(F.sum("n_words")).first()[0] or 0
     buckets = C.n_buckets(spark, total * order)
 

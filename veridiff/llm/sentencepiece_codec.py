@@ -8,8 +8,8 @@ decodes to the text exactly, whatever the dropout.
 
 No piece of the vocabulary spans from another character to a blank, nor holds a line feed (checked when the model is
 loaded), so texts are encoded by chunks: a run of blanks with what follows it up to the next blank. Chunks are
-remembered, by variant. The variant of each chunk is a keyed hash of (seed, doc_id, place of the chunk) modulo
-``variants``, so one word is cut differently at different places.
+remembered, by variant. The variant of a document is a keyed hash of (seed, doc_id) modulo ``variants``, so one word is
+cut differently in different documents, and anew with each seed.
 
 Defined cases. Null text: ids null and null decoded. Empty text: no ids, decoded empty. Null doc_id: hashed as -1. Repeated rows give equal
 ids. Empty tables give empty tables. Extra columns are ignored. The vocabulary file is a parameter; it is read on each executor.
@@ -62,6 +62,9 @@ class Codec:
                 self.ids[piece] = i
                 self.score[i] = sp.get_score(i)
                 self.bytes_of[i] = piece.replace(BLANK, " ").encode()
+        width = max(map(len, self.bytes_of))
+        self._padded = np.frombuffer(b"".join(b.ljust(width, b"\0") for b in self.bytes_of), np.uint8).reshape(n, width)
+        self._filled = np.arange(width)[None, :] < np.array([len(b) for b in self.bytes_of])[:, None]
         breaks = re.compile(f"[^{BLANK}]{BLANK}")
         if any(breaks.search(p) or "\n" in p for p in self.ids):
             raise ValueError("a piece spans a chunk boundary; this vocabulary cannot be encoded by chunks")
@@ -220,7 +223,7 @@ class Codec:
                 out += [self.byte_ids[b] for b in c.encode()]
         return out
 
-    def trim(self, most: int = 500_000) -> None:
+    def trim(self, most: int = 900_000) -> None:
         if sum(map(len, self._known)) > most:
             for k in self._known:
                 k.clear()
@@ -228,30 +231,24 @@ class Codec:
     def encode_all(self, texts: list[str], doc_ids: list[int]) -> list[np.ndarray]:
         """Ids of each text; new chunks of all texts run their agendas together."""
         cut, which = [], []
-        new: set[tuple[int, str]] = set()
+        new: list[set[str]] = [set() for _ in range(self.variants)]
         for text, doc in zip(texts, doc_ids):
             chunks = self._chunk.findall(" " + text) if text else []
+            v = xxhash.xxh64_intdigest(f"{self.seed}:{doc}") % self.variants
             cut.append(chunks)
-            if self.variants == 1:
-                v = [0] * len(chunks)
-            else:
-                key = C.U64(xxhash.xxh64_intdigest(f"{self.seed}:{doc}"))
-                v = (C.mix(np.arange(len(chunks), dtype=C.U64) * C.U64(0x9E3779B97F4A7C15) ^ key) % C.U64(self.variants)).tolist()
             which.append(v)
-            known = self._known
-            new.update((k, c) for k, c in zip(v, chunks) if c not in known[k])
-        todo = list(new)
-        long = {}
+            known = self._known[v]
+            new[v].update([c for c in set(chunks) if c not in known])
+        todo = [(v, c) for v, some in enumerate(new) for c in some]
         short = [(v, c) for v, c in todo if len(c) < 48]
+        long = [(v, c) for v, c in todo if len(c) >= 48]  # kept for these texts only
         for (v, c), ids in zip(short, self.encode_many([c for _, c in short], [v for v, _ in short])):
             self._known[v][c] = ids
-        for v, c in todo:
-            if len(c) >= 48:  # kept for these texts only
-                long[v, c] = self._known[v][c] = np.array(self.encode_chunk(c, v), np.int32).tobytes()
-        known = self._known
-        out = [np.frombuffer(b"".join([known[k][c] for k, c in zip(v, chunks)]), np.int32) for v, chunks in zip(which, cut)]
         for v, c in long:
-            del known[v][c]
+            self._known[v][c] = np.array(self.encode_chunk(c, v), np.int32).tobytes()
+        out = [np.frombuffer(b"".join(map(self._known[v].__getitem__, chunks)), np.int32) for v, chunks in zip(which, cut)]
+        for v, c in long:
+            del self._known[v][c]
         self.trim()
         return out
 
@@ -259,8 +256,12 @@ class Codec:
         return self.encode_all([text], [doc_id])[0]
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.bytes_of.__getitem__, np.asarray(ids).tolist()))
-        return raw[1:].decode()
+        ids = np.asarray(ids, np.int64)
+        parts = []
+        for s in range(0, len(ids), 100_000):
+            part = ids[s : s + 100_000]
+            parts.append(self._padded[part][self._filled[part]].tobytes())
+        return b"".join(parts)[1:].decode()
 
 
 @cache
