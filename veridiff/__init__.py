@@ -1,0 +1 @@
+"""A Spark-native engine for finding, explaining and triaging conflicting facts across sources."""
