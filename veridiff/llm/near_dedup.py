@@ -40,7 +40,7 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-T, ROWS, WORDS, GROW, RARE = 128, 3, 5, 32, 32
+T, ROWS, WORDS, GROW, RARE = 128, 3, 5, 32, 64
 BANDS = T // ROWS
 _SEEDS = C.mix(np.arange(1, 2 * T + 1, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
 
@@ -152,9 +152,9 @@ def connect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _private(texts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+def _private(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Of a table (id, text, label): (id, n, u) with the numbers of shingles and of private ones, and the pairs (a, b) of
-    different labels that share a shingle of 2 to ``RARE`` rows."""
+    different labels that share a shingle of 2 to ``RARE`` rows and whose numbers of shingles allow a link."""
     tagged = texts.select(F.col("id").alias("doc_id"), "text", F.col("label").alias("tag"))
     blocks = C.write_blocks(tagged, "contested-blocks", tagged=True)
     buckets = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // 1_000_000))
@@ -173,16 +173,16 @@ def _private(texts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
         hashes = C.WordHashes()
         for batch in batches:
             for row in batch.itertuples(index=False):
-                block, _, flat, doc = sets(row, hashes)
-                both = np.stack([block.doc_ids[doc], block.tags[doc]], axis=1)
+                block, n, flat, doc = sets(row, hashes)
+                both = np.stack([block.doc_ids[doc], block.tags[doc], n[doc]], axis=1)
                 yield C.frame([(b, block.id, 1, C.pack_sorted(flat[s:e]), C.pack(both[s:e].ravel())) for b, s, e in C.bucket_slices(flat, buckets)], C.REQUEST_SCHEMA)
 
     def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
         ks = [C.unpack_sorted(x) for x in pdf["keys"]]
-        both = np.concatenate([C.unpack(x, np.int64) for x in pdf["vals"]]).reshape(-1, 2)
+        both = np.concatenate([C.unpack(x, np.int64) for x in pdf["vals"]]).reshape(-1, 3)
         flat = np.concatenate(ks)
         order = np.lexsort((both[:, 1], flat))
-        k, ids, labels = flat[order], both[order, 0], both[order, 1]
+        k, ids, labels, n = flat[order], both[order, 0], both[order, 1], both[order, 2]
         new = np.concatenate(([True], k[1:] != k[:-1]))
         of = np.cumsum(new) - 1
         df = np.bincount(of)
@@ -196,10 +196,11 @@ def _private(texts: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
             out.append((int(block), 1, key[0], C.pack(np.packbits(back[at : at + len(part)]).view(np.uint8))))
             at += len(part)
         near = (~alone & (df <= RARE))[of]
-        k, ids, labels = k[near], ids[near], labels[near]
+        k, ids, labels, n = k[near], ids[near], labels[near], n[near]
         pairs = np.zeros((0, 2), np.int64)
         for lag in range(1, min(RARE, len(k))):
-            hit = (k[lag:] == k[:-lag]) & (labels[lag:] != labels[:-lag])
+            fits = 100 * np.minimum(n[lag:], n[:-lag]) >= percent * np.maximum(n[lag:], n[:-lag])
+            hit = (k[lag:] == k[:-lag]) & (labels[lag:] != labels[:-lag]) & fits
             some = np.stack([np.maximum(ids[lag:][hit], ids[:-lag][hit]), np.minimum(ids[lag:][hit], ids[:-lag][hit])], axis=1)
             pairs = np.unique(np.concatenate((pairs, some)), axis=0)
         for s in range(0, len(pairs), 100_000):
@@ -259,11 +260,8 @@ def links(sketched: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     if not mixed.isEmpty():
         some = met.join(mixed, "bucket", "left_semi").select("label").distinct()
         meeting = touched.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("label")).join(some, "label", "left_semi")
-        stats, near = _private(texts.join(meeting, "id"), words)
-        size = stats.select(F.col("id").alias("a"), "n")
-        long = near.join(size, "a").join(stats.select(F.col("id").alias("b"), F.col("n").alias("m")), "b")
-        long = long.where(100 * F.least("n", "m") >= percent * F.greatest("n", "m")).select("a", "b")
-        found = C.materialize(verified(long, texts, words, percent), "edges")
+        stats, near = _private(texts.join(meeting, "id"), words, percent)
+        found = C.materialize(verified(near, texts, words, percent), "edges")
         if not found.isEmpty():
             edges = edges.unionByName(found)
             labels = connect(touched, edges)
