@@ -89,7 +89,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     C.small_batches(labelled.sparkSession)
     schema = "lang string, docs long, counts binary"
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    parts = rows.mapInPandas(count, schema)
+    parts = rows.mapInPandas(C.tidy(count), schema)
     # two steps: sums of up to 64 tasks, then of these, so no task gathers more than a bounded share
     some = parts.withColumn("part", F.pmod(F.hash("counts"), F.lit(64))).groupBy("lang", "part").applyInPandas(add, schema)
     got = some.groupBy("lang").applyInPandas(add, schema).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
@@ -142,7 +142,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], ke
             pred, score = score_texts(list(batch["text"]), langs, prior, logp)
             yield batch.drop(columns="text").assign(lang_pred=pred, score=score)
 
-    return rows.mapInPandas(run, schema)
+    return rows.mapInPandas(C.tidy(run), schema)
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:

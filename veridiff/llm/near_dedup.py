@@ -41,6 +41,7 @@ from pyspark.sql.window import Window
 from . import common as C
 
 T, ROWS, WORDS, GROW, RARE = 128, 3, 5, 32, 64
+BUCKET_WORDS = 500_000
 BANDS = T // ROWS
 _SEEDS = C.mix(np.arange(1, 2 * T + 1, dtype=C.U64) * C.U64(0x9E3779B97F4A7C15))
 
@@ -94,7 +95,7 @@ def _sketched(docs: DataFrame, words: int) -> DataFrame:
                 yield out
                 hashes.trim()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(C.tidy(run), schema)
 
 
 def _buckets(classes: DataFrame) -> DataFrame:
@@ -106,7 +107,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
                 part = b.iloc[s : s + 2000]
                 yield pd.DataFrame({"bucket": np.frombuffer(b"".join(map(bytes, part["bands"])), np.int64), "id": np.repeat(part["id"].to_numpy(), BANDS)})
 
-    return classes.select("id", "bands").mapInPandas(run, "bucket long, id long")
+    return classes.select("id", "bands").mapInPandas(C.tidy(run), "bucket long, id long")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -131,7 +132,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
             yield pd.DataFrame(out, columns=["a", "b"]).astype("int64")
             hashes.trim()
 
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(C.tidy(run), "a long, b long")
 
 
 def connect(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -156,8 +157,8 @@ def _private(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
     """Of a table (id, text, label): (id, n, u) with the numbers of shingles and of private ones, and the pairs (a, b) of
     different labels that share a shingle of 2 to ``RARE`` rows and whose numbers of shingles allow a link."""
     tagged = texts.select(F.col("id").alias("doc_id"), "text", F.col("label").alias("tag"))
-    blocks = C.write_blocks(tagged, "contested-blocks", tagged=True)
-    buckets = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // 1_000_000))
+    blocks = C.write_blocks(tagged, "contested-blocks", C.BLOCK_CHARS // 2, tagged=True)
+    buckets = max(1, -(-(blocks.agg(F.sum("n_words")).first()[0] or 0) // BUCKET_WORDS))
 
     def sets(row, hashes) -> tuple[C.Block, np.ndarray, np.ndarray, np.ndarray]:
         """The block, each document's number of shingles, all shingles sorted, and the document of each."""
@@ -178,33 +179,42 @@ def _private(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
                 yield C.frame([(b, block.id, 1, C.pack_sorted(flat[s:e]), C.pack(both[s:e].ravel())) for b, s, e in C.bucket_slices(flat, buckets)], C.REQUEST_SCHEMA)
 
     def judge(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        ks = [C.unpack_sorted(x) for x in pdf["keys"]]
-        both = np.concatenate([C.unpack(x, np.int64) for x in pdf["vals"]]).reshape(-1, 3)
-        flat = np.concatenate(ks)
+        flat = [C.unpack_sorted(x) for x in pdf["keys"]]
+        ends = np.cumsum([len(x) for x in flat]).tolist()
+        flat = np.concatenate(flat)
+        both = np.empty((len(flat), 3), np.int64)
+        for x, e in zip(pdf["vals"], ends):
+            got = C.unpack(x, np.int64).reshape(-1, 3)
+            both[e - len(got) : e] = got
         order = np.lexsort((both[:, 1], flat))
-        k, ids, labels, n = flat[order], both[order, 0], both[order, 1], both[order, 2]
-        new = np.concatenate(([True], k[1:] != k[:-1]))
+        flat, both = flat[order], both[order]
+        labels = both[:, 1]
+        new = np.concatenate(([True], flat[1:] != flat[:-1]))
         of = np.cumsum(new) - 1
         df = np.bincount(of)
-        last = np.concatenate((np.flatnonzero(new)[1:], [len(k)])) - 1
+        last = np.concatenate((np.flatnonzero(new)[1:], [len(flat)])) - 1
         alone = labels[new] == labels[last]  # sorted by label: the key's first and last are the same
-        private = (alone | (df <= RARE))[of]
-        back = np.empty(len(k), np.bool_)
-        back[order] = private
-        out, at = [], 0
-        for block, part in zip(pdf["block"], ks):
-            out.append((int(block), 1, key[0], C.pack(np.packbits(back[at : at + len(part)]).view(np.uint8))))
-            at += len(part)
+        back = np.empty(len(flat), np.bool_)
+        back[order] = (alone | (df <= RARE))[of]
         near = (~alone & (df <= RARE))[of]
-        k, ids, labels, n = k[near], ids[near], labels[near], n[near]
-        pairs = np.zeros((0, 2), np.int64)
-        for lag in range(1, min(RARE, len(k))):
-            fits = 100 * np.minimum(n[lag:], n[:-lag]) >= percent * np.maximum(n[lag:], n[:-lag])
-            hit = (k[lag:] == k[:-lag]) & (labels[lag:] != labels[:-lag]) & fits
-            some = np.stack([np.maximum(ids[lag:][hit], ids[:-lag][hit]), np.minimum(ids[lag:][hit], ids[:-lag][hit])], axis=1)
-            pairs = np.unique(np.concatenate((pairs, some)), axis=0)
+        del order, labels, new
+        of, (ids, labels, n) = of[near], both[near].T
+        del both, flat, near
+        out, at = [], 0
+        for block, e in zip(pdf["block"], ends):
+            out.append((int(block), 1, key[0], C.pack(np.packbits(back[at:e]).view(np.uint8))))
+            at = e
+        known, ids = np.unique(ids, return_inverse=True)
+        pairs = np.zeros(0, np.int64)  # place of the larger id in known * number of known + place of the smaller
+        for lag in range(1, min(RARE, len(of))):
+            hit = (of[lag:] == of[:-lag]) & (labels[lag:] != labels[:-lag])
+            hit &= 100 * np.minimum(n[lag:], n[:-lag]) >= percent * np.maximum(n[lag:], n[:-lag])
+            x, y = ids[lag:][hit], ids[:-lag][hit]
+            pairs = np.union1d(pairs, np.maximum(x, y) * len(known) + np.minimum(x, y))
         for s in range(0, len(pairs), 100_000):
-            out.append((-1, 2, key[0], C.pack(pairs[s : s + 100_000].ravel())))
+            part = pairs[s : s + 100_000]
+            out.append((-1, 2, key[0], C.pack(np.stack([known[part // len(known)], known[part % len(known)]], axis=1).ravel())))
+        C.give_back()
         return C.frame(out, C.REPLY_SCHEMA)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -223,10 +233,10 @@ def _private(texts: DataFrame, words: int, percent: int) -> tuple[DataFrame, Dat
             for body in batch["body"]:
                 yield pd.DataFrame(C.unpack(body, np.int64).reshape(-1, 2), columns=["a", "b"])
 
-    asked = blocks.mapInPandas(ask, C.REQUEST_SCHEMA).repartition(buckets, "bucket")
+    asked = blocks.mapInPandas(C.tidy(ask), C.REQUEST_SCHEMA).repartition(buckets, "bucket")
     replies = C.materialize(asked.groupBy("bucket").applyInPandas(judge, C.REPLY_SCHEMA), "contested-replies")
-    stats = C.materialize(C.with_replies(blocks, replies.where("kind = 1")).mapInPandas(count, "id long, n long, u long"), "private-shingles")
-    return stats, replies.where("kind = 2").select("body").mapInPandas(expand, "a long, b long").distinct()
+    stats = C.materialize(C.with_replies(blocks, replies.where("kind = 1")).mapInPandas(C.tidy(count), "id long, n long, u long"), "private-shingles")
+    return stats, replies.where("kind = 2").select("body").mapInPandas(C.tidy(expand), "a long, b long").distinct()
 
 
 def links(sketched: DataFrame, docs: DataFrame, words: int = WORDS, percent: int = 75) -> tuple[DataFrame, DataFrame]:
