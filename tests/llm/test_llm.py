@@ -206,7 +206,14 @@ def test_sentencepiece(docs, texts):
         assert all(c.decode(x) == t for c, x in zip(noisy, (a, b)))
     assert len(a) != len(b) or (a != b).any()
     chunks = sorted({w for t in texts.values() if t for w in (" " + t).split(" ")})
-    assert noisy[0].encode_many(chunks, [1] * len(chunks)) == [np.array(noisy[0].encode_chunk(c, 1), np.int32).tobytes() for c in chunks]
+    chunks += ["▁é漢😀x", "\t", " 日本語", "🙂"]
+    order, ids, sizes = noisy[0].encode_many(chunks, [1] * len(chunks))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [noisy[0].encode_chunk(chunks[k], 1) for k in order]
+    # by place: equal words of one text take several variants, and the memory changes nothing
+    assert len({tuple(noisy[0].encode(" ".join(["understanding"] * n), 9)[-6:].tolist()) for n in range(1, 40)}) > 2
+    fresh = sentencepiece_codec.Codec(path, 0.3, seed=1)
+    long = [t for t in texts.values() if t] + ["x" * 60 + " b", ""]
+    assert all((x == fresh.encode(t, 4)).all() for x, t in zip(noisy[0].encode_all(long, [4] * len(long)), long))
     got = sentencepiece_codec.decode(sentencepiece_codec.encode(docs, path), path).collect()
     assert all(r.decoded == (texts[0] if r.doc_id is None else texts[r.doc_id]) for r in got)
 

@@ -8,8 +8,8 @@ decodes to the text exactly, whatever the dropout.
 
 No piece of the vocabulary spans from another character to a blank, nor holds a line feed (checked when the model is
 loaded), so texts are encoded by chunks: a run of blanks with what follows it up to the next blank. Chunks are
-remembered, by variant. The variant of a document is a keyed hash of (seed, doc_id) modulo ``variants``, so one word is
-cut differently in different documents, and anew with each seed.
+remembered, by variant. The variant of each chunk is a keyed hash of (seed, doc_id, place of the chunk) modulo
+``variants``, so one word is cut differently at different places, and anew with each seed.
 
 Defined cases. Null text: ids null and null decoded. Empty text: no ids, decoded empty. Null doc_id: hashed as -1. Repeated rows give equal
 ids. Empty tables give empty tables. Extra columns are ignored. The vocabulary file is a parameter; it is read on each executor.
@@ -21,8 +21,10 @@ import hashlib
 import heapq
 import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -34,8 +36,14 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLANK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 20240229, 2
-_NEVER = np.int64(1) << np.int64(40)
+DROPOUT, SEED, VARIANTS = 0.1, 20240229, 8
+GROUP_CHARS, LONG, MEMORY = 1_000_000, 48, 400_000
+_NEVER = np.int32(2**31 - 1)
+_TABLE = 1 << 20
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (key.astype(C.U64) * C.U64(0x9E3779B97F4A7C15) >> C.U64(44)).astype(np.int64)
 
 
 def default_model() -> str:
@@ -44,8 +52,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-class Codec:
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = SEED, variants: int = VARIANTS) -> None:
+class Decoder:
+    """The pieces of a vocabulary, and what ids decode to."""
+
+    def __init__(self, path: str) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         n = sp.get_piece_size()
         self.bytes_of = [b""] * n
@@ -65,6 +75,19 @@ class Codec:
         width = max(map(len, self.bytes_of))
         self._padded = np.frombuffer(b"".join(b.ljust(width, b"\0") for b in self.bytes_of), np.uint8).reshape(n, width)
         self._filled = np.arange(width)[None, :] < np.array([len(b) for b in self.bytes_of])[:, None]
+
+    def decode(self, ids) -> str:
+        ids = np.asarray(ids, np.int64)
+        parts = []
+        for s in range(0, len(ids), 100_000):
+            part = ids[s : s + 100_000]
+            parts.append(self._padded[part][self._filled[part]].tobytes())
+        return b"".join(parts)[1:].decode()
+
+
+class Codec(Decoder):
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = SEED, variants: int = VARIANTS) -> None:
+        super().__init__(path)
         breaks = re.compile(f"[^{BLANK}]{BLANK}")
         if any(breaks.search(p) or "\n" in p for p in self.ids):
             raise ValueError("a piece spans a chunk boundary; this vocabulary cannot be encoded by chunks")
@@ -78,102 +101,122 @@ class Codec:
         self._symbol = {p: i for p, i in self.ids.items() if len(p) == 1 and p != BLANK} | {" ": self.ids[BLANK]}
         self.keep_above = int(dropout * 2**32)
         self.seed, self.variants = seed, max(1, variants if dropout else 1)
-        self._known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
         keys = np.array([a << 32 | b for a, b in self._merges], np.int64)
-        by = np.argsort(keys)
-        self._pair = keys[by]
-        self._order_of, self._merged_of = np.array(list(self._merges.values()), np.int64)[by].T
-        self._code = np.full(0x110000, -1, np.int64)
+        if 2 * len(keys) > _TABLE:
+            raise ValueError("the vocabulary has too many merges for the table")
+        self._pair, self._order_of, self._merged_of = np.full(_TABLE, -1, np.int64), np.full(_TABLE, _NEVER, np.int32), np.zeros(_TABLE, np.int32)
+        at, todo, found = _slot(keys), np.arange(len(keys)), np.array(list(self._merges.values()), np.int32)
+        while len(todo):
+            open_ = self._pair[at] == -1
+            place, first = np.unique(at[open_], return_index=True)
+            put = np.flatnonzero(open_)[first]
+            self._pair[place] = keys[todo[put]]
+            self._order_of[place], self._merged_of[place] = found[todo[put]].T
+            rest = np.ones(len(todo), np.bool_)
+            rest[put] = False
+            todo, at = todo[rest], at[rest] + 1 & _TABLE - 1
+        self._byte_ids = np.array(self.byte_ids, np.int32)
+        self.forget()
+        self._code = np.full(0x110000, -1, np.int32)
         for c, i in self._symbol.items():
             self._code[ord(c)] = i
 
     def _lookup(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Order (or ``_NEVER``) and merged id of pairs of ids."""
-        key = a << 32 | b
-        at = np.minimum(np.searchsorted(self._pair, key), len(self._pair) - 1)
-        ok = (self._pair[at] == key) & (a >= 0) & (b >= 0)
-        return np.where(ok, self._order_of[at], _NEVER), self._merged_of[at]
-
-    def encode_many(self, chunks: list[str], variants: list[int]) -> list[bytes]:
-        """:meth:`encode_chunk` of many chunks at once: each step takes the best entry of every chunk's agenda."""
-        out: list[bytes] = [b""] * len(chunks)
-        lens = np.array([len(c) for c in chunks])
+        """Order (or ``_NEVER``) and merged id of pairs of ids, from a table with linear probing."""
+        key = (a.astype(np.int64) << 32 | b).reshape(-1)
+        at = _slot(key)
+        got = self._pair[at]
+        order, merged = self._order_of[at], self._merged_of[at]
+        far = np.flatnonzero((got != key) & (got != -1))
+        at = at[far]
+        while len(far):
+            at = at + 1 & _TABLE - 1
+            got = self._pair[at]
+            order[far], merged[far] = self._order_of[at], self._merged_of[at]
+            more = (got != key[far]) & (got != -1)
+            far, at = far[more], at[more]
+        return order.reshape(a.shape), merged.reshape(a.shape)
+
+    def encode_many(self, chunks: list[str], variants: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """:meth:`encode_chunk` of many chunks at once: each step takes the best entry of every chunk's agenda.
+
+        The order in which the chunks were taken, and in that order all ids and each chunk's number of ids.
+        """
+        lens = np.array([len(c) for c in chunks], np.int64)
         order = np.argsort(lens, kind="stable")
+        ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
         for s in range(0, len(order), 8192):
             rows = order[s : s + 8192]
             n, width = lens[rows], int(lens[rows[-1]])
-            flat = np.frombuffer("".join([chunks[k] for k in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
-            sym = np.full((len(rows), width + 1), -3, np.int64)  # -1: bytes, -3: beyond the end
-            inside = np.arange(width)[None, :] < n[:, None]
-            code = np.full((len(rows), width), -3, np.int64)
-            code[inside] = self._code[flat]
-            raw = np.zeros((len(rows), width), np.uint32)
-            raw[inside] = flat
-            sym[:, :width] = code
+            raw = np.zeros((len(rows), width + 1), np.uint32)
+            inside = np.arange(width + 1)[None, :] < n[:, None]
+            raw[inside] = np.frombuffer("".join([chunks[k] for k in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
+            sym = np.full(raw.shape, -3, np.int32)  # -1: bytes, -2: merged away, -3: beyond the end
+            sym[inside] = self._code[raw[inside]]
             drop = None
             if self.keep_above:
                 drop = np.fromiter((xxhash.xxh64_intdigest(f"{variants[k]}/{chunks[k]}", self.seed) for k in rows.tolist()), C.U64, len(rows))
-            final, place = self._agenda(sym, drop)
-            left = final != -3
-            ends = np.cumsum(left.sum(axis=1)).tolist()
-            body = final[left].astype(np.int32).tobytes()
-            start = 0
-            for k, end in zip(rows.tolist(), ends):
-                out[k] = body[4 * start : 4 * end]
-                start = end
-            for r in np.flatnonzero((final == -1).any(axis=1)).tolist():  # characters without a piece
-                got: list[int] = []
-                for x, at in zip(final[r][left[r]].tolist(), place[r][left[r]].tolist()):
-                    got += [self.byte_ids[b] for b in chr(raw[r, at]).encode()] if x == -1 else [x]
-                out[int(rows[r])] = np.array(got, np.int32).tobytes()
-        return out
-
-    def _agenda(self, sym: np.ndarray, key: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        """Run the agendas of all rows; the symbols left in each row (then -3) and their first characters' places."""
+            final = self._agenda(sym, drop)
+            left = final >= -1
+            flat, row = final[left], np.nonzero(left)[0]
+            spelt = flat == -1
+            if spelt.any():  # characters without a piece
+                chars = raw[left]
+                size = np.where(spelt, 1 + (chars > 0x7F) + (chars > 0x7FF) + (chars > 0xFFFF), 1)
+                flat, row, spelt = np.repeat(flat, size), np.repeat(row, size), np.repeat(spelt, size)
+                flat[spelt] = self._byte_ids[np.frombuffer("".join(map(chr, chars[final[left] == -1].tolist())).encode(), np.uint8)]
+            ids.append(flat)
+            counts.append(np.bincount(row, minlength=len(rows)))
+        return order, np.concatenate(ids), np.concatenate(counts)
+
+    def _agenda(self, sym: np.ndarray, key: np.ndarray | None) -> np.ndarray:
+        """Run the agendas of all rows; the symbols left, each at the place of its first character.
+
+        Neighbours are linked by places, so a step costs a search for the best entry of each row and a few reads. The last column is beyond the end of every row.
+        """
         width = sym.shape[1]
-        done, where = np.empty_like(sym), np.empty_like(sym)
-        rows = np.arange(len(sym))
-        place = np.broadcast_to(np.arange(width), sym.shape).copy()
-        rank, merged = self._lookup(sym[:, :-1], sym[:, 1:])
-        cols = np.arange(width)
+        done, rows = np.empty_like(sym), np.arange(len(sym))
+        right = np.broadcast_to(np.minimum(np.arange(1, width + 1), width - 1).astype(np.int32), sym.shape).copy()
+        left = np.broadcast_to(np.roll(np.arange(width, dtype=np.int32), 1), sym.shape).copy()  # the first one's left is the last column
+        order, merged = np.full(sym.shape, _NEVER, np.int32), np.zeros(sym.shape, np.int32)
+        order[:, :-1], merged[:, :-1] = self._lookup(sym[:, :-1], sym[:, 1:])
         while True:
-            at = rank.argmin(axis=1)
-            r = np.arange(len(rows))
-            best = rank[r, at]
-            over = best == _NEVER
-            if over.any():
-                done[rows[over]], where[rows[over]] = sym[over], place[over]
-                live = ~over
-                if not live.any():
-                    return done, where
-                rows, sym, place, rank, merged, at, best = rows[live], sym[live], place[live], rank[live], merged[live], at[live], best[live]
+            at = order.argmin(axis=1)
+            best = order[np.arange(len(rows)), at]
+            live = best != _NEVER
+            n_live = np.count_nonzero(live)
+            if n_live < 0.7 * len(rows):
+                over = ~live
+                done[rows[over]] = sym[over]
+                if not n_live:
+                    return done
+                rows, sym, right, left, order, merged, at, best = rows[live], sym[live], right[live], left[live], order[live], merged[live], at[live], best[live]
                 key = key[live] if key is not None else None
-                r = np.arange(len(rows))
+                live = np.ones(n_live, np.bool_)
+            elif not n_live:
+                done[rows] = sym
+                return done
+            r = np.flatnonzero(live)
+            a = at[r]
             if key is not None:
-                entry = best.astype(C.U64) << C.U64(32) | place[r, at].astype(C.U64)
-                skip = (((entry * C.U64(0x9E3779B97F4A7C15) ^ key) * C.U64(0xD6E8FEB86659FD93)) >> C.U64(24)) & C.U64(0xFFFFFFFF) < C.U64(self.keep_above)
-                rank[r[skip], at[skip]] = _NEVER
-                go = ~skip
-                if not go.any():
-                    continue
-            else:
-                go = np.ones(len(rows), np.bool_)
-            w, a = r[go], at[go]
-            # the right neighbour leaves: columns behind it move up
-            source = np.minimum(cols[None, :] + (cols[None, :] > a[:, None]), width - 1)
-            new = merged[w, a]
-            sym[w] = np.where(cols[None, :] + (cols[None, :] > a[:, None]) < width, np.take_along_axis(sym[w], source, 1), -3)
-            place[w] = np.take_along_axis(place[w], source, 1)
-            sym[w, a] = new
-            narrow = np.minimum(source[:, :-1], width - 2)
-            rank[w] = np.where(source[:, :-1] < width - 1, np.take_along_axis(rank[w], narrow, 1), _NEVER)
-            merged[w] = np.take_along_axis(merged[w], narrow, 1)
-            right = np.minimum(a, width - 2)
-            rank[w, right], merged[w, right] = self._lookup(sym[w, right], sym[w, right + 1])
-            has = a > 0
-            if has.any():
-                u, left = w[has], a[has] - 1
-                rank[u, left], merged[u, left] = self._lookup(sym[u, left], sym[u, left + 1])
+                entry = best[r].astype(C.U64) << C.U64(32) | a.astype(C.U64)
+                skip = (((entry * C.U64(0x9E3779B97F4A7C15) ^ key[r]) * C.U64(0xD6E8FEB86659FD93)) >> C.U64(24)) & C.U64(0xFFFFFFFF) < C.U64(self.keep_above)
+                order[r[skip], a[skip]] = _NEVER
+                r, a = r[~skip], a[~skip]
+            base = r * width
+            f_sym, f_right, f_left, f_order, f_merged = (x.reshape(-1) for x in (sym, right, left, order, merged))
+            i = base + a
+            j = base + f_right[i]
+            after, before = f_right[j], f_left[i]
+            new = f_merged[i]
+            f_sym[i], f_sym[j], f_order[j] = new, -2, _NEVER
+            f_right[i] = after
+            f_left[base + after] = a
+            f_order[i], f_merged[i] = self._lookup(new, f_sym[base + after])
+            p = base + before
+            f_order[p], f_merged[p] = self._lookup(f_sym[p], new)
+            last = base + width - 1  # what was written there for the first or last symbol of a row
+            f_left[last], f_order[last] = width - 2, _NEVER
 
     def encode_chunk(self, chunk: str, variant: int = 0) -> list[int]:
         """Ids of one chunk (its blanks still plain), by the agenda."""
@@ -223,45 +266,68 @@ class Codec:
                 out += [self.byte_ids[b] for b in c.encode()]
         return out
 
-    def trim(self, most: int = 900_000) -> None:
-        if sum(map(len, self._known)) > most:
-            for k in self._known:
-                k.clear()
+    def forget(self) -> None:
+        """Empty the memory: numbers of chunks; of (number * variants + variant) the entry; start, length and ids of entries."""
+        self._number: defaultdict[str, int] = defaultdict(count().__next__)
+        self._entry = np.full(1 << 16, -1, np.int32)
+        self._start, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self._ids = np.zeros(0, np.int32)
 
     def encode_all(self, texts: list[str], doc_ids: list[int]) -> list[np.ndarray]:
-        """Ids of each text; new chunks of all texts run their agendas together."""
-        cut, which = [], []
-        new: list[set[str]] = [set() for _ in range(self.variants)]
-        for text, doc in zip(texts, doc_ids):
-            chunks = self._chunk.findall(" " + text) if text else []
-            v = xxhash.xxh64_intdigest(f"{self.seed}:{doc}") % self.variants
-            cut.append(chunks)
-            which.append(v)
-            known = self._known[v]
-            new[v].update([c for c in set(chunks) if c not in known])
-        todo = [(v, c) for v, some in enumerate(new) for c in some]
-        short = [(v, c) for v, c in todo if len(c) < 48]
-        long = [(v, c) for v, c in todo if len(c) >= 48]  # kept for these texts only
-        for (v, c), ids in zip(short, self.encode_many([c for _, c in short], [v for v, _ in short])):
-            self._known[v][c] = ids
-        for v, c in long:
-            self._known[v][c] = np.array(self.encode_chunk(c, v), np.int32).tobytes()
-        out = [np.frombuffer(b"".join(map(self._known[v].__getitem__, chunks)), np.int32) for v, chunks in zip(which, cut)]
-        for v, c in long:
-            del self._known[v][c]
-        self.trim()
+        """Ids of each text. Texts are taken in groups of bounded length; the new chunks of a group run their agendas together."""
+        out, group, chars = [], 0, 0
+        for k, text in enumerate(texts):
+            chars += len(text)
+            if chars >= GROUP_CHARS or k == len(texts) - 1:
+                out += self._encode_group(texts[group : k + 1], doc_ids[group : k + 1])
+                group, chars = k + 1, 0
         return out
 
+    def _encode_group(self, texts: list[str], doc_ids: list[int]) -> list[np.ndarray]:
+        chunks: list[str] = []
+        ends = np.zeros(len(texts) + 1, np.int64)
+        for k, text in enumerate(texts):
+            if text:
+                chunks += self._chunk.findall(" " + text)
+            ends[k + 1] = len(chunks)
+        slot = np.fromiter(map(self._number.__getitem__, chunks), np.int64, len(chunks)) * self.variants
+        if self.variants > 1:
+            n = np.diff(ends)
+            place = np.arange(len(chunks)) - np.repeat(ends[:-1], n)
+            key = np.array([xxhash.xxh64_intdigest(f"{self.seed}:{doc}") for doc in doc_ids], C.U64)
+            slot += (C.mix(place.astype(C.U64) * C.U64(0x9E3779B97F4A7C15) ^ np.repeat(key, n)) % C.U64(self.variants)).astype(np.int64)
+        most = len(self._number) * self.variants
+        if most > len(self._entry):
+            self._entry = np.concatenate((self._entry, np.full(most, -1, np.int32)))
+        unknown = np.flatnonzero(self._entry[slot] < 0)
+        new, first = np.unique(slot[unknown], return_index=True)
+        some, variant = [chunks[k] for k in unknown[first].tolist()], (new % self.variants).tolist()
+        long = [k for k, c in enumerate(some) if len(c) >= LONG]
+        short = [k for k, c in enumerate(some) if len(c) < LONG]
+        order, ids, size = self.encode_many([some[k] for k in short], [variant[k] for k in short])
+        slow = [np.array(self.encode_chunk(some[k], variant[k]), np.int32) for k in long]
+        self._entry[new[np.array(short, np.int64)[order]]] = len(self._size) + np.arange(len(short))
+        self._entry[new[long]] = len(self._size) + len(short) + np.arange(len(long))
+        size = np.concatenate((size, np.array([len(x) for x in slow], np.int64)))
+        self._start = np.concatenate((self._start, len(self._ids) + np.cumsum(size) - size))
+        self._size = np.concatenate((self._size, size))
+        self._ids = np.concatenate((self._ids, ids, *slow))
+        entry = self._entry[slot]
+        size = self._size[entry]
+        total = np.cumsum(size)
+        flat = self._ids[np.repeat(self._start[entry] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+        cuts = np.concatenate(([0], total))[ends].tolist()
+        if long or len(self._size) > MEMORY:
+            self.forget()  # long chunks are kept for these texts only
+        return [flat[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
+
     def encode(self, text: str, doc_id: int = 0) -> np.ndarray:
         return self.encode_all([text], [doc_id])[0]
 
-    def decode(self, ids) -> str:
-        ids = np.asarray(ids, np.int64)
-        parts = []
-        for s in range(0, len(ids), 100_000):
-            part = ids[s : s + 100_000]
-            parts.append(self._padded[part][self._filled[part]].tobytes())
-        return b"".join(parts)[1:].decode()
+
+@cache
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 @cache
@@ -283,25 +349,25 @@ def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SE
                 yield pd.DataFrame({"doc_id": pd.array(key, "Int64"), "ids": ids})
 
     C.small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(C.tidy(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
     """doc_id and the decoded text of each row of ids; null for null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model, 0.0, 0, 1)
+        c = decoder(model)
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "decoded": [None if x is None else c.decode(x) for x in batch["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, decoded string")
+    return encoded.select("doc_id", "ids").mapInPandas(C.tidy(run), "doc_id long, decoded string")
 
 
 def decode_digest(encoded: DataFrame, model: str) -> DataFrame:
     """Each row of ids with n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids) and decoded_sha256 of the text that they decode to."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model, 0.0, 0, 1)
+        c = decoder(model)
         for batch in batches:
             ids = [np.zeros(0, np.int32) if x is None else np.asarray(x, np.int32) for x in batch["ids"]]
             yield pd.DataFrame({
@@ -310,4 +376,4 @@ def decode_digest(encoded: DataFrame, model: str) -> DataFrame:
                 "decoded_sha256": [None if x is None else hashlib.sha256(c.decode(x).encode()).hexdigest() for x in batch["ids"]],
             })
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInPandas(C.tidy(run), "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, decoded_sha256 string")
