@@ -20,7 +20,9 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -34,6 +36,7 @@ from . import common as C
 MAGIC = b"IDPLANE1"
 CHUNK = 1 << 16
 FILE_TOKENS = 1 << 26
+JOINED = 500
 END_ID = 2
 RESULT = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -202,7 +205,9 @@ class Reader:
 class Encoder:
     """The tokenizers library with a memory of blank-separated pieces.
 
-    Blanks and line feeds always part this vocabulary's tokens, so a text's ids are those of its pieces in order.
+    Blanks and line feeds always part this vocabulary's tokens, so a text's ids are those of its pieces in order. New
+    pieces of letters alone go to the library many at a time, joined by blanks. Where each of them is one word to the library its
+    ids end in just one id with the end-of-word suffix; if the ends are not as many as the pieces, the pieces go one by one.
     """
 
     def __init__(self, path: str) -> None:
@@ -212,21 +217,72 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 32:
             raise ValueError("ids need 32 bits at most")
-        self.known: dict[str, bytes] = {"": b""}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(0, np.bool_)
+        if suffix:
+            vocab = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocab.values()) + 1, np.bool_)
+            self.ends[[i for w, i in vocab.items() if w.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory: numbers of pieces, and start, length and ids of each number."""
+        self.number: defaultdict[str, int] = defaultdict(count().__next__)
+        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids and the number of ids of each piece."""
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for s in range(0, len(pieces), 10_000):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(pieces[s : s + 10_000], add_special_tokens=False)]
+            ids.append(np.fromiter(chain.from_iterable(got), np.uint32))
+            sizes.append(np.fromiter(map(len, got), np.int64, len(got)))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _joined(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for s in range(0, len(pieces), JOINED):
+            part = pieces[s : s + JOINED]
+            flat, _ = self._each([" ".join(part)])
+            at = np.flatnonzero(self.ends[flat])
+            if len(at) == len(part) and at[-1] == len(flat) - 1:
+                ids.append(flat)
+                sizes.append(np.diff(at, prepend=-1))
+            else:
+                for kept, x in zip((ids, sizes), self._each(part)):
+                    kept.append(x)
+        return np.concatenate(ids), np.concatenate(sizes)
 
     def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for words in cut for w in words if w not in self.known})
-        for s in range(0, len(new), 20_000):
-            part = new[s : s + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, np.uint32).tobytes()
-        look = self.known.__getitem__
-        end = np.array([END_ID], np.uint32).tobytes()
-        out = [np.frombuffer(b"".join(map(look, words)) + end, np.uint32) for words in cut]
-        if len(self.known) > 700_000:
-            self.known = {"": b""}
-        return out
+        """Ids of each text and the end id, all in one array cut by text."""
+        pieces: list[str] = []
+        stop = np.zeros(len(texts), np.int64)
+        for k, t in enumerate(texts):
+            pieces += t.replace("\n", " ").split(" ")
+            stop[k] = len(pieces)
+        number = np.fromiter(map(self.number.__getitem__, pieces), np.int64, len(pieces))
+        known = len(self.size)
+        fresh = len(self.number) - known
+        if fresh:
+            at = np.zeros(fresh, np.int64)
+            late = np.flatnonzero(number >= known)
+            at[number[late] - known] = late
+            new = [pieces[k] for k in at.tolist()]
+            letters = np.fromiter(map(str.isalpha, new), np.bool_, fresh) & (len(self.ends) > 0)
+            start, size = np.zeros(fresh, np.int64), np.zeros(fresh, np.int64)
+            for which, encode in ((np.flatnonzero(letters), self._joined), (np.flatnonzero(~letters), self._each)):
+                ids, n = encode([new[k] for k in which.tolist()])
+                size[which], start[which] = n, len(self.ids) + np.cumsum(n) - n
+                self.ids = np.concatenate((self.ids, ids))
+            self.start, self.size = np.concatenate((self.start, start)), np.concatenate((self.size, size))
+        size = self.size[number]
+        total = np.cumsum(size)
+        flat = self.ids[np.repeat(self.start[number] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
+        ends = total[stop - 1]
+        out = np.insert(flat, ends, np.uint32(END_ID))
+        if len(self.number) > 500_000 or len(self.ids) > 4_000_000:
+            self.forget()
+        return np.split(out, ends[:-1] + np.arange(1, len(texts))) if texts else []
 
 
 _encoders: dict[str, Encoder] = {}
