@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+
 #: Headings that reset the section of a document. Fixed values.
 PLAIN_HEADINGS = "overview introduction configuration security summary details notes background requirements"
 
@@ -22,6 +24,11 @@ def key_form(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
+def data_key(x: Column) -> Column:
+    """:func:`key_form`; a key without any letter or digit of it keeps its underscores, so that it is not empty."""
+    return F.when(key_form(x) != "", key_form(x)).otherwise(T.predicate_form(F.trim(x)))
+
+
 def value_type(predicate: Column, value: Column) -> Column:
     """Type tag of a single value; the first rule that holds decides."""
     p, v = F.lower(predicate), F.trim(value)
@@ -37,8 +44,7 @@ def value_type(predicate: Column, value: Column) -> Column:
 
 
 def _claims(rows: DataFrame, subject: Column, confidence: float, method: str) -> DataFrame:
-    kept = rows.where((F.length("predicate") > 2) & (F.trim("value") != "") & ~F.col("value").rlike("^http"))
-    return kept.select("path", "line_no", subject.alias("subject"), "predicate", F.trim("value").alias("value"), value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method"))
+    return rows.select("path", "line_no", subject.alias("subject"), "predicate", F.trim("value").alias("value"), value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method"))
 
 
 def base_name(path: Column) -> Column:
@@ -52,8 +58,8 @@ def yaml_claims(files: DataFrame) -> DataFrame:
     forms = (key + r'"([^"]*)"\s*(?:#.*)?$', key + r"'([^']*)'\s*(?:#.*)?$", key + r"([^#\s{\[\"'][^#]*?)\s*(?:#.*)?$")
     rows = lines(files).where(~F.col("line").rlike(r"^\s*#"))
     hit = F.coalesce(*(F.when(F.col("line").rlike(p), F.struct(at(p, 1).alias("k"), at(p, 2).alias("v"))) for p in forms))
-    rows = rows.withColumn("kv", hit).where("kv IS NOT NULL").select("path", "line_no", key_form(F.col("kv.k")).alias("predicate"), F.col("kv.v").alias("value"))
-    return _claims(rows, base_name(F.col("path")), 0.9, "yaml_parse")
+    rows = rows.withColumn("kv", hit).where("kv IS NOT NULL").select("path", "line_no", data_key(F.col("kv.k")).alias("predicate"), F.col("kv.v").alias("value"))
+    return _claims(rows.where("trim(value) <> ''"), base_name(F.col("path")), 0.9, "yaml_parse")
 
 
 def csv_claims(files: DataFrame) -> DataFrame:
@@ -64,8 +70,8 @@ def csv_claims(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("header", F.first("cells").over(first)).where("line_no > 1")
     rows = rows.select("*", F.posexplode("cells").alias("k", "value")).where("k > 0 AND k < size(header)")
     subject = F.when(F.col("cells")[0] != "", F.col("cells")[0]).otherwise(F.concat(base_name(F.col("path")), F.lit("_row_"), F.col("line_no") - 1))
-    rows = rows.withColumn("predicate", key_form(F.col("header")[F.col("k")])).withColumn("subject", subject)
-    return _claims(rows, F.col("subject"), 0.95, "csv_parse")
+    rows = rows.withColumn("predicate", data_key(F.col("header")[F.col("k")])).withColumn("subject", subject)
+    return _claims(rows.where("predicate <> '' AND trim(value) <> ''"), F.col("subject"), 0.95, "csv_parse")
 
 
 def json_claims(files: DataFrame, depth: int = 5) -> DataFrame:
@@ -75,7 +81,7 @@ def json_claims(files: DataFrame, depth: int = 5) -> DataFrame:
     for _ in range(depth):
         level.createOrReplaceTempView("veridiff_json_level")
         kids = level.sparkSession.sql("SELECT path, prefix, e.key AS k, e.value AS v FROM veridiff_json_level, LATERAL variant_explode(v) AS e WHERE schema_of_variant(v) LIKE 'OBJECT%' AND e.key IS NOT NULL")
-        name = F.when(F.col("prefix") == "", key_form(F.col("k"))).otherwise(F.concat_ws("_", "prefix", key_form(F.col("k"))))
+        name = F.when(F.col("prefix") == "", data_key(F.col("k"))).otherwise(F.concat_ws("_", "prefix", data_key(F.col("k"))))
         kids = kids.withColumn("predicate", name).withColumn("kind", F.expr("schema_of_variant(v)"))
         leaves = kids.where("kind NOT LIKE 'OBJECT%' AND kind NOT LIKE 'ARRAY%' AND kind <> 'VOID'").select("path", F.lit(None).cast("int").alias("line_no"), "predicate", F.expr("cast(v as string)").alias("value"))
         out = leaves if out is None else out.unionByName(leaves)
@@ -103,6 +109,7 @@ def markdown_claims(files: DataFrame) -> DataFrame:
     key = key_form(F.col("kv.k"))
     named = F.when((F.col("section") != "") & ~F.startswith(key, F.col("section")), F.concat_ws("_", "section", key)).otherwise(key)
     rows = rows.select("path", "line_no", named.alias("predicate"), F.regexp_replace("kv.v", "[*`]", "").alias("value"))
+    rows = rows.where((F.length("predicate") > 2) & (F.trim("value") != "") & ~F.col("value").rlike("^http"))
     return _claims(rows, base_name(F.col("path")), 0.85, "regex")
 
 
@@ -143,7 +150,7 @@ def workflow_claims(files: DataFrame) -> DataFrame:
 def package_claims(files: DataFrame) -> DataFrame:
     engines = files.select("path", F.explode(F.from_json(F.get_json_object("content", "$.engines"), "map<string,string>")).alias("k", "value"))
     rows = engines.select("path", F.lit(None).cast("int").alias("line_no"), F.concat(key_form(F.col("k")), F.lit("_version")).alias("predicate"), "value")
-    return _claims(rows, F.lit("repository"), 0.95, "json_parse")
+    return _claims(rows.where("trim(value) <> ''"), F.lit("repository"), 0.95, "json_parse")
 
 
 def redact(x: Column) -> Column:
