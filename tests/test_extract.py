@@ -22,3 +22,14 @@ def found(spark, reader, path, content):
 )
 def test_only_markdown_drops_urls_and_short_keys(spark, reader, path, content, want):
     assert found(spark, getattr(extract, reader), path, content) == want
+
+
+def test_json_has_no_depth_limit_and_takes_named_items(spark):
+    keys = [f"k{i}" for i in range(300)]
+    deep = "".join(f'{{"{k}": ' for k in keys) + '"end"' + "}" * len(keys)
+    assert found(spark, extract.json_claims, "a.json", deep) == [("_".join(keys), "end")]
+    pod = '{"spec": {"env": [{"name": "DB_HOST", "value": "a.b"}, {"name": "Max-Conn", "value": 10}, {"name": 1, "value": 2}, {"name": "x"}, 5], "off": null, "on": true, "n": 1.50}}'
+    assert found(spark, extract.json_claims, "a.json", pod) == [("db_host", "a.b"), ("max_conn", "10"), ("spec_n", "1.5"), ("spec_on", "true")]
+    assert found(spark, extract.json_claims, "a.json", '[{"a": 1}, {"a": 12345678901234567890}]') == [("0_a", "1"), ("1_a", "12345678901234567890")]
+    for broken in ('{"a": 1', '{"a": NaN}', "", "7", '"text"', "null"):
+        assert found(spark, extract.json_claims, "a.json", broken) == []

@@ -1,10 +1,15 @@
-"""Claims out of text files, configuration files and pages: lines, patterns and window functions, no Python at run time.
+"""Claims out of text files, configuration files and pages: lines, patterns and window functions, no Python at run time but for JSON.
 
 Every reader takes a table of contents (path, content) such as ``spark.read.format("binaryFile")`` gives after a cast, so fetching stays outside.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from decimal import Decimal
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -74,19 +79,60 @@ def csv_claims(files: DataFrame) -> DataFrame:
     return _claims(rows.where("predicate <> '' AND trim(value) <> ''"), F.col("subject"), 0.95, "csv_parse")
 
 
-def json_claims(files: DataFrame, depth: int = 5) -> DataFrame:
-    """Scalar leaves of nested objects as ``outer_inner``; arrays are not descended; malformed files give no rows."""
-    level = files.select("path", F.lit("").alias("prefix"), F.expr("try_parse_json(content)").alias("v")).where("v IS NOT NULL")
-    out = None
-    for _ in range(depth):
-        level.createOrReplaceTempView("veridiff_json_level")
-        kids = level.sparkSession.sql("SELECT path, prefix, e.key AS k, e.value AS v FROM veridiff_json_level, LATERAL variant_explode(v) AS e WHERE schema_of_variant(v) LIKE 'OBJECT%' AND e.key IS NOT NULL")
-        name = F.when(F.col("prefix") == "", data_key(F.col("k"))).otherwise(F.concat_ws("_", "prefix", data_key(F.col("k"))))
-        kids = kids.withColumn("predicate", name).withColumn("kind", F.expr("schema_of_variant(v)"))
-        leaves = kids.where("kind NOT LIKE 'OBJECT%' AND kind NOT LIKE 'ARRAY%' AND kind <> 'VOID'").select("path", F.lit(None).cast("int").alias("line_no"), "predicate", F.expr("cast(v as string)").alias("value"))
-        out = leaves if out is None else out.unionByName(leaves)
-        level = kids.where("kind LIKE 'OBJECT%'").select("path", F.col("predicate").alias("prefix"), "v")
-    return _claims(out, base_name(F.col("path")), 0.95, "json_parse")
+def _number(x: Decimal) -> str:
+    """Shortest plain text of a JSON number, exact; very large and small ones keep their exponent."""
+    if not x:
+        return "0"
+    text = format(x, "f") if -7 <= x.adjusted() < 21 else str(x).lower()
+    return text.rstrip("0").rstrip(".") if "." in text and "e" not in text else text
+
+
+def _scalar(x) -> str:
+    """Text of a JSON value; of the value of a {name, value} item also where it is null, an array or an object, as the reference has it."""
+    if isinstance(x, str):
+        return x.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(x, list):
+        return ",".join("" if v is None else _scalar(v) for v in x)
+    return _number(x) if isinstance(x, Decimal) else "[object Object]" if isinstance(x, dict) else {True: "true", False: "false", None: "null"}[x]
+
+
+def _not_json(word: str):
+    raise ValueError(f"{word} is no JSON")
+
+
+def _json_leaves(content: str | None) -> Iterator[tuple[list[str], str]]:
+    """(keys from the root, text) of each scalar leaf at any depth, and ([name], value) of each {name, value} item of an array."""
+    try:
+        root = json.loads(content or "", parse_int=Decimal, parse_float=Decimal, parse_constant=_not_json)
+    except ValueError:
+        return
+    stack = [((), dict(enumerate(root)) if isinstance(root, list) else root)]
+    while stack:
+        keys, node = stack.pop()
+        if isinstance(node, dict):
+            stack += [((*keys, _scalar(str(k))), v) for k, v in reversed(node.items())]
+        elif isinstance(node, list):
+            named = (v for v in node if isinstance(v, dict) and isinstance(v.get("name"), str) and "value" in v)
+            yield from (([_scalar(v["name"])], _scalar(v["value"])) for v in named)
+        elif node is not None and keys:
+            yield list(keys), _scalar(node)
+
+
+def json_claims(files: DataFrame) -> DataFrame:
+    """Scalar leaves of nested objects of any depth as ``outer_inner``; of arrays the {name, value} items, under the bare name.
+
+    Other items of arrays and nulls give nothing, malformed files give no rows. A file nested too deeply for the parser (thousands of levels) is an error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                yield pd.DataFrame([(path, *leaf) for leaf in _json_leaves(content)], columns=["path", "keys", "value"])
+
+    rows = files.select("path", "content").mapInPandas(run, "path string, keys array<string>, value string")
+    predicate = F.array_join(F.transform("keys", data_key), "_")
+    rows = rows.select("path", F.lit(None).cast("int").alias("line_no"), predicate.alias("predicate"), "value")
+    return _claims(rows, base_name(F.col("path")), 0.95, "json_parse")
 
 
 def markdown_claims(files: DataFrame) -> DataFrame:
