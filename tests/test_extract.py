@@ -33,3 +33,42 @@ def test_json_has_no_depth_limit_and_takes_named_items(spark):
     assert found(spark, extract.json_claims, "a.json", '[{"a": 1}, {"a": 12345678901234567890}]') == [("0_a", "1"), ("1_a", "12345678901234567890")]
     for broken in ('{"a": 1', '{"a": NaN}', "", "7", '"text"', "null"):
         assert found(spark, extract.json_claims, "a.json", broken) == []
+
+
+def test_html_table_rows(spark):
+    html = "<p>Intro text</p><table><TR class='x'><th>\n <b>OS</b>&nbsp;</th><td>a&lt;b</td><td>more text</td></TR><tr><td>only cell</td></tr><tr><td>ip</td><td></td><td>::1</td></tr></table><p>After</p>"
+    pages = spark.createDataFrame([(1, html), (2, "<p>no table</p>"), (3, None), (4, "<tr><td>open</td><p>tail line</p>")], "page_id int, html string")
+    got = [(r.page_id, r.line) for r in extract.html_lines(pages).collect()]
+    assert got == [(1, "Intro text"), (1, "OS: a<b"), (1, "only cell"), (1, "ip: ::1"), (1, "After"), (2, "no table"), (4, "open"), (4, "tail line")]
+
+
+def test_package_dependencies_and_ports(spark):
+    pkg = """{"engines": {"node": ">=18"}, "dependencies": {"react": "^18.2.0", "left-pad": "1.0.0", "@modelcontextprotocol/sdk": "1.0.0"},
+        "devDependencies": {"typescript": "5.4.2"}, "scripts": {"start": "PORT=8080 node .", "dev": "next dev --port 3000", "lint": "eslint ."}}"""
+    rows = extract.package_claims(spark.createDataFrame([("package.json", pkg), ("b/package.json", "{}"), ("c/package.json", "{")], "path string, content string")).collect()
+    assert sorted((r.predicate, r.value, r.confidence, r.environment) for r in rows) == [
+        ("mcp_sdk_version", "1.0.0", 0.9, "production"), ("node_version", ">=18", 0.95, "production"), ("port", "3000", 0.85, "development"),
+        ("port", "8080", 0.85, "production"), ("react_version", "^18.2.0", 0.9, "production"), ("typescript_version", "5.4.2", 0.9, "development"),
+    ]
+
+
+def test_workflow_runner(spark):
+    assert found(spark, extract.workflow_claims, "ci.yml", "jobs:\n  a:\n    runs-on: ubuntu-22.04\n    node-version: [18.x, 20]") == [("ci_runner_os", "ubuntu-22.04"), ("node_version", "18"), ("node_version", "20")]
+
+
+def test_markdown_wide_tables(spark):
+    text = """## Ports
+| Service | Port | Home page | Notes |
+|---|---|---|---|
+| gateway | `443` | https://g.org | - |
+
+| cache | 6379 | | x |
+| Name | 1 | 2 | 3 |
+plain line
+| db | 5432 | late |
+| Key | Value |
+|---|---|
+| region | eu |"""
+    assert found(spark, extract.markdown_claims, "a.md", text) == [
+        ("ports_cache_notes", "x"), ("ports_cache_port", "6379"), ("ports_db", "5432"), ("ports_gateway_home_page", "https://g.org"), ("ports_gateway_port", "443"), ("ports_region", "eu"),
+    ]

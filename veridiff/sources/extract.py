@@ -19,6 +19,14 @@ from ..functions import text as T
 #: Headings that reset the section of a document. Fixed values.
 PLAIN_HEADINGS = "overview introduction configuration security summary details notes background requirements"
 
+#: First cells of table rows that hold no fact. Fixed values.
+TABLE_WORDS = "property setting key parameter attribute specification requirement requirements component minimum recommended default description notes feature variable option name field spec"
+#: Dependencies of a package file that give claims. Fixed values.
+DEPENDENCIES = {
+    "typescript": "typescript_version", "react": "react_version", "next": "next_version", "express": "express_version", "@modelcontextprotocol/sdk": "mcp_sdk_version",
+    "@modelcontextprotocol/server": "mcp_server_version", "@modelcontextprotocol/client": "mcp_client_version",
+}
+
 
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
     """One row per line with its number from 1."""
@@ -48,8 +56,8 @@ def value_type(predicate: Column, value: Column) -> Column:
     )
 
 
-def _claims(rows: DataFrame, subject: Column, confidence: float, method: str) -> DataFrame:
-    return rows.select("path", "line_no", subject.alias("subject"), "predicate", F.trim("value").alias("value"), value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method"))
+def _claims(rows: DataFrame, subject: Column, confidence: float | Column, method: str, *more: str) -> DataFrame:
+    return rows.select("path", "line_no", subject.alias("subject"), "predicate", F.trim("value").alias("value"), value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method"), *more)
 
 
 def base_name(path: Column) -> Column:
@@ -136,7 +144,10 @@ def json_claims(files: DataFrame) -> DataFrame:
 
 
 def markdown_claims(files: DataFrame) -> DataFrame:
-    """Sections, direct ``key: value`` lines and two-column tables; the section of a line is carried forward by a window."""
+    """Sections, direct ``key: value`` lines and tables; sections and table headers are carried forward by windows.
+
+    A row of more than two cells under a header of more than two gives a claim ``row_column`` for each further cell; under no such header its first two cells count.
+    """
     rows = lines(files)
     order = Window.partitionBy("path").orderBy("line_no")
     heading = F.regexp_extract("line", r"^#{2,6}\s+(.+?)\s*$", 1)
@@ -146,16 +157,29 @@ def markdown_claims(files: DataFrame) -> DataFrame:
     kv = r"^\s*(?:[-*+]|\d+\.)?\s*[*_`]*([A-Za-z][A-Za-z0-9 _\-./]{1,49}?)[*_`]*\s*[:=]\s*[*_`]*([^#|]{1,160}?)[*_`]*\s*$"
     cell = r"^\s*\|\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*$"
     rule = r"^\s*\|?[\s:|-]+\|?\s*$"
+    bare = lambda c: F.regexp_replace(c, r"""^[*`_"'\s]+|[*`_"'\s]+$""", "")
     below = F.lead("line").over(order)
     rows = rows.withColumn("is_header", F.coalesce(below.rlike(rule) & F.col("line").contains("|"), F.lit(False)))
     hit = F.when(F.col("line").rlike(cell) & ~F.col("line").rlike(rule) & ~F.col("is_header"), F.struct(F.regexp_extract("line", cell, 1).alias("k"), F.regexp_extract("line", cell, 2).alias("v"))).when(
         F.col("line").rlike(kv), F.struct(F.regexp_extract("line", kv, 1).alias("k"), F.regexp_extract("line", kv, 2).alias("v"))
     )
-    rows = rows.withColumn("kv", hit).where("kv IS NOT NULL")
-    key = key_form(F.col("kv.k"))
+    is_row = F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(rule)
+    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    outside = ~F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~(F.col("line").rlike(rule) & F.col("line").contains("|")) & (F.trim("line") != "") & (heading == "")
+    header = F.when(is_row & F.col("is_header"), F.transform(cells, key_form)).when(outside, F.array().cast("array<string>"))
+    rows = rows.withColumn("header", F.coalesce(F.last(header, ignorenulls=True).over(order), F.array().cast("array<string>"))).withColumn("cells", cells)
+    rows = rows.withColumn("wide", is_row & ~F.col("is_header") & (F.size("cells") > 2)).withColumn("row_key", key_form(F.col("cells")[0]))
+    by_column = F.transform(F.slice("cells", 2, F.size("cells")), lambda c, i: F.struct(
+        F.concat_ws("_", "row_key", F.coalesce(F.nullif(F.get("header", i + 1), F.lit("")), F.concat(F.lit("col_"), i + 1))).alias("k"), bare(c).alias("v"), F.lit(True).alias("any")))
+    by_column = F.filter(by_column, lambda x: ~x["v"].isin("", "-") & ~F.contains(x["v"], F.lit("---")))
+    first_two = F.array(F.struct(F.col("row_key").alias("k"), bare(F.col("cells")[1]).alias("v"), F.lit(False).alias("any")))
+    of_row = F.when(F.col("row_key").isin(TABLE_WORDS.split()), F.array().cast("array<struct<k:string,v:string,any:boolean>>")).when(F.size("header") > 2, by_column).otherwise(first_two)
+    single = F.when(hit.isNotNull(), F.array(F.struct(key_form(hit["k"]).alias("k"), F.regexp_replace(hit["v"], "[*`]", "").alias("v"), F.lit(False).alias("any"))))
+    rows = rows.withColumn("kv", F.explode(F.when(F.col("wide"), of_row).otherwise(single)))
+    key = F.col("kv.k")
     named = F.when((F.col("section") != "") & ~F.startswith(key, F.col("section")), F.concat_ws("_", "section", key)).otherwise(key)
-    rows = rows.select("path", "line_no", named.alias("predicate"), F.regexp_replace("kv.v", "[*`]", "").alias("value"))
-    rows = rows.where((F.length("predicate") > 2) & (F.trim("value") != "") & ~F.col("value").rlike("^http"))
+    rows = rows.select("path", "line_no", named.alias("predicate"), F.col("kv.v").alias("value"), "kv.any")
+    rows = rows.where((F.trim("value") != "") & (F.col("any") | (F.length("predicate") > 2) & ~F.col("value").rlike("^http")))
     return _claims(rows, base_name(F.col("path")), 0.85, "regex")
 
 
@@ -165,9 +189,27 @@ def license_lines(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.regexp_extract("line", p, 1).alias("license"))
 
 
+def _row_lines(html: Column) -> Column:
+    """Page text with each table row rewritten as a line of its own: the gaps between the rows, each with the row that follows it."""
+    row = r"(?is)<tr\b[^>]*>(.*?)</tr>"
+
+    def line(content: Column) -> Column:
+        cells = F.regexp_extract_all(content, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
+        plain = F.transform(cells, lambda c: F.regexp_replace(F.replace(F.regexp_replace(c, "<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" ")), r"(?U)^\s+|\s+$", ""))
+        filled = F.filter(plain, lambda c: c != "")
+        return F.concat(F.lit("\n"), F.when(F.size(filled) >= 2, F.array_join(F.slice(filled, 1, 2), ": ")).otherwise(F.array_join(filled, " ")), F.lit("\n"))
+
+    parts = F.struct(F.split(html, row, -1).alias("gaps"), F.transform(F.regexp_extract_all(html, F.lit(row), F.lit(1)), line).alias("rows"))
+    joined = T.let(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(p["rows"], i), F.lit("")))), ""))
+    return F.when(html.rlike(r"(?i)<tr\b"), joined).otherwise(html)
+
+
 def html_lines(pages: DataFrame) -> DataFrame:
-    """Text lines of a page without scripts and styles; entities decoded, short lines and code comments left out."""
-    text = F.regexp_replace(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>", "\n"), "<[^>]*>", "\n")
+    """Text lines of a page without scripts and styles; entities decoded, short lines and code comments left out.
+
+    A table row of two or more filled cells is the line ``first: second``, as in the reference, which leaves further cells out; any other row is its cells in one line.
+    """
+    text = F.regexp_replace(_row_lines(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>", "\n")), "<[^>]*>", "\n")
     rows = pages.select("page_id", F.explode(F.split(text, "\n")).alias("line"))
     line = F.col("line")
     for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
@@ -186,17 +228,27 @@ def dockerfile_claims(files: DataFrame) -> DataFrame:
 
 
 def workflow_claims(files: DataFrame) -> DataFrame:
-    """``node-version`` lists give one claim each under one multi-value context."""
-    p = r"^\s*(?:-\s*)?node-version:\s*(.+?)\s*$"
+    """``node-version`` lists give one claim each under one multi-value context; ``runs-on`` gives the runner's system."""
+    p, runner = r"^\s*(?:-\s*)?node-version:\s*(.+?)\s*$", r"(?i)runs-on:\s*([A-Za-z0-9_.\-]+)"
     rows = lines(files).where(F.col("line").rlike(p)).withColumn("raw", F.regexp_extract("line", p, 1))
     values = F.transform(F.split(F.regexp_replace("raw", r"[\[\]\"']", ""), ","), lambda v: F.regexp_replace(F.trim(v), r"\.x$", ""))
-    return rows.select("path", "line_no", F.lit("node_version").alias("predicate"), F.explode(values).alias("value"), F.when(F.col("raw").rlike(r"^\["), "ci_matrix").otherwise("ci_step").alias("multi_value_context"))
+    versions = rows.select("path", "line_no", F.lit("node_version").alias("predicate"), F.explode(values).alias("value"), F.when(F.col("raw").rlike(r"^\["), "ci_matrix").otherwise("ci_step").alias("multi_value_context"))
+    on = lines(files).where(F.col("line").rlike(runner))
+    return versions.unionByName(on.select("path", "line_no", F.lit("ci_runner_os").alias("predicate"), F.regexp_extract("line", runner, 1).alias("value"), F.lit("ci_runner").alias("multi_value_context")))
 
 
 def package_claims(files: DataFrame) -> DataFrame:
-    engines = files.select("path", F.explode(F.from_json(F.get_json_object("content", "$.engines"), "map<string,string>")).alias("k", "value"))
-    rows = engines.select("path", F.lit(None).cast("int").alias("line_no"), F.concat(key_form(F.col("k")), F.lit("_version")).alias("predicate"), "value")
-    return _claims(rows.where("trim(value) <> ''"), F.lit("repository"), 0.95, "json_parse")
+    """Engines, the listed dependencies and the ports of scripts, with the environment that each speaks of."""
+    port = r"(?i)(?:--port\s+|PORT=)(\d{2,5})"
+    part = lambda name: F.from_json(F.get_json_object("content", f"$.{name}"), "map<string,string>")
+    claim = lambda k, v, confidence, dev: F.struct(k.alias("predicate"), v.alias("value"), F.lit(confidence).alias("confidence"), F.when(dev, "development").otherwise("production").alias("environment"))
+    rows = files.select("path", *(part(n).alias(n) for n in ("engines", "dependencies", "devDependencies", "scripts")))
+    each = lambda m, body: F.coalesce(F.transform(F.map_entries(m), lambda e: body(e["key"], e["value"])), F.array())
+    engines = each("engines", lambda k, v: claim(F.concat(key_form(k), F.lit("_version")), v, 0.95, F.lit(False)))
+    deps = F.array(*(claim(F.lit(p), F.coalesce(F.try_element_at("dependencies", F.lit(n)), F.try_element_at("devDependencies", F.lit(n))), 0.9, F.coalesce(F.map_contains_key("devDependencies", n), F.lit(False))) for n, p in DEPENDENCIES.items()))
+    ports = each("scripts", lambda k, v: claim(F.lit("port"), F.regexp_extract(v, port, 1), 0.85, F.lower(k).rlike("dev|test")))
+    rows = rows.select("path", F.lit(None).cast("int").alias("line_no"), F.inline(F.concat(engines, deps, ports)))
+    return _claims(rows.where("trim(value) <> ''"), F.lit("repository"), F.col("confidence"), "json_parse", "environment")
 
 
 def redact(x: Column) -> Column:
