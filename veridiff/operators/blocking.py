@@ -78,3 +78,22 @@ def probe_pairs(touched: DataFrame, claims: DataFrame) -> DataFrame:
     near = T.synonyms(pa, pb) | T.synonyms(la, lb) | (T.composite_similarity(pa, pb) >= 0.65) & ~((la != lb) & (F.contains(pa, F.lit("_")) | F.contains(pb, F.lit("_"))))
     by_subject = x.join(y, F.col("xs") == F.col("ys")).where(near)
     return _ordered(by_predicate.unionByName(by_subject).where("x <> y")).dropDuplicates(["pair_key"])
+
+
+def source_pairs(mine: DataFrame, claims: DataFrame) -> DataFrame:
+    """Pairs of the claims of one source with all claims that the match accepts: no block keys, so none is missed.
+
+    The match looks at subjects and predicates only, so these are compared instead of claims, each once: first all predicates with equal subjects
+    (what fails there fails with any subjects), then the subjects of the predicates left. Both orders are tried, as the pair's order decides later.
+    """
+    match = lambda sa, pa, sb, pb: T.match_claims(sa, pa, sb, pb)["matches"] | T.match_claims(sb, pb, sa, pa)["matches"]
+    n = max(4, claims.sparkSession.sparkContext.defaultParallelism)
+    texts = lambda df, a: df.select(F.col("subject").alias(f"{a}_subject"), F.col("predicate").alias(f"{a}_predicate")).distinct()
+    mine_texts, all_texts = texts(mine, "x"), texts(claims, "y")
+    one = F.lit("x")
+    predicates = mine_texts.select("x_predicate").distinct().repartition(n).join(all_texts.select("y_predicate").distinct(), match(one, F.col("x_predicate"), one, F.col("y_predicate")))
+    near = mine_texts.join(predicates, "x_predicate").join(all_texts, "y_predicate").repartition(n)
+    near = near.where(match(*(F.col(c) for c in ("x_subject", "x_predicate", "y_subject", "y_predicate"))))
+    side = lambda df, a: df.select(F.col("id").alias(a), F.col("subject").alias(f"{a}_s"), F.col("predicate").alias(f"{a}_p"))
+    on = lambda a: F.col(f"{a}_s").eqNullSafe(F.col(f"{a}_subject")) & (F.col(f"{a}_p") == F.col(f"{a}_predicate"))
+    return _ordered(near.join(side(mine, "x"), on("x")).join(side(claims, "y"), on("y")).where("x <> y")).dropDuplicates(["pair_key"])
