@@ -53,7 +53,7 @@ def format_turns(conversations: DataFrame, model: str) -> DataFrame:
     C.small_batches(spark)
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model, 0.0, 0, 1)
+        c = codec(model, 0.0, 0)
         if len(c.bytes_of) > 1 << 16:
             raise ValueError("ids need 16 bits at most")
         for batch in batches:
@@ -107,7 +107,7 @@ def read_digests(turns: DataFrame, model: str) -> DataFrame:
     """DIGEST of each conversation, read back from rows of TURN that are together and in order; a running hash, nothing is gathered."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model, 0.0, 0, 1)
+        c = codec(model, 0.0, 0)
         now: object = ()
         state: list = []
 

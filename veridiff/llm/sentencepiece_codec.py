@@ -7,9 +7,9 @@ the pair anew. Characters without a piece, and any U+2581 of the text itself, be
 decodes to the text exactly, whatever the dropout.
 
 No piece of the vocabulary spans from another character to a blank, nor holds a line feed (checked when the model is
-loaded), so texts are encoded by chunks: a run of blanks with what follows it up to the next blank. Chunks are
-remembered, by variant. The variant of each chunk is a keyed hash of (seed, doc_id, place of the chunk) modulo
-``variants``, so one word is cut differently at different places, and anew with each seed.
+loaded), so texts are encoded by chunks: a run of blanks with what follows it up to the next blank. The variant of each
+chunk is a keyed hash of (seed, doc_id, place of the chunk), so each occurrence of a word is cut by itself, and anew with each seed. Remembered are
+the merges of a chunk without dropout and what they give: an occurrence that skips none of them is that; any other one runs its own agenda.
 
 Defined cases. Null text: ids null and null decoded. Empty text: no ids, decoded empty. Null doc_id: hashed as -1. Repeated rows give equal
 ids. Empty tables give empty tables. Extra columns are ignored. The vocabulary file is a parameter; it is read on each executor.
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from . import common as C
 
 BLANK = "▁"
-DROPOUT, SEED, VARIANTS = 0.1, 20240229, 8
+DROPOUT, SEED = 0.1, 20240229
 GROUP_CHARS, LONG, MEMORY = 1_000_000, 48, 400_000
 _NEVER = np.int32(2**31 - 1)
 _TABLE = 1 << 20
@@ -46,6 +46,21 @@ def _slot(key: np.ndarray) -> np.ndarray:
     return (key.astype(C.U64) * C.U64(0x9E3779B97F4A7C15) >> C.U64(44)).astype(np.int64)
 
 
+def _skips(entry, key, keep_above):
+    """Whether the merge of an agenda's entry is skipped under a chunk's key; for arrays of 64-bit numbers."""
+    return (((entry * C.U64(0x9E3779B97F4A7C15) ^ key) * C.U64(0xD6E8FEB86659FD93)) >> C.U64(24)) & C.U64(0xFFFFFFFF) < C.U64(keep_above)
+
+
+def _keys(hashes: np.ndarray, variants: np.ndarray) -> np.ndarray:
+    return C.mix(hashes ^ variants * C.U64(0x9E3779B97F4A7C15))
+
+
+def _spread(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Places start, start + 1, ... of each run, one run after the other."""
+    total = np.cumsum(size)
+    return np.repeat(start - total + size, size) + np.arange(total[-1] if len(total) else 0)
+
+
 def default_model() -> str:
     import public_tokenizers
 
@@ -86,7 +101,7 @@ class Decoder:
 
 
 class Codec(Decoder):
-    def __init__(self, path: str, dropout: float = 0.0, seed: int = SEED, variants: int = VARIANTS) -> None:
+    def __init__(self, path: str, dropout: float = 0.0, seed: int = SEED) -> None:
         super().__init__(path)
         breaks = re.compile(f"[^{BLANK}]{BLANK}")
         if any(breaks.search(p) or "\n" in p for p in self.ids):
@@ -100,7 +115,7 @@ class Codec(Decoder):
         # U+2581 of the text is no blank: it has no symbol of its own and becomes bytes
         self._symbol = {p: i for p, i in self.ids.items() if len(p) == 1 and p != BLANK} | {" ": self.ids[BLANK]}
         self.keep_above = int(dropout * 2**32)
-        self.seed, self.variants = seed, max(1, variants if dropout else 1)
+        self.seed = seed
         keys = np.array([a << 32 | b for a, b in self._merges], np.int64)
         if 2 * len(keys) > _TABLE:
             raise ValueError("the vocabulary has too many merges for the table")
@@ -138,13 +153,21 @@ class Codec(Decoder):
         return order.reshape(a.shape), merged.reshape(a.shape)
 
     def encode_many(self, chunks: list[str], variants: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """:meth:`encode_chunk` of many chunks at once: each step takes the best entry of every chunk's agenda.
+        """:meth:`encode_chunk` of many chunks at once: the order in which the chunks were taken, and in that order all ids and each chunk's number of ids."""
+        return self._run(chunks, _keys(self._hashes(chunks), np.array(variants, C.U64)) if self.keep_above else None)[:3]
+
+    def _hashes(self, chunks: list[str]) -> np.ndarray:
+        return np.fromiter((xxhash.xxh64_intdigest(c, self.seed) for c in chunks), C.U64, len(chunks))
 
-        The order in which the chunks were taken, and in that order all ids and each chunk's number of ids.
+    def _run(self, chunks: list[str], keys: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Each step takes the best entry of every chunk's agenda; without keys nothing is skipped.
+
+        The order in which the chunks were taken, and in that order all ids, each chunk's number of ids, all merges taken and each chunk's number of merges.
         """
         lens = np.array([len(c) for c in chunks], np.int64)
         order = np.argsort(lens, kind="stable")
         ids, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        merges, n_merges = [np.zeros(0, C.U64)], [np.zeros(0, np.int64)]
         for s in range(0, len(order), 8192):
             rows = order[s : s + 8192]
             n, width = lens[rows], int(lens[rows[-1]])
@@ -153,10 +176,11 @@ class Codec(Decoder):
             raw[inside] = np.frombuffer("".join([chunks[k] for k in rows]).encode("utf-32-le", "surrogatepass"), np.uint32)
             sym = np.full(raw.shape, -3, np.int32)  # -1: bytes, -2: merged away, -3: beyond the end
             sym[inside] = self._code[raw[inside]]
-            drop = None
-            if self.keep_above:
-                drop = np.fromiter((xxhash.xxh64_intdigest(f"{variants[k]}/{chunks[k]}", self.seed) for k in rows.tolist()), C.U64, len(rows))
-            final = self._agenda(sym, drop)
+            taken: list[tuple[np.ndarray, np.ndarray]] = []
+            final = self._agenda(sym, None if keys is None else keys[rows], taken)
+            who = np.concatenate([np.zeros(0, np.int64), *(r for r, _ in taken)])
+            merges.append(np.concatenate([np.zeros(0, C.U64), *(e for _, e in taken)])[np.argsort(who, kind="stable")])
+            n_merges.append(np.bincount(who, minlength=len(rows)))
             left = final >= -1
             flat, row = final[left], np.nonzero(left)[0]
             spelt = flat == -1
@@ -167,10 +191,10 @@ class Codec(Decoder):
                 flat[spelt] = self._byte_ids[np.frombuffer("".join(map(chr, chars[final[left] == -1].tolist())).encode(), np.uint8)]
             ids.append(flat)
             counts.append(np.bincount(row, minlength=len(rows)))
-        return order, np.concatenate(ids), np.concatenate(counts)
+        return order, np.concatenate(ids), np.concatenate(counts), np.concatenate(merges), np.concatenate(n_merges)
 
-    def _agenda(self, sym: np.ndarray, key: np.ndarray | None) -> np.ndarray:
-        """Run the agendas of all rows; the symbols left, each at the place of its first character.
+    def _agenda(self, sym: np.ndarray, key: np.ndarray | None, taken: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Run the agendas of all rows; the symbols left, each at the place of its first character. Without keys ``taken`` gets (rows, entries) of each step.
 
         Neighbours are linked by places, so a step costs a search for the best entry of each row and a few reads. The last column is beyond the end of every row.
         """
@@ -198,9 +222,11 @@ class Codec(Decoder):
                 return done
             r = np.flatnonzero(live)
             a = at[r]
-            if key is not None:
-                entry = best[r].astype(C.U64) << C.U64(32) | a.astype(C.U64)
-                skip = (((entry * C.U64(0x9E3779B97F4A7C15) ^ key[r]) * C.U64(0xD6E8FEB86659FD93)) >> C.U64(24)) & C.U64(0xFFFFFFFF) < C.U64(self.keep_above)
+            entry = best[r].astype(C.U64) << C.U64(32) | a.astype(C.U64)
+            if key is None:
+                taken.append((rows[r], entry))
+            else:
+                skip = _skips(entry, key[r], self.keep_above)
                 order[r[skip], a[skip]] = _NEVER
                 r, a = r[~skip], a[~skip]
             base = r * width
@@ -231,7 +257,7 @@ class Codec(Decoder):
             if m is not None:
                 agenda.append(m[0] << 32 | i)
         heapq.heapify(agenda)
-        key = xxhash.xxh64_intdigest(f"{variant}/{chunk}", self.seed) if drop else 0
+        key = int(_keys(self._hashes([chunk]), np.array([variant], C.U64))[0]) if drop else 0
         while agenda:
             entry = heapq.heappop(agenda)
             i = entry & 0xFFFFFFFF
@@ -267,11 +293,10 @@ class Codec(Decoder):
         return out
 
     def forget(self) -> None:
-        """Empty the memory: numbers of chunks; of (number * variants + variant) the entry; start, length and ids of entries."""
+        """Empty the memory: numbers of chunks; by number the hash, and start and length of the ids and of the merges without dropout."""
         self._number: defaultdict[str, int] = defaultdict(count().__next__)
-        self._entry = np.full(1 << 16, -1, np.int32)
-        self._start, self._size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self._ids = np.zeros(0, np.int32)
+        self._hash, self._ids, self._taken = np.zeros(0, C.U64), np.zeros(0, np.int32), np.zeros(0, C.U64)
+        self._start, self._size, self._first, self._n_taken = (np.zeros(0, np.int64) for _ in range(4))
 
     def encode_all(self, texts: list[str], doc_ids: list[int]) -> list[np.ndarray]:
         """Ids of each text. Texts are taken in groups of bounded length; the new chunks of a group run their agendas together."""
@@ -290,37 +315,48 @@ class Codec(Decoder):
             if text:
                 chunks += self._chunk.findall(" " + text)
             ends[k + 1] = len(chunks)
-        slot = np.fromiter(map(self._number.__getitem__, chunks), np.int64, len(chunks)) * self.variants
-        if self.variants > 1:
-            n = np.diff(ends)
+        number = np.fromiter(map(self._number.__getitem__, chunks), np.int64, len(chunks))
+        self._learn(chunks, number)
+        start, size, pool = self._start[number], self._size[number], self._ids
+        n = np.diff(ends)
+        long = np.fromiter((len(c) >= LONG for c in chunks), np.bool_, len(chunks))
+        variant = np.zeros(len(chunks), C.U64)
+        if self.keep_above:
             place = np.arange(len(chunks)) - np.repeat(ends[:-1], n)
-            key = np.array([xxhash.xxh64_intdigest(f"{self.seed}:{doc}") for doc in doc_ids], C.U64)
-            slot += (C.mix(place.astype(C.U64) * C.U64(0x9E3779B97F4A7C15) ^ np.repeat(key, n)) % C.U64(self.variants)).astype(np.int64)
-        most = len(self._number) * self.variants
-        if most > len(self._entry):
-            self._entry = np.concatenate((self._entry, np.full(most, -1, np.int32)))
-        unknown = np.flatnonzero(self._entry[slot] < 0)
-        new, first = np.unique(slot[unknown], return_index=True)
-        some, variant = [chunks[k] for k in unknown[first].tolist()], (new % self.variants).tolist()
-        long = [k for k, c in enumerate(some) if len(c) >= LONG]
-        short = [k for k, c in enumerate(some) if len(c) < LONG]
-        order, ids, size = self.encode_many([some[k] for k in short], [variant[k] for k in short])
-        slow = [np.array(self.encode_chunk(some[k], variant[k]), np.int32) for k in long]
-        self._entry[new[np.array(short, np.int64)[order]]] = len(self._size) + np.arange(len(short))
-        self._entry[new[long]] = len(self._size) + len(short) + np.arange(len(long))
-        size = np.concatenate((size, np.array([len(x) for x in slow], np.int64)))
-        self._start = np.concatenate((self._start, len(self._ids) + np.cumsum(size) - size))
-        self._size = np.concatenate((self._size, size))
-        self._ids = np.concatenate((self._ids, ids, *slow))
-        entry = self._entry[slot]
-        size = self._size[entry]
-        total = np.cumsum(size)
-        flat = self._ids[np.repeat(self._start[entry] - total + size, size) + np.arange(total[-1] if len(total) else 0)]
-        cuts = np.concatenate(([0], total))[ends].tolist()
-        if long or len(self._size) > MEMORY:
+            doc = np.array([xxhash.xxh64_intdigest(f"{self.seed}:{doc}") for doc in doc_ids], C.U64)
+            variant = C.mix(place.astype(C.U64) * C.U64(0x9E3779B97F4A7C15) ^ np.repeat(doc, n))
+            key = _keys(self._hash[number], variant)
+            n_taken = self._n_taken[number]
+            skip = _skips(self._taken[_spread(self._first[number], n_taken)], np.repeat(key, n_taken), self.keep_above)
+            own = np.unique(np.repeat(np.arange(len(chunks)), n_taken)[skip])
+            order, ids, lens, _, _ = self._run([chunks[k] for k in own.tolist()], key[own])
+            own = own[order]
+            start[own], size[own] = len(pool) + np.cumsum(lens) - lens, lens
+            pool = np.concatenate((pool, ids))
+        slow = np.flatnonzero(long)
+        each = [np.array(self.encode_chunk(chunks[k], int(variant[k])), np.int32) for k in slow.tolist()]
+        lens = np.array([len(x) for x in each], np.int64)
+        start[slow], size[slow] = len(pool) + np.cumsum(lens) - lens, lens
+        flat = np.concatenate((pool, *each))[_spread(start, size)]
+        cuts = np.concatenate(([0], np.cumsum(size)))[ends].tolist()
+        if len(slow) or len(self._size) > MEMORY:
             self.forget()  # long chunks are kept for these texts only
         return [flat[s:e] for s, e in zip(cuts[:-1], cuts[1:])]
 
+    def _learn(self, chunks: list[str], number: np.ndarray) -> None:
+        """Remember the new chunks without dropout; long ones get an empty place."""
+        unknown = np.flatnonzero(number >= len(self._size))
+        _, first = np.unique(number[unknown], return_index=True)
+        some = [chunks[k] for k in unknown[first].tolist()]
+        short = np.array([k for k, c in enumerate(some) if len(c) < LONG], np.int64)
+        order, ids, lens, taken, n_taken = self._run([some[k] for k in short.tolist()], None)
+        at = short[order]
+        new = np.zeros((4, len(some)), np.int64)
+        new[:, at] = len(self._ids) + np.cumsum(lens) - lens, lens, len(self._taken) + np.cumsum(n_taken) - n_taken, n_taken
+        self._start, self._size, self._first, self._n_taken = (np.concatenate(x) for x in zip((self._start, self._size, self._first, self._n_taken), new))
+        self._hash = np.concatenate((self._hash, self._hashes(some) if self.keep_above else np.zeros(len(some), C.U64)))
+        self._ids, self._taken = np.concatenate((self._ids, ids)), np.concatenate((self._taken, taken))
+
     def encode(self, text: str, doc_id: int = 0) -> np.ndarray:
         return self.encode_all([text], [doc_id])[0]
 
@@ -331,15 +367,15 @@ def decoder(path: str) -> Decoder:
 
 
 @cache
-def codec(path: str, dropout: float, seed: int, variants: int) -> Codec:
-    return Codec(path, dropout, seed, variants)
+def codec(path: str, dropout: float, seed: int) -> Codec:
+    return Codec(path, dropout, seed)
 
 
-def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS) -> DataFrame:
+def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id and ids (array<int>) of each row; null ids for a null text."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        c = codec(model, dropout, seed, variants)
+        c = codec(model, dropout, seed)
         for batch in batches:
             for s in range(0, len(batch), 1000):
                 part = batch.iloc[s : s + 1000]
