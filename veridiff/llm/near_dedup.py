@@ -23,7 +23,7 @@ shingle; without words the set is empty and linked with nothing). Two documents
 
 Defined cases. Null text and text without words: n_shingles 0, own component. Null doc_id: takes no part in any
 link, component_id null, kept true. Repeated rows (same doc_id, same text) share a component and are returned each by :func:`components`, once by
-:func:`deduplicate`; a doc_id must not name two texts. An empty table gives an empty table. Extra
+:func:`deduplicate`; rows of one doc_id with different texts are told apart. An empty table gives an empty table. Extra
 columns are ignored by :func:`components` and kept by :func:`deduplicate`.
 """
 
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -300,10 +300,39 @@ def links(sketched: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     return classes, labels
 
 
+def _digest() -> Column:
+    return F.coalesce(F.md5("text"), F.lit(""))
+
+
+def _row_keys(docs: DataFrame) -> DataFrame | None:
+    """None, or if some doc_id names two texts: (doc_id, digest, row_key), keys in the order of doc_ids, so that the smallest key of a component has its smallest doc_id."""
+    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("__doc_id"), F.col("text"))
+    many = rows.groupBy("__doc_id").count().where("count > 1").select("__doc_id")
+    if many.isEmpty():
+        return None
+    if rows.join(many, "__doc_id", "left_semi").select("__doc_id", _digest()).distinct().groupBy("__doc_id").count().where("count > 1").isEmpty():
+        return None
+    each = rows.select("__doc_id", _digest().alias("__digest")).distinct().orderBy("__doc_id", "__digest")
+    return C.materialize(each.withColumn("__key", F.monotonically_increasing_id()), "row-keys")
+
+
+def _keyed(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` with the row's key for its doc_id, which is kept as __old."""
+    old = docs.withColumn("__digest", _digest()).withColumnRenamed("doc_id", "__old")
+    on = (F.col("__old") == F.col("__doc_id")) & (old["__digest"] == keys["__digest"])
+    return old.join(keys, on, "left").withColumnRenamed("__key", "doc_id").drop("__digest", "__doc_id")
+
+
 def components(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept (doc_id = component_id) for each row of ``docs``."""
+    """doc_id, n_shingles, component_id, kept (doc_id = component_id) for each row of ``docs``; rows of one doc_id with different texts are told apart."""
     if not 66 <= percent <= 100:
         raise ValueError("the banding is laid out for a similarity of at least two thirds")
+    keys = _row_keys(docs)
+    if keys is not None:
+        found = components(_keyed(docs, keys), words, percent)
+        name = lambda key, to: keys.select(F.col("__key").alias(key), F.col("__doc_id").alias(to))
+        found = found.withColumnsRenamed({"doc_id": "__row", "component_id": "__component"}).join(name("__row", "doc_id"), "__row", "left")
+        return found.join(name("__component", "component_id"), "__component", "left").select("doc_id", "n_shingles", "component_id", "kept")
     sketched = C.materialize(_sketched(docs, words), "sketches")
     classes, labels = links(sketched, docs, words, percent)
     ids = classes.join(labels, "id", "left").select("set_a", "set_b", F.coalesce("label", "id").alias("component_id"))
@@ -314,7 +343,10 @@ def components(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFr
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that are kept: of each component the one with the smallest doc_id; of repeated rows one, if any repeat."""
+    """The rows of ``docs`` that are kept: of each component the one with the smallest doc_id; of rows that repeat doc_id and text one."""
+    keys = _row_keys(docs)
+    if keys is not None:
+        return deduplicate(_keyed(docs, keys), words, percent).withColumn("doc_id", F.col("__old")).select(docs.columns)
     found = C.materialize(components(docs, words, percent), "near-result")
     gone = C.materialize(found.where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "duplicates")
     out = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
