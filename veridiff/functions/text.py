@@ -83,9 +83,17 @@ def synonyms(a: Column, b: Column) -> Column:
     return (fa == fb) | (sa == sb) & (sa != "") | in_one
 
 
+def lookup(x: Column, table: dict[str, str]) -> Column:
+    """The entry of a constant table, null without one: ``x`` is computed once, however long the table is."""
+    return F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), x)
+
+
 def canonical_predicate(x: Column) -> Column:
+    table: dict[str, str] = {}
+    for g in reversed(L.PREDICATE_SYNONYMS):
+        table |= dict.fromkeys(g.split(), min(g.split()))
     form = predicate_form(x)
-    return F.coalesce(*(F.when(one_of(form, g), min(g.split())) for g in L.PREDICATE_SYNONYMS), form)
+    return F.coalesce(lookup(form, table), form)
 
 
 def leaf(x: Column) -> Column:
@@ -108,10 +116,11 @@ def system_level(x: Column) -> Column:
 def generic_subject(x: Column) -> Column:
     s = F.lower(F.trim(F.coalesce(x, F.lit(""))))
     words = "|".join(L.DOCUMENT_WORDS.split())
-    return (
-        (F.coalesce(x, F.lit("")) == "") | one_of(s, L.GENERIC_SUBJECTS) | s.rlike(rf"\.({'|'.join(L.GENERIC_EXTENSIONS.split())})$")
-        | s.rlike("^(file|doc|email|cto)[a-z0-9_]*$") | s.rlike(rf"^[a-z0-9_-]+[_.]({words})$") | s.rlike(f"^({words})$")
+    forms = (
+        "", f"({'|'.join(L.GENERIC_SUBJECTS.split())})", rf"[\s\S]*\.({'|'.join(L.GENERIC_EXTENSIONS.split())})", "(file|doc|email|cto)[a-z0-9_]*",
+        rf"[a-z0-9_-]+[_.]({words})", f"({words})",
     )
+    return (F.coalesce(x, F.lit("")) == "") | s.rlike(rf"^({'|'.join(forms[1:])})$")
 
 
 # --- entities ------------------------------------------------------------------------------------------------
@@ -142,8 +151,7 @@ def alias_groups() -> dict[str, list[str]]:
 
 def canonical_alias(x: Column) -> Column:
     """Smallest member of the alias group, null without one or where it is the empty form."""
-    form = entity_form(x)
-    return F.coalesce(*(F.when(form == k, v[0]) for k, v in alias_groups().items() if v[0]), F.lit(None).cast("string"))
+    return lookup(entity_form(x), {k: v[0] for k, v in alias_groups().items() if v[0]})
 
 
 def resolve_entity(a: Column, b: Column, custom: dict[str, list[str]] | None = None) -> Column:
@@ -188,8 +196,11 @@ def semantic_similarity(a: Column, b: Column) -> Column:
 
 
 def match_claims(sa: Column, pa: Column, sb: Column, pb: Column, subject_least: float = 0.75, predicate_least: float = 0.65, semantic: bool = True) -> Column:
-    """struct(matches, subject_similarity, predicate_similarity, synonym, orthogonal) of two claims' subjects and predicates."""
-    equal = F.struct(F.lit(True).alias("matches"), F.lit(1.0).alias("subject_similarity"), F.lit(1.0).alias("predicate_similarity"), F.lit(True).alias("synonym"), F.lit(False).alias("orthogonal"))
+    """struct(matches, subject_similarity, predicate_similarity, synonym, orthogonal, semantic, across) of two claims' subjects and predicates.
+
+    ``semantic`` is the similarity that rescued the predicates, ``across`` tells that a generic subject matched by a system-level predicate.
+    """
+    equal = F.struct(F.lit(True).alias("matches"), F.lit(1.0).alias("subject_similarity"), F.lit(1.0).alias("predicate_similarity"), F.lit(True).alias("synonym"), F.lit(False).alias("orthogonal"), F.lit(None).cast("double").alias("semantic"), F.lit(False).alias("across"))
     parts = F.struct(
         let(resolve_entity(sa, sb), lambda e: let(composite_similarity(sa, sb), lambda c: F.when(e["is_match"], F.greatest(c, e["confidence"])).otherwise(c))).alias("subject"),
         orthogonal(pa, pb).alias("apart"), synonyms(pa, pb).alias("same"), normalize_text(pa).alias("na"), normalize_text(pb).alias("nb"), composite_similarity(pa, pb).alias("plain"),
@@ -208,9 +219,12 @@ def _matched(v: Column, subject_least: float, predicate_least: float, semantic:
     other_leaf = (la != lb) & ~synonyms(la, lb) & ((F.size(ta) > 1) | (F.size(tb) > 1)) & (composite_similarity(la, lb) < predicate_least)
     guarded = ~same & (other_prefix | other_leaf)
     rescue = semantic_similarity(na, nb) if semantic else F.lit(0.0)
-    rescued = let(rescue, lambda r: F.when(r >= predicate_least, F.greatest(plain, r)).otherwise(plain))
-    predicate = F.when(apart, 0.0).when(same, F.greatest(plain, F.lit(0.95))).when(guarded, 0.0).when(plain < predicate_least, rescued).otherwise(plain)
+    rescued = F.when(~apart & ~same & ~guarded & (plain < predicate_least), let(rescue, lambda r: F.when(r >= predicate_least, r)))
     across = ~apart & (subject < subject_least) & (v["system"] | system_level(la) | system_level(lb)) & v["generic"]
-    two = F.struct(F.when(across, F.greatest(subject, F.lit(0.85))).otherwise(subject).alias("s"), predicate.alias("p"))
+    predicate = lambda r: F.when(apart, 0.0).when(same, F.greatest(plain, F.lit(0.95))).when(guarded, 0.0).otherwise(F.greatest(plain, F.coalesce(r, plain)))
+    two = lambda r: F.struct(F.when(across, F.greatest(subject, F.lit(0.85))).otherwise(subject).alias("s"), predicate(r).alias("p"), r.alias("r"), across.alias("x"))
     ok = lambda w: ~apart & (w["s"] >= subject_least) & (w["p"] >= predicate_least)
-    return let(two, lambda w: F.struct(ok(w).alias("matches"), w["s"].alias("subject_similarity"), w["p"].alias("predicate_similarity"), same.alias("synonym"), apart.alias("orthogonal")))
+    out = lambda w: F.struct(
+        ok(w).alias("matches"), w["s"].alias("subject_similarity"), w["p"].alias("predicate_similarity"), same.alias("synonym"), apart.alias("orthogonal"), w["r"].alias("semantic"), w["x"].alias("across")
+    )
+    return let(rescued, lambda r: let(two(r), out))

@@ -1,7 +1,9 @@
-"""Candidate pairs: equi-joins on block keys, never a cross product of claims.
+"""Candidate pairs: one equi-join on block keys, never a cross product of claims.
 
-The rules take disjoint kinds of pairs (specific with specific of equal or of aliased keys, generic with generic, generic with
-specific), so their union needs no distinct. A hot block is split by the adaptive skew join: both sides are plain exchanges on the key.
+Each claim is laid under the keys of the rules it takes part in (specific with specific of one key, generic with generic of one predicate,
+generic with specific of one system-level predicate, specific with specific of aliased keys). The rules take disjoint kinds of pairs,
+so their union needs no distinct, and the claims are read and keyed once for all of them. A hot block is split by the adaptive
+skew join: both sides are plain exchanges on the key.
 """
 
 from __future__ import annotations
@@ -11,8 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Above this many specific subject keys the alias rule is off; part of the result's meaning.
-ALIAS_KEYS = 100
+RULES = ("specific", "generic", "cross")
 
 
 def keyed(claims: DataFrame) -> DataFrame:
@@ -25,40 +26,64 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(a.alias("a_id"), b.alias("b_id"), F.concat_ws("::", a, b).alias("pair_key"))
 
 
+def _blocked(k: DataFrame, rules: tuple[str, ...]) -> DataFrame:
+    """(id, rule, block, side): the claims under the keys of the rules; side 0 meets itself, side 1 meets side 2."""
+    one = lambda on, rule, block, side: F.when(on & F.lit(rule in rules), F.struct(F.lit(rule).alias("rule"), block.alias("block"), side.alias("side")))
+    generic, system = F.col("generic"), T.system_level(F.col("pkey"))
+    under = F.array(
+        one(~generic, "specific", F.to_json(F.array("skey", "pkey")), F.lit(0)),
+        one(generic, "generic", F.col("pkey"), F.lit(0)),
+        one(system, "cross", F.col("pkey"), F.when(generic, 1).otherwise(2)),
+    )
+    return k.select("id", F.inline(F.filter(under, lambda x: x.isNotNull())))
+
+
+def _met(blocks: DataFrame) -> DataFrame:
+    x, y = (blocks.select(F.col("id").alias(n), "rule", "block", F.col("side").alias(f"{n}_side")) for n in ("x", "y"))
+    meet = (F.col("x_side") == 0) & (F.col("x") < F.col("y")) | (F.col("x_side") == 1) & (F.col("y_side") == 2)
+    return _ordered(x.join(y, ["rule", "block"]).where(meet))
+
+
 def specific_pairs(k: DataFrame) -> DataFrame:
-    s = k.where("NOT generic").select("id", "skey", "pkey")
-    return _ordered(s.select(F.col("id").alias("x"), "skey", "pkey").join(s.select(F.col("id").alias("y"), "skey", "pkey"), ["skey", "pkey"]).where("x < y"))
+    return _met(_blocked(k, RULES[:1]))
 
 
 def global_pairs(k: DataFrame) -> DataFrame:
-    g = k.where("generic").select("id", "pkey")
-    return _ordered(g.select(F.col("id").alias("x"), "pkey").join(g.select(F.col("id").alias("y"), "pkey"), "pkey").where("x < y"))
+    return _met(_blocked(k, RULES[1:2]))
 
 
 def cross_pairs(k: DataFrame) -> DataFrame:
-    on = k.where(T.system_level(F.col("pkey")))
-    g, s = on.where("generic").select(F.col("id").alias("x"), "pkey"), on.where("NOT generic").select(F.col("id").alias("y"), "pkey")
-    return _ordered(g.join(s, "pkey"))
+    return _met(_blocked(k, RULES[2:]))
 
 
 def alias_keys(k: DataFrame) -> DataFrame:
-    """(p, q), p < q: subject keys that the entity rules match; empty above ALIAS_KEYS distinct keys. At most 4,950 key pairs are compared."""
-    keys = k.where("NOT generic").select("skey").distinct()
-    if keys.limit(ALIAS_KEYS + 1).count() > ALIAS_KEYS:
-        return keys.sparkSession.createDataFrame([], "p string, q string")
-    p, q = keys.withColumnRenamed("skey", "p"), keys.withColumnRenamed("skey", "q")
-    return p.join(F.broadcast(q), F.col("p") < F.col("q")).where(T.resolve_entity(F.col("p"), F.col("q"))["is_match"])
+    """(p, q), p < q: subject keys that the entity rules match, however many there are.
+
+    Two keys match when their forms are equal, in one alias group, or one within the other at three fifths of its length or more. So a key is laid under its form and its
+    group, and under each part of its form that is long enough to be such another form: candidates come from an equi-join, the rules decide.
+    """
+    form = T.entity_form(F.col("skey"))
+    keys = k.where("NOT generic").select("skey").distinct().withColumn("form", form)
+    group = T.canonical_alias(F.col("skey"))
+    n = F.length("form")
+    least = F.greatest(F.lit(4), F.ceil(n * 0.6 - 1e-9).cast("int"))
+    parts = F.flatten(F.transform(F.sequence(least, n), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.substring(F.col("form"), at, size))))
+    whole = F.array(F.col("form"), F.concat(F.lit("alias:"), group))
+    short = keys.select(F.col("skey").alias("x"), F.explode(F.filter(whole, lambda f: f.isNotNull() & (f != ""))).alias("under"))
+    long = keys.select(F.col("skey").alias("y"), F.explode(F.array_distinct(F.filter(F.concat(whole, F.when(n >= least, parts).otherwise(F.array())), lambda f: f.isNotNull() & (f != "")))).alias("under"))
+    met = short.join(long, "under").where("x <> y").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct()
+    return met.where(T.resolve_entity(F.col("p"), F.col("q"))["is_match"])
 
 
 def alias_pairs(k: DataFrame) -> DataFrame:
     s = k.where("NOT generic").select("id", "skey", "pkey")
-    left = s.select(F.col("id").alias("x"), F.col("skey").alias("p"), "pkey").join(F.broadcast(alias_keys(k)), "p")
+    left = s.select(F.col("id").alias("x"), F.col("skey").alias("p"), "pkey").join(alias_keys(k), "p")
     return _ordered(left.join(s.select(F.col("id").alias("y"), F.col("skey").alias("q"), "pkey"), ["q", "pkey"]))
 
 
 def candidate_pairs(claims: DataFrame) -> DataFrame:
     k = keyed(claims)
-    return specific_pairs(k).unionByName(global_pairs(k)).unionByName(cross_pairs(k)).unionByName(alias_pairs(k))
+    return _met(_blocked(k, RULES)).unionByName(alias_pairs(k))
 
 
 def compatible_subjects(a, b, predicate):

@@ -39,12 +39,6 @@ _CLAIMS = """claims AS (SELECT 'e' || lpad(event_id::VARCHAR, 10, '0') AS id, 's
     CASE event_id % 4 WHEN 0 THEN 'production' WHEN 1 THEN 'staging' WHEN 2 THEN 'unknown' ELSE 'deployment' END AS environment,
     CASE event_id % 3 WHEN 0 THEN 'service' WHEN 1 THEN 'repository' ELSE 'unknown' END AS scope,
     CASE event_id % 5 WHEN 0 THEN 'configuration' WHEN 1 THEN 'documentation' WHEN 2 THEN 'deployment' WHEN 3 THEN 'example' ELSE 'historical' END AS source_role FROM events)"""
-_PAIRS = """pairs AS (SELECT a.id AS a_id, b.id AS b_id, a.id || '::' || b.id AS pair_key, a.predicate, a.value AS av, b.value AS bv, a.confidence AS ac, b.confidence AS bc, a.trust AS ta, b.trust AS tb,
-    a.environment AS ae, b.environment AS be, a.scope AS asc_, b.scope AS bsc, a.source_role AS ar, b.source_role AS br
-    FROM claims a JOIN claims b ON a.subject = b.subject AND a.predicate = b.predicate AND a.id < b.id)"""
-_CONTEXT = """ctx AS (SELECT *, CASE WHEN ar = 'historical' OR br = 'historical' THEN 'HISTORICAL' WHEN ar = 'example' OR br = 'example' THEN 'EXAMPLE'
-    WHEN ae <> be AND ae <> 'unknown' AND be <> 'unknown' AND (ae = 'staging' OR be = 'staging') THEN 'DIFFERENT_ENVIRONMENT'
-    WHEN (asc_ = 'service' AND bsc = 'repository') OR (asc_ = 'repository' AND bsc = 'service') THEN 'DIFFERENT_SCOPE' ELSE 'SAME_FACT' END AS relation FROM pairs)"""
 
 
 def _fixed(x: str, digits: int) -> str:
@@ -52,8 +46,21 @@ def _fixed(x: str, digits: int) -> str:
     return f"((({x}) * 1152921504606846976::DOUBLE)::HUGEINT * {n} + 576460752303423488::HUGEINT) // 1152921504606846976::HUGEINT / {float(n)}::DOUBLE"
 
 
-_CONF = _fixed("1.0::DOUBLE * 0.3::DOUBLE + 1.0::DOUBLE * 0.3::DOUBLE + 0.85::DOUBLE * 0.2::DOUBLE + ((ac + bc) / 2) * 0.1::DOUBLE + ((ta + tb) / 2) * 0.1::DOUBLE - 0.0::DOUBLE", 2)
-_FOUND = f"""found AS (SELECT *, 'QUANTITY_MISMATCH' AS contradiction_type, 'MEDIUM' AS severity, {_CONF} AS confidence FROM ctx WHERE relation = 'SAME_FACT' AND abs(av::DOUBLE - bv::DOUBLE) >= 0.000001)"""
+_INSIDE = "(contains({0}, {1}) OR contains({1}, {0})) AND least(length({0}), length({1})) / greatest(length({0}), length({1})) >= 0.6"
+_ENTITY = _fixed("0.7::DOUBLE + (least(length(a.subject), length(b.subject)) - 1)::DOUBLE / (greatest(length(a.subject), length(b.subject)) - 1) * 0.15::DOUBLE", 2)
+_PAIRS = f"""keys AS (SELECT DISTINCT subject, replace(subject, 'user_', '') || 'user' AS form FROM claims),
+    alias AS (SELECT x.subject AS p, y.subject AS q FROM keys x JOIN keys y ON x.subject <> y.subject AND {_INSIDE.format("x.form", "y.form")} UNION ALL SELECT subject, subject FROM keys),
+    pairs AS (SELECT a.id AS a_id, b.id AS b_id, a.id || '::' || b.id AS pair_key, a.subject AS asub, b.subject AS bsub, a.predicate, a.value AS av, b.value AS bv, a.confidence AS ac, b.confidence AS bc, a.trust AS ta, b.trust AS tb,
+    a.environment AS ae, b.environment AS be, a.scope AS asc_, b.scope AS bsc, a.source_role AS ar, b.source_role AS br, a.source_id AS as_id, b.source_id AS bs_id, a.observed_at AS a_at, b.observed_at AS b_at,
+    CASE WHEN a.subject = b.subject THEN 1.0::DOUBLE WHEN {_INSIDE.format("a.subject", "b.subject").replace("length(a.subject)", "(length(a.subject) - 1)").replace("length(b.subject)", "(length(b.subject) - 1)")} THEN {_ENTITY} ELSE 0.0::DOUBLE END AS same_subject
+    FROM claims a JOIN alias ON a.subject = alias.p JOIN claims b ON b.subject = alias.q AND a.predicate = b.predicate AND a.id < b.id)"""
+_CONTEXT = """ctx AS (SELECT *, CASE WHEN ar = 'historical' OR br = 'historical' THEN 'HISTORICAL' WHEN ar = 'example' OR br = 'example' THEN 'EXAMPLE'
+    WHEN ae <> be AND ae <> 'unknown' AND be <> 'unknown' AND (ae = 'staging' OR be = 'staging') THEN 'DIFFERENT_ENVIRONMENT'
+    WHEN (asc_ = 'service' AND bsc = 'repository') OR (asc_ = 'repository' AND bsc = 'service') THEN 'DIFFERENT_SCOPE' ELSE 'SAME_FACT' END AS relation FROM pairs)"""
+
+
+_CONF = _fixed("same_subject * 0.3::DOUBLE + 1.0::DOUBLE * 0.3::DOUBLE + 0.85::DOUBLE * 0.2::DOUBLE + ((ac + bc) / 2) * 0.1::DOUBLE + ((ta + tb) / 2) * 0.1::DOUBLE - 0.0::DOUBLE", 2)
+_FOUND = f"""found AS (SELECT *, 'QUANTITY_MISMATCH' AS contradiction_type, 'MEDIUM' AS severity, {_CONF} AS confidence FROM ctx WHERE same_subject >= 0.75 AND relation = 'SAME_FACT' AND abs(av::DOUBLE - bv::DOUBLE) >= 0.000001)"""
 _PRIORITY = _fixed("0.5::DOUBLE * 0.35::DOUBLE + confidence * 0.35::DOUBLE + ((ta + tb) / 2) * 0.15::DOUBLE + ((ac + bc) / 2) * 0.1::DOUBLE + 1.0::DOUBLE * 0.05::DOUBLE", 3)
 
 
@@ -345,9 +352,3 @@ def html_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT doc_id, regexp_extract(line, '(?i)licensed\s+under\s+the\s+([A-Za-z0-9.\-]+)', 1) AS license FROM l WHERE regexp_matches(line, '(?i)licensed\s+under\s+the\s+([A-Za-z0-9.\-]+)')""")
 def license_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.license_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-
-
-@query()
-def value_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_claims(spark, sf_dir)
-    return e.select("id", extract.value_type(F.col("predicate"), F.col("value")).alias("value_type"))
