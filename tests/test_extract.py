@@ -70,5 +70,5 @@ plain line
 |---|---|
 | region | eu |"""
     assert found(spark, extract.markdown_claims, "a.md", text) == [
-        ("ports_cache_notes", "x"), ("ports_cache_port", "6379"), ("ports_db", "5432"), ("ports_gateway_home_page", "https://g.org"), ("ports_gateway_port", "443"), ("ports_region", "eu"),
+        ("ports_cache_notes", "x"), ("ports_cache_port", "6379"), ("ports_gateway_home_page", "https://g.org"), ("ports_gateway_port", "443"), ("ports_region", "eu"),
     ]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import schemas
+from ..functions import text as T
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -83,11 +84,49 @@ def current_status(contradictions: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def audit(events: DataFrame) -> DataFrame:
-    """Newest first, with the status before and after each action."""
+    """Newest first, of equal times the last one recorded, with the status before and after each action."""
     to = F.create_map(*[F.lit(x) for kv in schemas.ACTIONS.items() for x in kv])
     w = Window.partitionBy("contradiction_id").orderBy("seq")
     out = events.withColumn("new_status", to[F.col("action")])
-    return out.withColumn("previous_status", F.coalesce(F.lag("new_status").over(w), F.lit("OPEN")))
+    return out.withColumn("previous_status", F.coalesce(F.lag("new_status").over(w), F.lit("OPEN"))).orderBy("contradiction_id", F.desc("performed_at"), F.desc("seq"))
+
+
+def by_id(rows: DataFrame, value: str, column: str = "id") -> DataFrame:
+    """The row of an id or external id."""
+    return rows.where(F.col(column) == F.lit(value))
+
+
+def by_pair(contradictions: DataFrame, one: str, other: str) -> DataFrame:
+    """The contradiction of two claims, whichever comes first."""
+    return contradictions.where(pair_key("claim_a_id", "claim_b_id") == F.lit("::".join(sorted((one, other)))))
+
+
+def find_source(sources: DataFrame, name: str) -> DataFrame:
+    """The source with this id, or with this name, uri or external id in any case; of several the first in the order of lists."""
+    low = F.lower(F.lit(name))
+    hit = sources.where((F.col("id") == name) | (F.lower("name") == low) | (F.lower("uri") == low) | (F.lower("external_id") == low))
+    return hit.orderBy(F.desc("created_at"), "id").limit(1)
+
+
+def entity_candidates(queries: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
+    """(query, candidate, confidence, match_type, rank): of each query the candidates that it matches, best first.
+
+    Queries are a stated set (broadcast by their owner); each candidate is compared with each of them.
+    """
+    r = T.resolve_entity(F.col("query"), F.col("candidate"))
+    met = queries.select("query").crossJoin(candidates.select("candidate")).withColumn("r", r).where(F.col("r.is_match") & (F.col("r.confidence") >= least))
+    order = Window.partitionBy("query").orderBy(F.desc("r.confidence"), "candidate")
+    return met.select("query", "candidate", "r.confidence", "r.match_type", F.row_number().over(order).alias("rank"))
+
+
+def enriched(contradictions: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
+    """Contradictions with the short form of both claims (the id alone where a claim is missing) and of their sources (null where missing)."""
+    out = contradictions
+    for n in ("a", "b"):
+        c = claims.select(F.col("id").alias(f"claim_{n}_id"), *(F.col(x).alias(f"{n}_{x}") for x in ("subject", "predicate", "value", "source_id")))
+        s = sources.select(F.col("id").alias(f"{n}_source_id"), F.col("name").alias(f"{n}_source_name"), F.col("type").alias(f"{n}_source_type"))
+        out = out.join(c, f"claim_{n}_id", "left").join(s, f"{n}_source_id", "left")
+    return out
 
 
 def page(rows: DataFrame, equal: dict | None = None, least: dict | None = None, order: str = "created_at", limit: int | None = None, offset: int = 0) -> DataFrame:
@@ -101,9 +140,16 @@ def page(rows: DataFrame, equal: dict | None = None, least: dict | None = None,
 
 
 def details(contradictions: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
-    """Contradictions with both claims (inner) and their sources (left)."""
-    side = lambda n: claims.select(F.col("id").alias(f"claim_{n}_id"), F.struct("*").alias(f"claim_{n}")).join(sources.select(F.col("id").alias("sid"), F.struct("*").alias(f"source_{n}")), F.col(f"claim_{n}.source_id") == F.col("sid"), "left").drop("sid")
-    return contradictions.join(side("a"), "claim_a_id").join(side("b"), "claim_b_id")
+    """Contradictions with both claims and their sources (null where missing). A missing claim is an error when its row is read."""
+    out = contradictions
+    for n in ("a", "b"):
+        c = claims.select(F.col("id").alias(f"claim_{n}_id"), F.struct("*").alias(f"claim_{n}"))
+        s = sources.select(F.col("id").alias(f"sid_{n}"), F.struct("*").alias(f"source_{n}"))
+        out = out.join(c, f"claim_{n}_id", "left")
+        broken = F.raise_error(F.concat(F.lit("missing claim "), F.col(f"claim_{n}_id"))).cast(claims.select(F.struct("*")).schema[0].dataType)
+        out = out.withColumn(f"claim_{n}", F.when(F.col(f"claim_{n}").isNull(), broken).otherwise(F.col(f"claim_{n}")))
+        out = out.join(s, F.col(f"claim_{n}.source_id") == F.col(f"sid_{n}"), "left").drop(f"sid_{n}")
+    return out
 
 
 def snapshot(df: DataFrame, path: str) -> int:

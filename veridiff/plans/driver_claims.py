@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..sources.extract import value_type
 
 
 def _pick(x, names: list[str]):
@@ -36,3 +37,25 @@ def event_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_trust(spark: SparkSession) -> DataFrame:
     return spark.range(7).select(F.concat(F.lit("src"), F.col("id").cast("string")).alias("id"), (0.6 + F.col("id") * 0.05).alias("trust_score"))
+
+
+#: (predicate, its values) of the mixed claims, by event_id modulo their number; every value type and difference occurs.
+MIXED = [
+    ("node_version", ("18.2.0", "18.4.1", "20.1.0", "v18.2.0")), ("http_port", ("80", "8080", "80")), ("launch_date", ("2024-01-15", "15.01.2024", "2024-01-19", "2024/03/01")),
+    ("unit_price", ("$12.50", "12.50 USD", "$13.00", "12.50 EUR")), ("build_status", ("enabled", "Active", "failed", "pending")), ("memory", ("1 GB", "1024 MB", "2 GB", "1024")),
+    ("access_policy", ("open to all", "Open  to all", "members only")), ("owner", ("team red", "team blue")), ("bind_host", ("10.0.0.1", "localhost")), ("debug_enabled", ("true", "no", "on")),
+    ("login_requirement", ("", "two keys", "three keys")), ("environment_name", ("blue", "green")),
+]
+
+
+def mixed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event claims with predicates and values of all types; the value of an event is picked by event_id div 12."""
+    i = F.col("event_id")
+    k, turn = i % len(MIXED), F.floor(i / len(MIXED)).cast("long")
+    predicate, value = F.lit(None).cast("string"), F.lit(None).cast("string")
+    for n, (name, values) in enumerate(MIXED):
+        predicate = F.when(k == n, name).otherwise(predicate)
+        value = F.when(k == n, _pick(turn % len(values), list(values))).otherwise(value)
+    c = event_claims(spark, sf_dir).withColumn("event_id", F.substring("id", 2, 10).cast("long"))
+    c = c.withColumns({"predicate": predicate, "value": value, "subject": F.concat(F.lit("unit_"), F.lpad(F.regexp_extract("subject", "[0-9]+", 0), 6, "0"))})
+    return c.withColumn("value_type", value_type(F.col("predicate"), F.col("value"))).drop("event_id")

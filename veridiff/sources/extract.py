@@ -15,9 +15,39 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-
-#: Headings that reset the section of a document. Fixed values.
-PLAIN_HEADINGS = "overview introduction configuration security summary details notes background requirements"
+from ..functions import values as V
+
+#: Beginnings of headings that reset the section of a document. Fixed values.
+PLAIN_HEADINGS = [
+    "overview", "introduction", "getting started", "summary", "table of contents", "notes", "appendix", "prerequisites", "requirements", "runtime requirements", "deployment profile",
+    "deployment requirements", "technology stack", "service configuration", "configuration", "specifications", "specs", "monitoring", "security", "hardware requirements",
+]
+#: Keys of direct lines that hold no fact. Fixed values.
+LABEL_WORDS = "specification property setting key parameter attribute"
+#: Units that a long value is cut down to. Fixed values.
+_SIZES = "gb|mb|tb|kb|g|m|b|ms|s|sec|seconds|minutes|hours"
+#: Rules for statements in prose, in order: key, pattern with the value as its first group. Fixed values.
+PROSE_RULES = [
+    ("min_memory", r"(?:requires|minimum|needs|min|memory\s+is|ram\s+is|memory:?|ram:?)\s*(?:at\s+least)?\s*(\d+(?:\.\d+)?\s*(?:gb|mb|tb|kb|g|m|b))\s*(?:of\s+)?(?:ram|memory)?"),
+    ("port", r"(?:runs|listens|hosted|serves|serving|started)\s+(?:on|at)\s+(?:http\s+)?port\s+(\d{2,5})"),
+    ("node_version", r"(?:requires|using|uses|built\s+with|runtime\s+is)?\s*(?:node|node\.js|nodejs)\s+(?:version\s+)?([v=~^><\d.]+)"),
+    ("python_version", r"(?:requires|using|uses)?\s*(?:python|python3)\s+(?:version\s+)?([v=~^><\d.]+)"),
+    ("db_engine", r"(?:database|db|datastore)\s+(?:is|engine\s+is|backend\s+is|type\s+is|using|uses)\s+(postgres|postgresql|mysql|sqlite|redis|mongodb|mariadb)"),
+    ("timeout", r"(?:timeout|deadline)\s+(?:is|of|set\s+to)\s*(\d+(?:\.\d+)?\s*(?:ms|s|sec|seconds|m|min|minutes))"),
+    ("max_users", r"(?:max|maximum|limit|capacity\s+of)\s*(\d+)\s*(?:concurrent\s+)?(?:users|connections|clients|workers)"),
+    ("license", r"(?:licensed?\s+under|license:?)\s*(?:the\s+)?(MIT|Apache(?:-2\.0)?|BSD|GPL|ISC|Proprietary)(?![A-Za-z0-9_])"),
+    ("commercial_use", r"(?:commercial\s+use\s+(?:is\s+)?(strictly\s+prohibited|forbidden|prohibited|not\s+allowed|allowed|permitted))"),
+    ("configuration_required", r"(?<![A-Za-z0-9_])(zero[- ]configuration|no\s+configuration\s+required)(?![A-Za-z0-9_])"),
+    ("configuration_files_count", r"requires\s+(\d+)\s+(?:yaml|configuration|config)\s+files"),
+]
+#: The same for pages. Fixed values.
+PAGE_RULES = [
+    ("minimum_ram", r"(?:requires|minimum|needs)\s*(?:at\s+least)?\s*(\d+(?:\.\d+)?\s*(?:gb|mb|tb))\s*(?:of\s+)?(?:ram|memory)"),
+    ("port", r"(?:runs|listens)\s+on\s+port\s+(\d{2,5})"),
+    ("node_version", r"(?:requires\s+)?(?:node|node\.js|nodejs)\s+(?:version\s+)?([v=~^><\d.]+)"),
+    ("python_version", r"(?:requires\s+)?(?:python|py)\s+(?:version\s+)?([v=~^><\d.]+)"),
+    ("database", r"(?:uses|requires|backend)\s+(?:database\s+)?(postgres|postgresql|mysql|sqlite|redis|mongodb)"),
+]
 
 #: First cells of table rows that hold no fact. Fixed values.
 TABLE_WORDS = "property setting key parameter attribute specification requirement requirements component minimum recommended default description notes feature variable option name field spec"
@@ -42,20 +72,75 @@ def data_key(x: Column) -> Column:
     return F.when(key_form(x) != "", key_form(x)).otherwise(T.predicate_form(F.trim(x)))
 
 
+# Patterns of single values. ``(?<![A-Za-z0-9_])`` and ``(?![A-Za-z0-9_])`` stand for an ASCII word boundary.
+_ADDRESS = r"^\d{1,3}(\.\d{1,3}){3}(:\d+)?(/\d+)?$|^([0-9a-fA-F]{1,4}:){7}[0-9a-fA-F]{1,4}$|^::1$|^localhost$"
+_PLAIN_VERSION = r"^v\d+(\.\d+)*(-[A-Za-z0-9_]+)?$|^(>=|<=|>|<|=)\s*\d+"
+_DOTTED_VERSION = r"^\^?~?[v=]?\d+\.\d+(\.\d+)*(-[A-Za-z0-9_]+)?$"
+_MONEY = r"[$€£¥₹]|(?i)(?<![A-Za-z0-9_])(INR|USD|EUR|GBP|JPY|CAD|AUD)(?![A-Za-z0-9_])"
+_DATE = r"^\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|^\d{1,2}[/.-]\d{1,2}[/.-]\d{4}"
+_AMOUNT = r"^[-+]?[\d,]+(\.\d+)?\s*(b|bytes?|kb|kib|ki|k|mb|mib|mi|m|gb|gib|gi|g|tb|tib|ti|t|ms|milliseconds?|s|sec|seconds?|min|minutes?|h|hr|hours?|d|days?)?$"
+
+
 def value_type(predicate: Column, value: Column) -> Column:
     """Type tag of a single value; the first rule that holds decides."""
-    p, v = F.lower(predicate), F.trim(value)
+    p, v = F.lower(F.trim(F.coalesce(predicate, F.lit("")))), F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    holds = lambda words: p.rlike("|".join(words.split()))
+    address = v.rlike(_ADDRESS)
     return (
-        F.when(v.rlike(r"^\d{1,3}(\.\d{1,3}){3}(:\d+)?$") | v.rlike("^(localhost|https?://)"), "address")
-        .when(p.rlike("version") | v.rlike(r"(?i)^[\^~><=]*\s*v?\d+\.\d+(\.\d+)?([-+][a-z0-9.]+)?$"), "version")
-        .when(v.rlike(r"[$€£¥₹]") | p.rlike("price|cost"), "price")
-        .when(v.rlike(r"^\d{4}-\d{2}-\d{2}") | p.rlike("date|deadline"), "date")
-        .when(v.rlike(r"(?i)^[-+]?[\d,]+(\.\d+)?\s*(b|kb|kib|ki|mb|mib|mi|gb|gib|gi|tb|ms|s|sec|seconds|m|min|minutes|h|hours|d|days)?$"), "quantity")
-        .when(v.rlike("(?i)^(true|false|yes|no|enabled|disabled|active|inactive|on|off|passing|failing)$") | p.rlike("status"), "status")
-        .when(p.rlike("policy|permission|access"), "policy").when(p.rlike("require|prerequisite"), "requirement").otherwise("configuration")
+        F.when(address | p.rlike("host|ip_address|bind_address|^ip$|^address$|_ip$"), "address")
+        .when(holds("version release semver") | v.rlike(_PLAIN_VERSION) | v.rlike(_DOTTED_VERSION) & (holds("node python ruby go java runtime ver") | v.rlike("^[~^v=]")), "version")
+        .when(holds("price cost fee budget") | v.rlike(_MONEY), "price")
+        .when(holds("date deadline expires expiry") | v.rlike(_DATE), "date")
+        .when(holds("port ram memory cpu timeout ttl count limit capacity max_ min_") | v.rlike(_AMOUNT), "quantity")
+        .when(holds("status state enabled disabled") | v.isin("true false yes no enabled disabled on off".split()), "status")
+        .when(holds("policy rule"), "policy").when(holds("requirement prerequisite"), "requirement").otherwise("configuration")
     )
 
 
+def source_key(kind: Column, identifier: Column) -> Column:
+    """Stable external id of a source: ``type:identifier``."""
+    return F.concat_ws(":", F.lower(F.trim(kind)), _slashless(identifier))
+
+
+def claim_key(source: Column, path: Column, predicate: Column, distinct: Column | None = None) -> Column:
+    """Stable external id of a claim: ``source:path:predicate``, and what else tells claims of one key apart."""
+    parts = [F.lower(F.trim(source)), _slashless(path), F.lower(F.trim(predicate))]
+    return F.concat_ws(":", *parts, *([F.nullif(F.lower(F.trim(distinct)), F.lit(""))] if distinct is not None else []))
+
+
+def _slashless(x: Column) -> Column:
+    return F.regexp_replace(F.lower(F.trim(x)), "^/+|/+$", "")
+
+
+def content_hash(x: Column) -> Column:
+    return F.sha2(x, 256)
+
+
+def restricted_address(ip: Column) -> Column:
+    """Whether a literal address must not be fetched: private, loopback, link-local, shared, documentation, multicast and reserved ranges; anything that is no address as well."""
+    x = F.regexp_replace(ip, "^::ffff:", "")
+    v4 = r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$"
+    inside = r"^(0|127|10|22[4-9]|2[3-5]\d)\.|^172\.(1[6-9]|2\d|3[01])\.|^192\.168\.|^169\.254\.|^100\.(6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^192\.0\.2\.|^198\.51\.100\.|^203\.0\.113\."
+    low, group = F.lower(x), "[0-9a-f]{1,4}"
+    # an address of eight groups, or of fewer with one ``::``
+    groups = F.size(F.filter(F.split(low, ":"), lambda g: g != ""))
+    v6 = low.rlike(rf"^({group}:){{7}}{group}$") | low.rlike(rf"^(({group}:)*{group})?::(({group}:)*{group})?$") & (groups <= 7)
+    local = low.rlike("^(::1|::|(0000:){7}0001|f[cd].*|fe[89ab].*)$")
+    return F.when(x.rlike(v4), x.rlike(inside)).when(v6, local).otherwise(True)
+
+
+#: Host names that are never fetched. Fixed values.
+BANNED_HOSTS = ["localhost", "metadata.google.internal", "instance-data", "169.254.169.254"]
+
+
+def fetchable(url: Column) -> Column:
+    """Whether a page may be fetched, as far as its text tells: http or https, no banned host, no restricted literal address. Names are resolved outside."""
+    host = F.lower(F.regexp_replace(F.coalesce(F.try_parse_url(url, F.lit("HOST")), F.lit("")), r"^\[|\]$", ""))
+    literal = host.rlike(r"^[0-9.]+$") | F.contains(host, F.lit(":"))
+    banned = host.isin(BANNED_HOSTS) | host.rlike(r"\.(local|internal)$")
+    return F.coalesce(url.rlike("(?i)^https?://") & (host != "") & ~banned & ~(literal & restricted_address(host)), F.lit(False))
+
+
 def _claims(rows: DataFrame, subject: Column, confidence: float | Column, method: str, *more: str) -> DataFrame:
     return rows.select("path", "line_no", subject.alias("subject"), "predicate", F.trim("value").alias("value"), value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method"), *more)
 
@@ -144,43 +229,49 @@ def json_claims(files: DataFrame) -> DataFrame:
 
 
 def markdown_claims(files: DataFrame) -> DataFrame:
-    """Sections, direct ``key: value`` lines and tables; sections and table headers are carried forward by windows.
+    """Badges, direct ``key: value`` lines, tables and prose of Markdown; sections and table headers are carried forward by windows.
 
-    A row of more than two cells under a header of more than two gives a claim ``row_column`` for each further cell; under no such header its first two cells count.
+    A line gives its badges, and one of these: its direct pair, its table cells, or the first prose rule that it fits. A row of more than two cells under a header of more than two gives a claim
+    ``row_column`` for each further cell; under no such header its first two cells count. Keys get the section's name in front. The external id holds the line's number.
     """
-    rows = lines(files)
+    rows = lines(files).where(F.trim("line") != "")
     order = Window.partitionBy("path").orderBy("line_no")
-    heading = F.regexp_extract("line", r"^#{2,6}\s+(.+?)\s*$", 1)
-    slug = F.regexp_replace(key_form(heading), "_(cluster|layer|service|server|component|section)$", "")
-    section = F.when(heading != "", F.when(slug.isin(PLAIN_HEADINGS.split()), "").otherwise(slug))
+    heading = F.trim(F.regexp_extract("line", r"^#{2,6}\s+(.+)$", 1))
+    plain = heading.rlike(f"(?i)^({'|'.join(PLAIN_HEADINGS)})")
+    cell_form = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9_]", "_"), "_+", "_"), "^_|_$", "")
+    slug = F.regexp_replace(cell_form(heading), "_(cluster|layer|service|server|component|section)$", "")
+    is_heading = F.col("line").rlike(r"^#{2,6}\s+.+$")
+    section = F.when(is_heading, F.when(plain, "").otherwise(slug))
+    rule, row = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$", r"^\s*\|.*\|\s*$"
+    is_rule, is_row = F.col("line").rlike(rule), F.col("line").rlike(row)
+    below = F.lead(F.struct("line_no", "line")).over(order)
     rows = rows.withColumn("section", F.coalesce(F.last(section, ignorenulls=True).over(order), F.lit("")))
-    kv = r"^\s*(?:[-*+]|\d+\.)?\s*[*_`]*([A-Za-z][A-Za-z0-9 _\-./]{1,49}?)[*_`]*\s*[:=]\s*[*_`]*([^#|]{1,160}?)[*_`]*\s*$"
-    cell = r"^\s*\|\s*([^|]+?)\s*\|\s*([^|]+?)\s*\|\s*$"
-    rule = r"^\s*\|?[\s:|-]+\|?\s*$"
-    bare = lambda c: F.regexp_replace(c, r"""^[*`_"'\s]+|[*`_"'\s]+$""", "")
-    below = F.lead("line").over(order)
-    rows = rows.withColumn("is_header", F.coalesce(below.rlike(rule) & F.col("line").contains("|"), F.lit(False)))
-    hit = F.when(F.col("line").rlike(cell) & ~F.col("line").rlike(rule) & ~F.col("is_header"), F.struct(F.regexp_extract("line", cell, 1).alias("k"), F.regexp_extract("line", cell, 2).alias("v"))).when(
-        F.col("line").rlike(kv), F.struct(F.regexp_extract("line", kv, 1).alias("k"), F.regexp_extract("line", kv, 2).alias("v"))
-    )
-    is_row = F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~F.col("line").rlike(rule)
-    cells = F.transform(F.split(F.regexp_replace("line", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
-    outside = ~F.col("line").rlike(r"^\s*\|.*\|\s*$") & ~(F.col("line").rlike(rule) & F.col("line").contains("|")) & (F.trim("line") != "") & (heading == "")
-    header = F.when(is_row & F.col("is_header"), F.transform(cells, key_form)).when(outside, F.array().cast("array<string>"))
-    rows = rows.withColumn("header", F.coalesce(F.last(header, ignorenulls=True).over(order), F.array().cast("array<string>"))).withColumn("cells", cells)
-    rows = rows.withColumn("wide", is_row & ~F.col("is_header") & (F.size("cells") > 2)).withColumn("row_key", key_form(F.col("cells")[0]))
+    rows = rows.withColumn("is_header", F.coalesce(is_row & (below["line_no"] == F.col("line_no") + 1) & below["line"].rlike(rule), F.lit(False))).where(~is_heading)
+    direct = r"^\s*(?:[-*+]|\d+\.)?\s*(?:\*{1,2}|`|__)?([a-zA-Z0-9_\s.-]{2,50}?)(?:\*{1,2}|`|__)?\s*[:=]\s*(?:\*{1,2}|`|__)?([^\r\n#]{1,160}?)(?:\*{1,2}|`|__)?(?:\s+#.*)?$"
+    named = F.lower(F.trim(F.regexp_extract("line", direct, 1))).isin(LABEL_WORDS.split()) & F.col("line").rlike(direct)
+    rows = rows.withColumn("pair", F.when(~named, _direct(F.col("line"), direct, "", "markdown_pattern")))
+    badges = badge_claims(rows)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    rows = rows.withColumn("cells", F.when(is_row, cells)).withColumn("in_table", is_row & ~is_rule & F.col("pair").isNull() & ~named)
+    head = F.when(F.col("in_table") & F.col("is_header"), F.transform("cells", cell_form)).when(~is_row & ~is_rule & ~named, F.array().cast("array<string>"))
+    rows = rows.withColumn("header", F.coalesce(F.last(head, ignorenulls=True).over(order), F.array().cast("array<string>"))).where(~named & ~is_rule & ~(F.col("in_table") & F.col("is_header")))
+    bare = lambda c: F.trim(F.regexp_replace(c, r"""^[*`_"'\s]+|[*`_"'\s]+$""", ""))
+    row_key = cell_form(F.col("cells")[0])
+    good = F.col("in_table") & (F.size("cells") >= 2) & ~row_key.isin(TABLE_WORDS.split()) & ~F.contains(F.col("cells")[0], F.lit("---"))
+    wide = good & (F.size("header") > 2) & (F.size("cells") > 2)
+    out = "array<struct<k:string,v:string,method:string,any:boolean>>"
     by_column = F.transform(F.slice("cells", 2, F.size("cells")), lambda c, i: F.struct(
-        F.concat_ws("_", "row_key", F.coalesce(F.nullif(F.get("header", i + 1), F.lit("")), F.concat(F.lit("col_"), i + 1))).alias("k"), bare(c).alias("v"), F.lit(True).alias("any")))
+        F.concat_ws("_", row_key, F.coalesce(F.nullif(F.get("header", i + 1), F.lit("")), F.concat(F.lit("col_"), i + 1))).alias("k"), bare(c).alias("v"), F.lit("markdown_table").alias("method"), F.lit(True).alias("any")))
     by_column = F.filter(by_column, lambda x: ~x["v"].isin("", "-") & ~F.contains(x["v"], F.lit("---")))
-    first_two = F.array(F.struct(F.col("row_key").alias("k"), bare(F.col("cells")[1]).alias("v"), F.lit(False).alias("any")))
-    of_row = F.when(F.col("row_key").isin(TABLE_WORDS.split()), F.array().cast("array<struct<k:string,v:string,any:boolean>>")).when(F.size("header") > 2, by_column).otherwise(first_two)
-    single = F.when(hit.isNotNull(), F.array(F.struct(key_form(hit["k"]).alias("k"), F.regexp_replace(hit["v"], "[*`]", "").alias("v"), F.lit(False).alias("any"))))
-    rows = rows.withColumn("kv", F.explode(F.when(F.col("wide"), of_row).otherwise(single)))
-    key = F.col("kv.k")
-    named = F.when((F.col("section") != "") & ~F.startswith(key, F.col("section")), F.concat_ws("_", "section", key)).otherwise(key)
-    rows = rows.select("path", "line_no", named.alias("predicate"), F.col("kv.v").alias("value"), "kv.any")
-    rows = rows.where((F.trim("value") != "") & (F.col("any") | (F.length("predicate") > 2) & ~F.col("value").rlike("^http")))
-    return _claims(rows, base_name(F.col("path")), 0.85, "regex")
+    one = lambda x: F.array(F.struct(x["k"].alias("k"), x["v"].alias("v"), x["method"].alias("method"), F.lit(False).alias("any")))
+    first_two = F.array(F.struct(row_key.alias("k"), bare(F.col("cells")[1]).alias("v"), F.lit("markdown_table").alias("method"), F.lit(False).alias("any")))
+    prose = _prose(F.col("line"), PROSE_RULES)
+    picked = F.when(F.col("pair").isNotNull(), one(F.col("pair")).cast(out)).when(wide, by_column.cast(out)).when(good & (row_key != ""), first_two.cast(out)).when(prose.isNotNull(), one(prose).cast(out))
+    rows = rows.withColumn("kv", F.explode(picked)).withColumn("key", F.col("kv.k"))
+    rows = rows.where(F.col("kv.any") | (F.length("key") > 2) & (F.col("kv.v") != "") & ~F.startswith("kv.v", F.lit("http")))
+    found = rows.select("path", "line_no", F.col("kv.method").alias("method"), _namespaced(F.col("key")).alias("predicate"), F.col("kv.v").alias("value"), value_type(_namespaced(F.col("key")), F.col("kv.v")).alias("value_type"), F.trim("line").alias("evidence"))
+    both = badges.unionByName(found)
+    return both.select("path", "line_no", base_name(F.col("path")).alias("subject"), "predicate", "value", "value_type", F.lit(0.85).alias("confidence"), F.col("method").alias("extraction_method"), claim_key(F.lit("document"), F.col("path"), F.col("predicate"), F.col("line_no").cast("string")).alias("external_id"), "evidence")
 
 
 def license_lines(docs: DataFrame) -> DataFrame:
@@ -204,17 +295,19 @@ def _row_lines(html: Column) -> Column:
     return F.when(html.rlike(r"(?i)<tr\b"), joined).otherwise(html)
 
 
-def html_lines(pages: DataFrame) -> DataFrame:
-    """Text lines of a page without scripts and styles; entities decoded, short lines and code comments left out.
+def _decoded(x: Column) -> Column:
+    for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        x = F.replace(x, F.lit(code), F.lit(char))
+    return x
+
+
+def html_lines(pages: DataFrame, *more: str | Column) -> DataFrame:
+    """Text lines of a page (page_id, line, and ``more`` of the page) without scripts and styles; entities decoded, short lines and code comments left out.
 
     A table row of two or more filled cells is the line ``first: second``, as in the reference, which leaves further cells out; any other row is its cells in one line.
     """
     text = F.regexp_replace(_row_lines(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>", "\n")), "<[^>]*>", "\n")
-    rows = pages.select("page_id", F.explode(F.split(text, "\n")).alias("line"))
-    line = F.col("line")
-    for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        line = F.replace(line, F.lit(code), F.lit(char))
-    rows = rows.withColumn("line", F.trim(line))
+    rows = pages.select("page_id", *more, F.explode(F.split(text, "\n")).alias("line")).withColumn("line", F.trim(_decoded(F.col("line"))))
     return rows.where((F.length("line") > 3) & ~F.col("line").rlike(r"^(//|/\*)"))
 
 
@@ -252,6 +345,92 @@ def package_claims(files: DataFrame) -> DataFrame:
 
 
 def redact(x: Column) -> Column:
-    """Tokens and bearer credentials replaced."""
-    x = F.regexp_replace(x, r"gh[pousr]_[A-Za-z0-9]{20,}", "[REDACTED]")
-    return F.regexp_replace(x, r"(?i)(bearer\s+)[A-Za-z0-9._\-]+", "$1[REDACTED]")
+    """Tokens and credentials replaced; null is empty."""
+    x = F.regexp_replace(F.coalesce(x, F.lit("")), r"gh[pousr]_[A-Za-z0-9_]{20,255}", "[REDACTED_GITHUB_TOKEN]")
+    x = F.regexp_replace(x, r"(?i)Bearer\s+[A-Za-z0-9_.-]+", "Bearer [REDACTED]")
+    x = F.regexp_replace(x, r"(?i)token\s+[A-Za-z0-9_.-]+", "token [REDACTED]")
+    return F.regexp_replace(x, r"(?i)access_token=[A-Za-z0-9_.-]+", "access_token=[REDACTED]")
+
+
+def readme_claims(files: DataFrame) -> DataFrame:
+    """Node version and port of README lines; a line's words tell historical and example statements apart."""
+    rows = lines(files)
+    low = F.lower("line")
+    old = low.rlike(r"previously|deprecated|former|legacy|dropped\s+support|used\s+to")
+    shown = low.rlike(r"for\s+example|e\.g\.|sample|tutorial|docker\s+run")
+    role = F.when(shown, "example").when(old, "historical").otherwise("documentation")
+    node = r"(?i)(?:(?:requires?|prerequisites?|built with|runs on)\s+)?node(?:\.js)?\s*(?:version)?\s*[:=~^>=<]*\s*([vV]?\d+(?:\.\d+)*)"
+    port = r"(?i)(?:default\s+port|(?:runs?|running|listening|server)\s+(?:on\s+)?port|port\s*:)\s*[:=]?\s*(\d{2,5})(?![A-Za-z0-9_])"
+    version = F.regexp_extract("line", node, 1)
+    is_node = F.col("line").rlike(node) & ~F.contains(low, F.lit("npm")) & (version != "0") & ~version.rlike("^(202|199)")
+    limit = F.when(F.col("line").rlike(r"[><=~^\s*|xX]"), F.substring(F.trim("line"), 1, 50))
+    claim = lambda k, v, t, c: F.struct(F.lit(k).alias("predicate"), v.alias("value"), F.lit(t).alias("value_type"), c.alias("value_constraint"))
+    found = F.array(F.when(is_node, claim("node_version", version, "version", limit)), F.when(F.col("line").rlike(port), claim("port", F.regexp_extract("line", port, 1), "quantity", F.lit(None).cast("string"))))
+    kept = rows.select("path", "line_no", role.alias("source_role"), old.alias("is_historical"), F.substring(F.trim("line"), 1, 160).alias("evidence"), F.inline(F.filter(found, lambda x: x.isNotNull())))
+    return kept.select("path", "line_no", "predicate", "value", "value_type", F.lit(0.8).alias("confidence"), "source_role", "is_historical", "value_constraint", "evidence")
+
+
+def normalized_claims(claims: DataFrame) -> DataFrame:
+    """Predicates as normal snake-case words, and the value as the comparison with itself writes it."""
+    own = V.compare(F.col("value"), F.col("value"), F.col("value_type"))["normalized_a"]
+    return claims.withColumns({"predicate": F.regexp_replace(T.normalize_text(F.col("predicate")), r"\s+", "_"), "normalized_value": F.coalesce(F.nullif(own, F.lit("")), F.trim("value"))})
+
+
+def page_title(html: Column) -> Column:
+    return _decoded(F.trim(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)))
+
+
+def page_claims(pages: DataFrame) -> DataFrame:
+    """Claims of pages (page_id, url, html): ``key: value`` lines, else the first prose rule that a line fits. The title names the subject."""
+    rows = html_lines(pages, "url", F.coalesce(F.nullif(F.trim(F.regexp_replace(page_title(F.col("html")), r"[^a-zA-Z0-9_\s-]", "")), F.lit("")), F.lit("Website")).alias("subject"))
+    kv = r"^\s*[-*•]?\s*(?:\*{1,2}|`|__)?([a-zA-Z0-9_\s.-]{2,50}?)(?:\*{1,2}|`|__)?\s*[:=]\s*(?:\*{1,2}|`|__)?([^\r\n#]{1,160}?)(?:\*{1,2}|`|__)?(?:\s+#.*)?$"
+    prose = _prose(F.col("line"), PAGE_RULES)
+    rows = rows.withColumn("hit", F.coalesce(_direct(F.col("line"), kv, ""), F.when(prose["k"] == "database", F.struct(prose["k"].alias("k"), F.lower(prose["v"]).alias("v"), prose["method"].alias("method"))).otherwise(prose)))
+    rows = rows.where("hit.k <> '' AND hit.v <> ''").select("page_id", "url", "subject", F.col("hit.k").alias("predicate"), F.col("hit.v").alias("value"), F.col("hit.method").alias("extraction_method"), F.col("line").alias("evidence"))
+    key = F.concat(F.lit("claim:website:"), F.substring(F.sha2(F.concat_ws(":", "url", "predicate", "value"), 256), 1, 16))
+    return rows.select("*", value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.when(F.col("extraction_method") == "prose_heuristic", 0.85).otherwise(0.95).alias("confidence"), key.alias("external_id"))
+
+
+def _direct(line: Column, pattern: str, skipped: str, method: str = "html_text_pattern") -> Column:
+    """struct(k, v, method) of a direct ``key: value`` line, null otherwise; a long value with a quantity in it is cut down to that."""
+    k, v = F.trim(F.regexp_extract(line, pattern, 1)), F.trim(F.regexp_extract(line, pattern, 2))
+    value = F.trim(F.regexp_replace(v, r"""^[*`_"'\s]+|[*`_"'\s]+$""", ""))
+    amount = F.trim(F.regexp_extract(value, rf"(?i)(?:at\s+least|minimum|requires|is)?\s*(\d+(?:\.\d+)?\s*(?:{_SIZES}))(?![A-Za-z0-9_])", 1))
+    ok = line.rlike(pattern) & (k != "") & (v != "") & ~F.contains(k, F.lit("---")) & ~F.lower(k).isin(skipped.split() or [""])
+    short = F.when((F.length(value) > 20) & (amount != ""), amount).otherwise(value)
+    return F.when(ok, F.struct(F.regexp_replace(F.lower(k), "[^a-z0-9_]", "_").alias("k"), short.alias("v"), F.lit(method).alias("method")))
+
+
+def _prose(line: Column, rules: list[tuple[str, str]]) -> Column:
+    """struct(k, v, method) of the first rule that a line fits, null without one."""
+    def hit(key: str, pattern: str) -> Column:
+        v = F.trim(F.regexp_extract(line, f"(?i){pattern}", 1))
+        if key == "commercial_use":
+            v = F.when(v.rlike("(?i)prohibited|forbidden|not"), "prohibited").otherwise("allowed")
+        if key == "configuration_required":
+            v = F.lit("false")
+        return F.when(line.rlike(f"(?i){pattern}"), F.struct(F.lit(key).alias("k"), v.alias("v"), F.lit("prose_heuristic").alias("method")))
+
+    return F.coalesce(*(hit(k, p) for k, p in rules))
+
+
+def badge_claims(rows: DataFrame) -> DataFrame:
+    """Status badges of Markdown lines (path, line_no, line, section)."""
+    pattern = r"(?i)!\[([^\]]*)\]\((https?://[^\s)]*(?:shields\.io/badge/|github\.com/[^\s)]*/badge\.svg|[a-z0-9_-]+-badge)[^\s)]*)\)"
+    all_of = lambda g: F.regexp_extract_all("line", F.lit(pattern), F.lit(g))
+    rows = rows.where(F.col("line").rlike(pattern)).select("path", "line_no", "line", "section", F.explode(F.arrays_zip(all_of(1).alias("alt"), all_of(2).alias("url"))).alias("b"))
+    alt, url = F.trim("b.alt"), F.trim("b.url")
+    shield = F.split(F.try_url_decode(F.regexp_replace(F.regexp_extract(url, r"(?i)shields\.io/badge/([^?#]+)", 1), r"\+", "%2B")), "-")
+    is_shield = url.rlike(r"(?i)shields\.io/badge/[^?#]+")
+    form = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9_]", "_")
+    either = lambda words: url.rlike(f"(?i){words}") | alt.rlike(f"(?i){words}")
+    state = F.when(is_shield, F.when(F.size(shield) >= 2, F.struct(form(shield[0]).alias("k"), F.lower(shield[1]).alias("v")))).when(
+        url.rlike(r"(?i)badge\.svg"), F.when(either("passing|success"), F.struct(F.lit("build").alias("k"), F.lit("passing").alias("v"))).when(either("failing|failed|error"), F.struct(F.lit("build").alias("k"), F.lit("failing").alias("v"))))
+    named = F.split(alt, r"[:\s-]+")
+    by_name = F.when((alt != "") & (F.size(named) >= 2), F.struct(form(named[0]).alias("k"), F.lower(named[1]).alias("v")))
+    rows = rows.withColumn("s", F.coalesce(F.when(state["v"] != "", state), by_name)).where("s.v <> ''")
+    return rows.select("path", "line_no", F.lit("markdown_badge").alias("method"), _namespaced(F.concat(F.col("s.k"), F.lit("_status"))).alias("predicate"), F.col("s.v").alias("value"), F.lit("status").alias("value_type"), F.trim("line").alias("evidence"))
+
+
+def _namespaced(key: Column) -> Column:
+    return F.when((F.col("section") != "") & ~F.startswith(key, F.col("section")), F.concat_ws("_", "section", key)).otherwise(key)
