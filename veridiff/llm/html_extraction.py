@@ -1,22 +1,27 @@
 """HTML main-text extraction.
 
 The page streams through the standard library's parser. Its events become *lines*: one per block element, with the
-characters of text, those inside links, the number of tags, the innermost container and whether an element marks it as furniture (menus,
-headers and footers of the page, sidebars, notices, adverts, forms, reader comments, scripts, styles).
+characters of text, those inside links, the number of tags, the innermost container and the element around it that is named like furniture. What
+is furniture by its element or role (menus, the page's header and footer, asides, forms, dialogs, scripts, styles, hidden parts) gives no lines.
 
-Each remaining line has a text-to-tag ratio (text outside links per tag). The ratios are smoothed along the page by a Gaussian
+Class names and ids are evidence, taken as whole names: ``sidebar``, ``site-header`` and ``ad-slot`` mark furniture, ``with-sidebar``, ``no-comments``
+and ``search-engine-guide`` do not; and what bears such a name stays when it holds more text than all unmarked lines together (reader
+comments only when there is nothing else).
+
+Each line has a text-to-tag ratio (text outside links per tag). The ratios are smoothed along the page by a Gaussian
 kernel, so that a short paragraph among long ones stays, and lines are parted into content and rest by a two-means threshold on the smoothed
 ratios. The *content region* is the container that holds most of the content lines' text: the ``article`` or ``main`` element with
-most of it, where the page has one, else the innermost container with at least half of it. All unmarked lines in the region are the text,
-from the first to the last content line where the region is the page's body itself. Nothing else is dropped.
+most of it, where the page has one, else the innermost container with at least half of it. All lines in the region are the text; where the page has neither element,
+lines outside the content cluster go if at least half of them is links, or if a copyright line follows the last content line. Nothing else is dropped.
 
-Defined cases. Null, empty and text-free pages: empty text, 0 characters. Unclosed and stray tags are read as browsers read them, roughly; ``br`` is
+Defined cases. Long pages and deep nesting cost time in proportion. Null, empty and text-free pages: empty text, 0 characters. Unclosed and stray tags are read as browsers read them, roughly; ``br`` is
 white space. Null page_id or url: kept as they are. Repeated rows are returned each. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -36,60 +41,75 @@ BLOCKS = frozenset("address article aside blockquote body center dd details dial
 CONTAINERS = frozenset("article body div main section td center blockquote html".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPES = frozenset("ul ol dl table article body div main section html aside nav footer header form blockquote".split())
-# Words of class, id and role attributes that mark furniture.
+# Words of class, id and role attributes that name furniture, by themselves or as the last part of a compound (site-header).
 MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion promoted "
+    "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion "
     "nav navbar navigation menu breadcrumb breadcrumbs pagination pager toolbar toc "
-    "sidebar rail widget widgets related recommended recommendations trending popular "
+    "sidebar widget widgets related recommended recommendations trending "
     "footer header masthead topbar copyright colophon contentinfo complementary "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay paywall "
-    "comment comments commentlist disqus replies respond discussion "
-    "newsletter subscribe subscription signup login search share sharing social".split()
+    "cookie cookies consent gdpr notice notices popup modal overlay paywall "
+    "newsletter subscribe subscription signup login search share sharing social "
+    "comment comments commentlist disqus replies respond".split()
 )
-_WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
+COMMENTS = frozenset("comment comments commentlist disqus replies respond".split())
+# Last parts of compounds whose first part then counts (comment-list, ad-slot), and first parts that say something else (no-comments).
+HOLDERS = frozenset("area banner bar block box button buttons column container form holder icons inner item items links list panel posts section slot thread unit widget wrap wrapper".split())
+DENIALS = frozenset("no not with without has hide show is enable disable main".split())
+_PART = re.compile(r"[a-z]+|[A-Z][a-z]*")
 _SPACE = re.compile(r"\s+")
+_COPYRIGHT = re.compile(r"\s*(©|\(c\)\s|copyright\b)", re.IGNORECASE)
+#: How an element is marked: not at all, by a name, by a name of reader comments, or by what it is.
+FREE, NAMED, COMMENT, ROLE = range(4)
+
 
+def _name_mark(name: str) -> int:
+    """What a whole class name, id or role says; ``name`` is one of them, not one of its parts."""
+    parts = [p.lower() for p in _PART.findall(name)]
+    if not parts or len(parts) > 1 and parts[0] in DENIALS:
+        return FREE
+    word = parts[-1] if parts[-1] in MARKS else parts[0] if parts[-1] in HOLDERS else ""
+    return COMMENT if word in COMMENTS else NAMED if word in MARKS else FREE
 
-def _marked(tag: str, attrs, inside_main: bool) -> bool:
-    if tag in FURNITURE:
-        return True
+
+def _mark(tag: str, attrs, inside_main: bool) -> int:
+    if tag in FURNITURE or tag in SILENT:
+        return ROLE
     if tag == "header":
-        return not inside_main
+        return FREE if inside_main else ROLE
     if tag in ("html", "body", "main", "h1"):
-        return False
+        return FREE
+    out = FREE
     for k, v in attrs:
-        if k in ("hidden",) or k == "aria-hidden" and v == "true":
-            return True
-        if k in ("class", "id", "role") and v and any(w.lower() in MARKS for w in _WORD.findall(v)):
-            if tag == "article" and not inside_main and "comment" not in v.lower():
-                return False
-            return not (inside_main and tag == "header")
-    return False
+        if k == "hidden" or k == "aria-hidden" and v == "true" or k == "role" and v in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert"):
+            return ROLE
+        if k in ("class", "id") and v:
+            out = max([out, *map(_name_mark, v.split())])
+    return FREE if tag == "article" and out != COMMENT and not inside_main else out
 
 
 class _Lines(HTMLParser):
-    """Parser events to lines; ``stack`` holds (tag, furniture or silent, container)."""
+    """Parser events to lines; ``stack`` holds (tag, silent or furniture, container, named element). All steps but the ends of tags cost the same at any depth."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []
+        self.stack: list[tuple[str, bool, int, int]] = []
+        self.open: Counter[str] = Counter()
         self.parents: list[int] = [-1]
         self.kinds: list[str] = ["#root"]
+        self.marks: list[int] = []  # of elements named like furniture: NAMED or COMMENT
         self.text: list[str] = []
-        self.links = self.tags = self.in_link = 0
-        self.lines: list[tuple[str, int, int, int]] = []  # text, link characters, tags, container; unmarked lines only
+        self.links = self.tags = 0
+        self.lines: list[tuple[str, int, int, int, int]] = []  # text, link characters, tags, container, named element or -1; without what is furniture by its role
 
     def _off(self) -> bool:
         return bool(self.stack) and self.stack[-1][1]
 
-    def _box(self) -> int:
-        return self.stack[-1][2] if self.stack else 0
-
     def flush(self) -> None:
         if self.text:
             t = _SPACE.sub(" ", "".join(self.text)).strip()
             if t:
-                self.lines.append((t, self.links, self.tags, self._box()))
+                _, _, box, named = self.stack[-1] if self.stack else ("", False, 0, -1)
+                self.lines.append((t, self.links, self.tags, box, named))
             self.text = []
             self.links = self.tags = 0
 
@@ -104,16 +124,18 @@ class _Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        main = any(t in ("article", "main") for t, _, _ in self.stack) if tag in ("header", "article") or attrs else False
-        off = self._off() or tag in SILENT or _marked(tag, attrs, main)
-        box = self._box()
+        _, off, box, named = self.stack[-1] if self.stack else ("", False, 0, -1)
+        mark = _mark(tag, attrs, self.open["article"] + self.open["main"] > 0)
+        if mark in (NAMED, COMMENT) and (named < 0 or mark > self.marks[named]):
+            self.marks.append(mark)
+            named = len(self.marks) - 1
         if tag in CONTAINERS:
             self.parents.append(box)
             role = next((v for k, v in attrs if k == "role"), None)
             self.kinds.append("main" if role == "main" else tag)
             box = len(self.parents) - 1
-        self.stack.append((tag, off, box))
-        self.in_link += tag == "a"
+        self.stack.append((tag, off or mark == ROLE, box, named))
+        self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs) -> None:
         self.handle_starttag(tag, attrs)  # a slash closes void elements only
@@ -121,6 +143,8 @@ class _Lines(HTMLParser):
     def _imply(self, tag: str) -> None:
         """A block ends an open paragraph, a list item the one before it, and so on."""
         closes = (*CLOSES.get(tag, ()), "p")
+        if not any(self.open[c] for c in closes):
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             name = self.stack[k][0]
             if name in closes:
@@ -130,14 +154,16 @@ class _Lines(HTMLParser):
                 return
 
     def _pop(self, k: int) -> None:
-        for name, _, _ in self.stack[k:]:
-            self.in_link -= name == "a"
+        for name, *_ in self.stack[k:]:
+            self.open[name] -= 1
         del self.stack[k:]
 
     def handle_endtag(self, tag) -> None:
         self.tags += 1
         if tag in BLOCKS:
             self.flush()
+        if not self.open[tag]:
+            return
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
                 self._pop(k)
@@ -148,12 +174,12 @@ class _Lines(HTMLParser):
     def handle_data(self, data) -> None:
         if not self._off():
             self.text.append(data)
-            if self.in_link:
+            if self.open["a"]:
                 self.links += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray, radius: int = 2) -> np.ndarray:
-    """Convolution with a Gaussian of standard deviation ``radius`` / 2 ... edges are renormalised."""
+    """Convolution with a Gaussian of standard deviation ``radius`` / sqrt(2); its weights are renormalised at the edges."""
     x = np.arange(-radius, radius + 1)
     kernel = np.exp(-(x**2) / max(radius, 1) ** 2)
     weight = np.convolve(np.ones(len(ratios)), kernel, "same") if len(ratios) >= len(kernel) else None
@@ -176,6 +202,11 @@ def content_lines(ratios: np.ndarray) -> np.ndarray:
     return near
 
 
+def _plain(line: tuple) -> int:
+    """Characters outside links."""
+    return max(len(line[0]) - line[1], 0)
+
+
 def extract(html: str | None) -> str:
     if not html:
         return ""
@@ -183,38 +214,42 @@ def extract(html: str | None) -> str:
     parser.feed(html)
     parser.close()
     parser.flush()
-    lines = parser.lines
+    lines, parents, kinds = parser.lines, parser.parents, parser.kinds
+    # a name marks furniture, unless what bears it holds more text than all that is not marked; reader comments only need something beside them
+    free = sum(_plain(x) for x in lines if x[4] < 0)
+    held = Counter()
+    for x in lines:
+        held[x[4]] += _plain(x)
+    kept = {k for k, mark in enumerate(parser.marks) if mark == NAMED and held[k] > free or mark == COMMENT and free == 0}
+    lines = [x for x in lines if x[4] < 0 or x[4] in kept]
     if not lines:
         return ""
-    ratios = np.array([max(len(t) - n_link, 0) / max(tags, 1) for t, n_link, tags, _ in lines])
-    content = content_lines(ratios)
-    weight: dict[int, int] = {}
-    for (t, n_link, _, box), good in zip(lines, content):
-        while good and box >= 0:
-            weight[box] = weight.get(box, 0) + max(len(t) - n_link, 0)
-            box = parser.parents[box]
-    boxes = [b for b in weight if parser.kinds[b] in ("article", "main")]
-    all_text: dict[int, int] = {}
-    for t, _, _, box in lines:
-        while box >= 0:
-            all_text[box] = all_text.get(box, 0) + len(t)
-            box = parser.parents[box]
-    boxes = boxes or [b for b in all_text if parser.kinds[b] in ("article", "main")]
+    content = content_lines(np.array([_plain(x) / max(x[2], 1) for x in lines]))
+    weight, whole = [0] * len(parents), [0] * len(parents)
+    for x, good in zip(lines, content):
+        weight[x[3]] += _plain(x) if good else 0
+        whole[x[3]] += len(x[0])
+    for box in range(len(parents) - 1, 0, -1):  # inner containers have higher numbers
+        weight[parents[box]] += weight[box]
+        whole[parents[box]] += whole[box]
+    boxes = [b for b in range(len(parents)) if kinds[b] in ("article", "main") and whole[b]]
     if boxes:
-        region = max(boxes, key=lambda b: (weight.get(b, 0), all_text[b], b))
+        region = max(boxes, key=lambda b: (weight[b], whole[b], b))
     else:
-        half = weight.get(0, 0) / 2
-        region = max((b for b in weight if weight[b] >= half), default=0)  # inner containers have higher numbers
-    inside = np.zeros(len(lines), np.bool_)
-    for i, (_, _, _, box) in enumerate(lines):
-        while box > region:
-            box = parser.parents[box]
-        inside[i] = box == region
-    if parser.kinds[region] in ("#root", "html", "body"):
-        good = np.flatnonzero(inside & content)
-        if len(good):
-            inside[: good[0]] = inside[good[-1] + 1 :] = False
-    return "\n".join(t for (t, *_), keep in zip(lines, inside) if keep)
+        region = max(b for b in range(len(parents)) if 2 * weight[b] >= weight[0])
+    inside = [False] * len(parents)
+    for box in range(region, len(parents)):
+        inside[box] = box == region or inside[parents[box]]
+    good = np.flatnonzero(content)
+    last = int(good[-1]) if len(good) else len(lines)
+    out = []
+    for k, (x, is_content) in enumerate(zip(lines, content)):
+        if not inside[x[3]]:
+            continue
+        if not boxes and not is_content and (2 * x[1] >= len(x[0]) or k > last and _COPYRIGHT.match(x[0])):
+            continue  # a menu, or the page's footer, in a page that names neither
+        out.append(x[0])
+    return "\n".join(out)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
