@@ -4,9 +4,10 @@ Training counts n-grams (1 to 3 letters, lower case, words set off by one blank)
 buckets per language. Each task adds up its own counts and sends one sparse row per language and range of buckets,
 so the corpus is reduced map-side to at most languages * 65,536 numbers. The matrix of log-probabilities, 65,536
 doubles for each language, is broadcast (``MAX_LANGUAGES`` bounds its size; more is an error, not a truncation). Scoring hashes a
-batch of texts at once, gathers the matrix' rows and sums them per text.
+batch of texts at once, counts their n-grams as sparse rows (text, bucket, times), and multiplies these with the matrix.
+The number of languages is looked at before anything is counted.
 
-Defined cases. A null text, or one without a letter: ``und`` with score 0. A null lang is not learned from. Nothing
+Defined cases. Very long texts are scored whole, in overlapping pieces. A null text, or one without a letter: ``und`` with score 0. A null lang is not learned from. Nothing
 to learn from: every text is ``und``. Ties go to the alphabetically first language. Empty tables give empty tables. Extra columns are
 ignored by :func:`predict` and kept by :func:`keep_identified`.
 """
@@ -88,6 +89,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
 
     C.small_batches(labelled.sparkSession)
     schema = "lang string, docs long, counts binary"
+    if labelled.where(F.col(text).isNotNull()).select(lang).distinct().limit(MAX_LANGUAGES + 2).count() > MAX_LANGUAGES + 1:  # null may be one of them
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     parts = rows.mapInPandas(C.tidy(count), schema)
     # two steps: sums of up to 64 tasks, then of these, so no task gathers more than a bounded share
@@ -101,30 +104,60 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang") -> tuple[
     return [r.lang for r in got], np.log(docs / max(docs.sum(), 1)), logp
 
 
+def _pieces(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The letters of texts in batches of about ``CHUNK``: code points, the text of each, and whether an n-gram may start there.
+
+    A text longer than that comes in pieces that overlap, so that each n-gram starts in one of them.
+    """
+    held: list[tuple[np.ndarray, int, int]] = []
+    size = 0
+    for i, t in enumerate(texts):
+        c = _codes(t) if isinstance(t, str) else np.zeros(0, np.uint32)
+        for s in range(0, len(c), CHUNK):
+            part = c[s : s + CHUNK + max(GRAMS) - 1]
+            held.append((part, i, min(CHUNK, len(c) - s)))
+            size += len(part)
+            if size >= CHUNK:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[tuple[np.ndarray, int, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    lens = np.array([len(c) for c, _, _ in held])
+    place = np.arange(lens.sum()) - np.repeat(np.cumsum(lens) - lens, lens)
+    left = np.repeat(lens, lens) - place  # code points of the piece from here on
+    left[place >= np.repeat([n for _, _, n in held], lens)] = 0
+    return np.concatenate([c for c, _, _ in held]), np.repeat([i for _, i, _ in held], lens), left
+
+
+def sparse_counts(texts: list) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Sparse rows of the matrix texts x buckets in batches: text, bucket and how often it occurs. A text longer than a batch has rows in several."""
+    for codes, of, left in _pieces(texts):
+        keys = []
+        for n, g in zip(GRAMS, _grams(codes)):
+            fits = left[: len(g)] >= n
+            keys.append(of[: len(g)][fits] * BUCKETS + g[fits])
+        key, times = np.unique(np.concatenate(keys), return_counts=True)
+        yield key // BUCKETS, key % BUCKETS, times
+
+
 def score_texts(texts: list, langs: list[str], prior: np.ndarray, logp: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Best language and its posterior probability for each text."""
+    """Best language and its posterior probability for each text: the sparse counts of a batch times the matrix, a language at a time."""
     pred, score = ["und"] * len(texts), np.zeros(len(texts))
     if not langs:
         return pred, score
-    for i, t in enumerate(texts):
-        c = _codes(t) if isinstance(t, str) else ()
-        if not len(c):
-            continue
-        total = prior.copy()
-        for s in range(0, len(c), CHUNK):
-            n_here = min(CHUNK, len(c) - s)
-            counts = np.zeros(BUCKETS, np.int64)
-            grams = [g[:n_here] for g in _grams(c[s : s + CHUNK + max(GRAMS) - 1])]
-            ids = np.concatenate(grams)
-            if len(ids) > 2 * BUCKETS:
-                counts = np.bincount(ids, minlength=BUCKETS)
-                hit = np.flatnonzero(counts)
-                total += counts[hit] @ logp[hit]
-            else:
-                total += logp[ids].sum(axis=0)
-        best = int(total.argmax())
+    total = np.tile(prior, (len(texts), 1))
+    some = np.zeros(len(texts), np.bool_)
+    for row, bucket, times in sparse_counts(texts):
+        some[row] = True
+        for k in range(len(langs)):
+            total[:, k] += np.bincount(row, weights=times * logp[bucket, k], minlength=len(texts))
+    for i in np.flatnonzero(some).tolist():
+        best = int(total[i].argmax())
         pred[i] = langs[best]
-        score[i] = 1.0 / np.exp(total - total[best]).sum()
+        score[i] = 1.0 / np.exp(total[i] - total[i, best]).sum()
     return pred, score
 
 
