@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,7 +24,14 @@ def let(x: Column, body) -> Column:
 
 
 def one_of(x: Column, words: str) -> Column:
-    return x.isin(words.split())
+    """Whether x is one of the words; one pattern is one call to the JVM, however many words there are."""
+    return x.rlike(rf"\A(?:{'|'.join(map(re.escape, words.split()))})\z")
+
+
+def table(items: dict[str, str]) -> Column:
+    """A constant map from strings to SQL literals, parsed in one call."""
+    quoted = lambda k: "'" + k.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return F.expr(f"map({', '.join(f'{quoted(k)}, {v}' for k, v in items.items())})")
 
 
 def normalize_text(x: Column) -> Column:
@@ -72,28 +80,26 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(predicate_form(x), f"^({'|'.join(L.WRAPPERS.split())})_+", "")
 
 
-def _group(x: Column) -> Column:
-    """Number of the synonym group of a predicate form, null outside."""
-    return F.coalesce(*(F.when(one_of(x, g), k) for k, g in enumerate(L.PREDICATE_SYNONYMS)))
+def synonyms(a: Column, b: Column) -> Column:
+    groups = {w: str(k) for k, g in enumerate(L.PREDICATE_SYNONYMS) for w in g.split()}  # no word is in two groups
+    forms = F.struct(*(f.alias(n) for n, f in (("fa", predicate_form(a)), ("fb", predicate_form(b)), ("sa", stripped(a)), ("sb", stripped(b)))))
 
+    def same(v: Column) -> Column:
+        g = F.transform(F.array(v["fa"], v["sa"], v["fb"], v["sb"]), lambda f: F.try_element_at(table(groups), f))
+        shared = F.arrays_overlap(F.filter(F.slice(g, 1, 2), lambda x: x.isNotNull()), F.filter(F.slice(g, 3, 2), lambda x: x.isNotNull()))
+        return (v["fa"] == v["fb"]) | (v["sa"] == v["sb"]) & (v["sa"] != "") | shared
 
-def synonyms(a: Column, b: Column) -> Column:
-    fa, fb, sa, sb = predicate_form(a), predicate_form(b), stripped(a), stripped(b)
-    in_one = reduce(lambda x, y: x | y, ((one_of(fa, g) | one_of(sa, g)) & (one_of(fb, g) | one_of(sb, g)) for g in L.PREDICATE_SYNONYMS))
-    return (fa == fb) | (sa == sb) & (sa != "") | in_one
+    return let(forms, same)
 
 
-def lookup(x: Column, table: dict[str, str]) -> Column:
-    """The entry of a constant table, null without one: ``x`` is computed once, however long the table is."""
-    return F.try_element_at(F.create_map(*(F.lit(v) for kv in table.items() for v in kv)), x)
+def lookup(x: Column, items: dict[str, str]) -> Column:
+    """The entry of a constant table of words, null without one: ``x`` is computed once, however long the table is."""
+    return F.try_element_at(table({k: f"'{v}'" for k, v in items.items()}), x)
 
 
 def canonical_predicate(x: Column) -> Column:
-    table: dict[str, str] = {}
-    for g in reversed(L.PREDICATE_SYNONYMS):
-        table |= dict.fromkeys(g.split(), min(g.split()))
     form = predicate_form(x)
-    return F.coalesce(lookup(form, table), form)
+    return F.coalesce(lookup(form, {w: min(g.split()) for g in L.PREDICATE_SYNONYMS for w in g.split()}), form)
 
 
 def leaf(x: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from . import versions as V
-from .text import let
+from .text import let, one_of, table
 
 FIELDS = ("comparable", "equal", "compatible", "normalized_a", "normalized_b", "value_type", "strength", "difference")
 
@@ -35,24 +35,29 @@ def compare_strings(a: Column, b: Column, kind) -> Column:
 
 
 def compare_versions(a: Column, b: Column) -> Column:
-    forms = {"pa": V.canonical(a), "pb": V.canonical(b), "ra": V.cleaned(a), "rb": V.cleaned(b), "va": V.coerced(a), "vb": V.coerced(b)}
-    return let(F.struct(*(x.alias(k) for k, x in forms.items())), lambda v: _versions(a, b, *(v[k] for k in forms)))
+    texts = {"pa": V.canonical(a), "pb": V.canonical(b), "ra": V.cleaned(a), "rb": V.cleaned(b), "va": V.coerced(a), "vb": V.coerced(b)}
 
+    def with_intervals(v: Column) -> Column:
+        known = {k: v[k] for k in texts} | {"ia": V.intervals(v["ra"]), "ib": V.intervals(v["rb"])}
+        return let(F.struct(*(x.alias(k) for k, x in known.items())), lambda w: _versions(a, b, *(w[k] for k in known)))
 
-def _versions(a: Column, b: Column, pa: Column, pb: Column, ra: Column, rb: Column, va: Column, vb: Column) -> Column:
+    return let(F.struct(*(x.alias(k) for k, x in texts.items())), with_intervals)
+
+
+def _versions(a: Column, b: Column, pa: Column, pb: Column, ra: Column, rb: Column, va: Column, vb: Column, ia: Column, ib: Column) -> Column:
     op = r"[><=~^\s*|xX]"
     has_a, has_b = F.coalesce(ra.rlike(op), F.lit(False)), F.coalesce(rb.rlike(op), F.lit(False))
 
     def within(ok: Column, na: Column, nb: Column) -> Column:
         return _result(True, False, ok, na, nb, "version", F.when(ok, 0.0).otherwise(1.0), F.when(ok, "RANGE_SATISFIED").otherwise("RANGE_VIOLATION"))
 
-    meets = V.intersects(ra, rb)
+    meets = V.intersects(ia, ib)
     major = F.split(pa, r"\.")[0] != F.split(pb, r"\.")[0]
     same = pa == pb
     return (
         F.when((a == b) & pa.isNotNull(), _result(True, True, True, pa, pa, "version", 0.0, None))
-        .when(has_a & ~has_b & vb.isNotNull(), within(V.satisfies(vb, ra), F.coalesce(pa, ra), vb))
-        .when(~has_a & has_b & va.isNotNull(), within(V.satisfies(va, rb), va, F.coalesce(pb, rb)))
+        .when(has_a & ~has_b & vb.isNotNull(), within(V.satisfies(vb, ia), F.coalesce(pa, ra), vb))
+        .when(~has_a & has_b & va.isNotNull(), within(V.satisfies(va, ib), va, F.coalesce(pb, rb)))
         .when(has_a & has_b, _result(True, ra == rb, meets, F.coalesce(pa, ra), F.coalesce(pb, rb), "version", F.when(meets, 0.0).otherwise(1.0), F.when(meets, "RANGES_INTERSECT").otherwise("DISJOINT_RANGES")))
         .when(pa.isNull() | pb.isNull(), compare_strings(a, b, "string"))
         .otherwise(_result(True, same, same, pa, pb, "version", F.when(same, 0.0).when(major, 1.0).otherwise(0.6), F.when(~same, F.when(major, "MAJOR_VERSION_MISMATCH").otherwise("MINOR_VERSION_MISMATCH"))))
@@ -109,14 +114,21 @@ def compare_prices(a: Column, b: Column) -> Column:
 _QUANTITY = r"^([-+]?\d+(?:\.\d+)?)\s*([a-z]*)$"
 
 
+_UNITS = {word: f"named_struct('factor', {factor!r}D, 'unit', '{unit}', 'shown', ' {shown}')" for words, factor, unit, shown in L.UNITS for word in words.split()}
+
+
 def quantity(x: Column) -> Column:
     """struct(amount, unit, display) or null; sizes in bytes and times in milliseconds, ``m`` is minutes."""
     t = F.lower(F.regexp_replace(F.trim(x), ",", ""))
-    n, unit = F.regexp_extract(t, _QUANTITY, 1).try_cast("double"), F.regexp_extract(t, _QUANTITY, 2)
-    chain = lambda pick, other: reduce(lambda acc, u: F.when(unit.isin(u[0].split()), pick(u)).otherwise(acc), reversed(L.UNITS), other)
-    shown = chain(lambda u: F.concat(number_text(n), F.lit(f" {u[3]}")), number_text(n))
-    out = F.struct(chain(lambda u: n * F.lit(u[1]), n).alias("amount"), chain(lambda u: F.lit(u[2]), F.when(unit != "", unit)).alias("unit"), shown.alias("display"))
-    return F.when(t.rlike(_QUANTITY), out)
+
+    def parts(t: Column) -> Column:
+        unit = F.regexp_extract(t, _QUANTITY, 2)
+        found = F.struct(F.regexp_extract(t, _QUANTITY, 1).try_cast("double").alias("n"), unit.alias("unit"), F.try_element_at(table(_UNITS), unit).alias("u"))
+        return F.when(t.rlike(_QUANTITY), let(found, lambda v: F.struct(
+            (v["n"] * F.coalesce(v["u"]["factor"], F.lit(1.0))).alias("amount"), F.coalesce(v["u"]["unit"], F.nullif(v["unit"], F.lit(""))).alias("unit"),
+            F.concat(number_text(v["n"]), F.coalesce(v["u"]["shown"], F.lit(""))).alias("display"))))
+
+    return let(t, parts)
 
 
 def compare_numbers(a: Column, b: Column, kind) -> Column:
@@ -140,13 +152,13 @@ def _numbers(a: Column, b: Column, qa: Column, qb: Column, kind) -> Column:
 
 def compare_statuses(a: Column, b: Column) -> Column:
     la, lb = F.lower(F.trim(a)), F.lower(F.trim(b))
-    both = lambda words: la.isin(words.split()) & lb.isin(words.split())
+    both = lambda words: one_of(la, words) & one_of(lb, words)
     return _plain((la == lb) | both(L.AFFIRMATIVE) | both(L.NEGATIVE), la, lb, "status", 0.95, "STATUS_MISMATCH")
 
 
 def boolean(x: Column) -> Column:
     v = F.lower(F.trim(x))
-    return F.when(v.isin(L.TRUE_WORDS.split()), True).when(v.isin(L.FALSE_WORDS.split()), False)
+    return F.when(one_of(v, L.TRUE_WORDS), True).when(one_of(v, L.FALSE_WORDS), False)
 
 
 def compare_booleans(a: Column, b: Column) -> Column:
@@ -171,20 +183,26 @@ def infer_pair_type(a: Column, b: Column) -> Column:
     )
 
 
-def compare(a: Column, b: Column, kind: Column | None = None, day_first: bool = False) -> Column:
-    """Struct of FIELDS; ``kind`` null or missing means inference."""
+def compare(a: Column, b: Column, kind: Column | str | None = None, day_first: bool = False) -> Column:
+    """Struct of FIELDS; ``kind`` null or missing means inference. A kind that is known beforehand, as a string, needs its own comparison only."""
     a, b = F.trim(F.coalesce(a, F.lit(""))), F.trim(F.coalesce(b, F.lit("")))
-    given = F.lit(None).cast("string") if kind is None else F.when(kind != "", kind)
+    if isinstance(kind, str) and kind:
+        return let(F.struct(a.alias("a"), b.alias("b")), lambda v: _dispatch(v["a"], v["b"], kind.lower(), F.lit(kind), day_first))
+    given = F.lit(None).cast("string") if kind is None else F.when(F.lit(kind) != "", F.lit(kind))
     inferred = infer_pair_type(a, b) if kind is None else F.when(given.isNull(), infer_pair_type(a, b))
     one = F.struct(a.alias("a"), b.alias("b"), F.lower(F.coalesce(given, inferred)).alias("t"), F.coalesce(given, F.lit("string")).alias("named"))
     return let(one, lambda v: _dispatch(v["a"], v["b"], v["t"], v["named"], day_first))
 
 
-def _dispatch(a: Column, b: Column, t: Column, named: Column, day_first: bool) -> Column:
-    return (
-        F.when((a == "") & (b == ""), _result(True, True, True, "", "", named, 0.0, None))
-        .when((a == "") | (b == ""), _result(True, False, False, a, b, named, 1.0, "EMPTY_VS_NONEMPTY"))
-        .when(t == "version", compare_versions(a, b)).when(t == "date", compare_dates(a, b, day_first)).when(t == "price", compare_prices(a, b))
-        .when(t.isin("number", "quantity"), compare_numbers(a, b, t)).when(t == "status", compare_statuses(a, b)).when(t == "boolean", compare_booleans(a, b))
-        .otherwise(compare_strings(a, b, t))
-    )
+def _dispatch(a: Column, b: Column, t: Column | str, named: Column, day_first: bool) -> Column:
+    kind = F.lit(t)
+    cases = [
+        (("version",), lambda: compare_versions(a, b)), (("date",), lambda: compare_dates(a, b, day_first)), (("price",), lambda: compare_prices(a, b)),
+        (("number", "quantity"), lambda: compare_numbers(a, b, kind)), (("status",), lambda: compare_statuses(a, b)), (("boolean",), lambda: compare_booleans(a, b)),
+    ]
+    empty = F.when((a == "") & (b == ""), _result(True, True, True, "", "", named, 0.0, None)).when((a == "") | (b == ""), _result(True, False, False, a, b, named, 1.0, "EMPTY_VS_NONEMPTY"))
+    if isinstance(t, str):
+        return empty.otherwise(next((f() for names, f in cases if t in names), compare_strings(a, b, kind)))
+    for names, f in cases:
+        empty = empty.when(one_of(t, " ".join(names)), f())
+    return empty.otherwise(compare_strings(a, b, t))

@@ -205,32 +205,32 @@ def compare_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     o, l = spark.read.parquet(f"{sf_dir}/orders.parquet"), spark.read.parquet(f"{sf_dir}/lineitem.parquet")  # noqa: E741
     sums = l.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("line_total"))
     t = o.join(sums, "o_orderkey").select("o_orderkey", F.format_string("$%.2f", "o_totalprice").alias("a"), F.concat(F.col("line_total").cast("string"), F.lit(" USD")).alias("b"))
-    return t.withColumn("c", V.compare(F.col("a"), F.col("b"), F.lit("price"))).select("o_orderkey", "c.equal", "c.difference")
+    return t.withColumn("c", V.compare(F.col("a"), F.col("b"), "price")).select("o_orderkey", "c.equal", "c.difference")
 
 
 @query("""SELECT l_orderkey, l_linenumber, l_quantity = 24 AS equal, CASE WHEN l_quantity = 24 THEN 0.0::DOUBLE ELSE 0.85::DOUBLE END AS strength FROM lineitem""")
 def compare_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = V.compare(F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(" GB")), F.lit("24,576 MB"), F.lit("quantity"))
+    c = V.compare(F.concat(F.col("l_quantity").cast("bigint").cast("string"), F.lit(" GB")), F.lit("24,576 MB"), "quantity")
     return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", c.alias("c")).select("l_orderkey", "l_linenumber", "c.equal", "c.strength")
 
 
 @query("""SELECT o_orderkey, o_orderdate::DATE = DATE '2024-01-15' AS equal,
     CASE WHEN o_orderdate::DATE = DATE '2024-01-15' THEN 0.0::DOUBLE ELSE least(1.0::DOUBLE, 0.4::DOUBLE + abs(date_diff('day', o_orderdate::DATE, DATE '2024-01-15')) * 0.1::DOUBLE) END AS strength FROM orders""")
 def compare_date(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = V.compare(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("January 15, 2024"), F.lit("date"))
+    c = V.compare(F.date_format("o_orderdate", "MM/dd/yyyy"), F.lit("January 15, 2024"), "date")
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", c.alias("c")).select("o_orderkey", "c.equal", "c.strength")
 
 
 @query("""SELECT o_orderkey, o_orderstatus = 'F' AS equal FROM orders""")
 def compare_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.when(F.col("o_orderstatus") == "F", "Enabled").when(F.col("o_orderstatus") == "O", "off").otherwise("pending")
-    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", V.compare(word, F.lit("active"), F.lit("status"))["equal"].alias("equal"))
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", V.compare(word, F.lit("active"), "status")["equal"].alias("equal"))
 
 
 @query("""SELECT p_partkey, (p_size // 10) BETWEEN 2 AND 3 AS compatible, CASE WHEN (p_size // 10) BETWEEN 2 AND 3 THEN 'RANGE_SATISFIED' ELSE 'RANGE_VIOLATION' END AS difference FROM part""")
 def compare_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.concat(F.expr("p_size div 10"), F.lit("."), F.col("p_size") % 10, F.lit(".0"))
-    c = V.compare(v, F.lit(">=2.0.0 <4"), F.lit("version"))
+    c = V.compare(v, F.lit(">=2.0.0 <4"), "version")
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", c.alias("c")).select("p_partkey", "c.compatible", "c.difference")
 
 
