@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 U64 = np.uint64
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 4_000_000
 BLOCK_SCHEMA = "block long, n_words long, doc_ids binary, nulls binary, tags binary, lens binary, body binary"
 REQUEST_SCHEMA = "bucket int, block long, kind int, keys binary, vals binary"
 REPLY_SCHEMA = "block long, kind int, bucket int, body binary"
@@ -36,6 +37,8 @@ def shared_path(spark: SparkSession, label: str) -> str:
     if not root:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if not got.isDefined():
+            if not re.match(r"local(\[|$)", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="veridiff-"))
             got = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = got.get()
@@ -69,6 +72,18 @@ def release(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """For each name one like it that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def tidy(run: Callable) -> Callable:
     """A function for ``mapInPandas`` that gives freed memory back to the system when a task ends: workers live on, and what the
     allocators would keep of one stage counts against the next one's memory."""
@@ -134,8 +149,12 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word bytes -> 64-bit hash, remembered; ``trim`` keeps the memory bounded between batches."""
 
+    def __init__(self, seed: int = 0) -> None:
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
-        h = self[word] = xxhash.xxh64_intdigest(word)
+        h = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:
@@ -146,8 +165,8 @@ class WordHashes(dict):
             self.clear()
 
 
-_BASE = 0x5851F42D4C957F2D | 1
-_INV = pow(_BASE, -1, 1 << 64)
+_BASES = (0x5851F42D4C957F2D, 0xC6A4A7935BD1E995)
+_INVERSES = [pow(b, -1, 1 << 64) for b in _BASES]
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -157,14 +176,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out, dtype=U64)
 
 
-def window_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k consecutive word hashes, from prefix sums of a polynomial modulo 2**64."""
+def window_hashes(h: np.ndarray, k: int, base: int = 0) -> np.ndarray:
+    """Hash of every run of k consecutive word hashes, from prefix sums of a polynomial modulo 2**64; ``base`` chooses one of two polynomials."""
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, U64)
     total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * _powers(_BASE, len(h)), out=total[1:])
-    return mix((total[k:] - total[:-k]) * _powers(_INV, n) + U64(k))
+    np.cumsum(h * _powers(_BASES[base], len(h)), out=total[1:])
+    return mix((total[k:] - total[:-k]) * _powers(_INVERSES[base], n) + U64(k))
 
 
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
