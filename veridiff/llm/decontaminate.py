@@ -130,5 +130,6 @@ def leaks(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: in
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, words: int = WORDS, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` into which no item leaks."""
-    gone = C.materialize(leaks(docs, benchmark, words, percent).select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    return docs.join(gone, F.col("doc_id") == F.col("__leak"), "left_anti")
+    leak = C.fresh(docs, "leak_id")[0]
+    gone = C.materialize(leaks(docs, benchmark, words, percent).select(F.col("doc_id").alias(leak)).distinct(), "leaks")
+    return docs.join(gone, F.col("doc_id") == F.col(leak), "left_anti")
