@@ -170,7 +170,18 @@ def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("a", "b", T.token_jaccard(s, t).alias("jaccard"), T.edit_similarity(s, t).alias("edit"))
 
 
-@query()
+_MEANING = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'from')))"
+_NEAR_WORDS = "list_sum(list_transform(mu, lambda x: len(list_filter(mv, lambda y: x <> y AND (starts_with(x, y) OR starts_with(y, x)) AND least(length(x), length(y)) >= 4))))"
+
+
+@query(f"""WITH {_SIM.replace("lower(x.p_name)", "x.p_name").replace("lower(y.p_name)", "y.p_name")},
+    n AS (SELECT a, b, {_NORM.format("s")} AS s, {_NORM.format("t")} AS t, {_MEANING.format("s")} AS mu, {_MEANING.format("t")} AS mv FROM p),
+    q AS (SELECT *, list_distinct(string_split(s, ' ')) AS u, list_distinct(string_split(t, ' ')) AS v FROM n),
+    r AS (SELECT *, len(list_intersect(u, v))::DOUBLE / len(list_distinct(u || v)) AS j, 1.0::DOUBLE - levenshtein(s, t)::DOUBLE / greatest(length(s), length(t)) AS e,
+        contains(' ' || t || ' ', ' ' || s || ' ') OR contains(' ' || s || ' ', ' ' || t || ' ') AS inside, least(length(s), length(t))::DOUBLE / greatest(length(s), length(t)) * 0.9::DOUBLE AS share,
+        CASE WHEN len(mu) = 0 OR len(mv) = 0 THEN NULL ELSE least(1.0::DOUBLE, len(list_intersect(mu, mv))::DOUBLE / len(list_distinct(mu || mv)) + least(0.25::DOUBLE, {_NEAR_WORDS} * 0.1::DOUBLE)) END AS m FROM q)
+    SELECT a, b, CASE WHEN s = t THEN 1.0::DOUBLE WHEN s = '' OR t = '' THEN 0.0::DOUBLE WHEN inside THEN greatest(j, e, share) WHEN j >= 0.5 THEN greatest(j, e) ELSE j END AS similarity,
+        CASE WHEN m IS NULL THEN 0.0::DOUBLE ELSE {_fixed("m", 3)} END AS semantic FROM r""")
 def composite_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("a", "b", T.composite_similarity(F.col("s"), F.col("t")).alias("similarity"), T.semantic_similarity(F.col("s"), F.col("t")).alias("semantic"))
 
