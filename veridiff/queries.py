@@ -198,7 +198,17 @@ def canonical_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _words(spark).select("predicate", T.canonical_predicate(F.col("predicate")).alias("canonical"))
 
 
-@query()
+_ALIAS_WORDS = ", ".join(f"('{w}', {k})" for k, g in enumerate(L.ALIASES) for w in g.split())
+
+
+@query(f"""WITH w AS (SELECT word, gid, regexp_replace(regexp_replace(word, '[._\\-\\s/]+', '', 'g'), '({"|".join(L.NOUN_SUFFIXES.split())})$', '') AS form FROM (VALUES {_ALIAS_WORDS}) AS v(word, gid)),
+    g AS (SELECT form, max(gid) AS gid FROM w GROUP BY form), m AS (SELECT g.form AS fa, w.form AS fb FROM g JOIN w ON w.gid = g.gid GROUP BY ALL),
+    p AS (SELECT x.word AS a, y.word AS b, x.form AS fa, y.form AS fb, m.fa IS NOT NULL AS alias, least(length(x.form), length(y.form))::DOUBLE / greatest(length(x.form), length(y.form)) AS ratio
+        FROM w x CROSS JOIN w y LEFT JOIN m ON m.fa = x.form AND m.fb = y.form),
+    r AS (SELECT *, CASE WHEN a = b THEN 'EXACT' WHEN fa <> '' AND fa = fb THEN 'NORMALIZED' WHEN alias THEN 'ALIAS'
+        WHEN length(fa) >= 4 AND length(fb) >= 4 AND (contains(fa, fb) OR contains(fb, fa)) AND ratio >= 0.6 THEN 'SUFFIX_PREFIX' ELSE 'NONE' END AS match_type FROM p)
+    SELECT a, b, match_type <> 'NONE' AS is_match, CASE match_type WHEN 'EXACT' THEN 1.0 WHEN 'NORMALIZED' THEN 0.92 WHEN 'ALIAS' THEN 0.88 WHEN 'NONE' THEN 0.1 ELSE {_fixed("0.7::DOUBLE + ratio * 0.15::DOUBLE", 2)} END::DOUBLE AS confidence,
+        match_type, match_type = 'SUFFIX_PREFIX' AND ratio < 0.75 AS is_ambiguous FROM r""")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = spark.createDataFrame([(a, b) for g in L.ALIASES for a in g.split() for h in L.ALIASES for b in h.split()], "a string, b string")
     return rows.select("a", "b", T.resolve_entity(F.col("a"), F.col("b")).alias("r")).select("a", "b", "r.*")
