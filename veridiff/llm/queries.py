@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extraction, language_id, language_model, metric_search, near_dedup, sentencepiece_codec, substring_dedup, token_files
+from . import chat_format, decontaminate, html_extraction, language_id, language_model, metric_search, near_dedup, sentencepiece_codec, source_mixing, substring_dedup, token_files
 from .common import shared_path
 
 
@@ -66,7 +66,11 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_digests(chat_format.format_turns(rows, model), model)
 
 
-QUERIES = {f.__name__: f for f in (op1_metric_search, op2_language_id, op3_token_files, op4_language_model, op5_decontaminate, op6_near_dedup, op7_sentencepiece, op8_html_extraction, op9_substring_dedup, op10_chat_format)}
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_metric_search, op2_language_id, op3_token_files, op4_language_model, op5_decontaminate, op6_near_dedup, op7_sentencepiece, op8_html_extraction, op9_substring_dedup, op10_chat_format, op13_source_mixing)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
