@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extraction, language_id, language_model, metric_search, near_dedup, sentencepiece_codec, source_mixing, substring_dedup, token_files
+from . import chat_format, conversation_repair, decontaminate, html_extraction, language_id, language_model, metric_search, near_dedup, sentencepiece_codec, source_mixing, substring_dedup, token_files
 from .common import shared_path
 
 
@@ -66,11 +66,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_digests(chat_format.format_turns(rows, model), model)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(conversation_repair.damaged(_read(spark, sf_dir, "conversations")))
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_metric_search, op2_language_id, op3_token_files, op4_language_model, op5_decontaminate, op6_near_dedup, op7_sentencepiece, op8_html_extraction, op9_substring_dedup, op10_chat_format, op13_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_metric_search, op2_language_id, op3_token_files, op4_language_model, op5_decontaminate, op6_near_dedup, op7_sentencepiece, op8_html_extraction, op9_substring_dedup, op10_chat_format, op12_conversation_repair, op13_source_mixing)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -124,4 +128,38 @@ ORACLE_SQL = {
             sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
             CAST(sum(length(role_out) + length(text_out) + 23) AS BIGINT) AS formatted_chars
         FROM t GROUP BY conv_id""",
+    "op12_conversation_repair": r"""
+        WITH RECURSIVE k AS (SELECT *, encode(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')) AS b,
+                coalesce(role, ' ') AS r0, coalesce(text, ' ') AS t0 FROM conversations),
+        z AS (SELECT *, xor(list_reduce([4294967295::UBIGINT] || list_transform(range(1, octet_length(b) + 1), lambda i: ascii(substr(decode(b), i::INTEGER, 1))::UBIGINT),
+                lambda c, x: list_reduce([xor(c, x)] || [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0], lambda y, n: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::UBIGINT) ELSE y >> 1 END)), 4294967295::UBIGINT) % 20 AS kind FROM k),
+        g AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE r0 END AS role,
+                CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN translate(t0, '.!?', '') ELSE t0 END AS text, unnest(range(CASE WHEN kind = 0 THEN 0 WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM z),
+        o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+                lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+                rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS cut FROM g),
+        f AS (SELECT *, CASE WHEN cut = '' THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate' WHEN right(cut, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM o),
+        inserted(src, via, icost, iaudit, itext) AS (VALUES ('', '', 0, '', ''), ('', 'u', 3, 'I', chr(10) || 'user:'), ('', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+            ('s', 's', 0, '', ''), ('s', 'u', 3, 'I', chr(10) || 'user:'), ('s', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('u', 'u', 0, '', ''), ('u', 'a', 3, 'I', chr(10) || 'assistant:'),
+            ('a', 'a', 0, '', ''), ('a', 'u', 3, 'I', chr(10) || 'user:')),
+        follows(via, nxt) AS (VALUES ('', 's'), ('', 'u'), ('s', 'u'), ('u', 'a'), ('a', 'u')),
+        steps AS (SELECT src, via AS dst, 'D' AS edit, icost + 4 AS cost, iaudit || 'D' AS audit, itext FROM inserted
+            UNION ALL SELECT src, nxt, 'K', icost, iaudit || 'K', itext FROM inserted JOIN follows USING (via)
+            UNION ALL SELECT src, nxt, 'R', icost + 3, iaudit || 'R', itext FROM inserted JOIN follows USING (via) WHERE nxt <> 's'),
+        walk(conv_id, i, state, best) AS (
+            SELECT DISTINCT conv_id, 0::BIGINT, '', {'cost': 0, 'audit': '', 'said': ''} FROM conversations
+            UNION ALL
+            SELECT w.conv_id, f.i, s.dst, min({'cost': w.best.cost + s.cost + CASE WHEN s.edit <> 'D' AND f.fault = 'truncated' THEN 3 ELSE 0 END, 'audit': w.best.audit || s.audit,
+                'said': w.best.said || s.itext || CASE s.edit WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || f.role || ':' || f.text ELSE chr(10) || CASE s.dst WHEN 'u' THEN 'user:' ELSE 'assistant:' END || f.text END})
+            FROM walk AS w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1 JOIN steps AS s ON s.src = w.state
+            WHERE s.edit = 'D' OR (f.fault NOT IN ('blank', 'duplicate') AND (s.edit = 'R' OR left(f.role, 1) = s.dst))
+            GROUP BY w.conv_id, f.i, s.dst),
+        n AS (SELECT conv_id, max(i) AS n FROM walk GROUP BY conv_id),
+        b AS (SELECT walk.conv_id, min({'cost': best.cost + icost, 'audit': best.audit || iaudit, 'said': best.said || itext}) AS best
+            FROM walk JOIN n ON n.conv_id IS NOT DISTINCT FROM walk.conv_id AND walk.i = n.n JOIN inserted ON src = state WHERE via IN ('', 'a') GROUP BY walk.conv_id),
+        c AS (SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+        SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            CAST(best.cost AS BIGINT) AS cost, best.audit AS audit, sha256(substr(best.said, 2)) AS repaired_sha256
+        FROM b LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM b.conv_id""",
 }
