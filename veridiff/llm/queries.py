@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, conversation_repair, decontaminate, html_extraction, language_id, language_model, metric_search, near_dedup, sentencepiece_codec, source_mixing, substring_dedup, token_files
+from . import chat_format, conversation_repair, decontaminate, embedding_whitening, html_extraction, language_id, language_model, metric_search, near_dedup, sentencepiece_codec, source_mixing, substring_dedup, token_files
 from .common import shared_path
 
 
@@ -66,6 +66,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_digests(chat_format.format_turns(rows, model), model)
 
 
+def whitened_rows(embeddings: DataFrame, k: int) -> DataFrame:
+    """A row for each vector and component; ``deviation`` is null where it has no place in a long (``transform`` has it as a decimal)."""
+    model = embedding_whitening.fit(embeddings, k)
+    rows = embedding_whitening.transform(embeddings, model)
+    explained = F.array(*[F.lit(x) for x in model.explained]).cast("array<double>")
+    each = rows.select("vec_id", F.posexplode("whitened").alias("at", "whitened"), F.lit(model.n).cast("long").alias("n"), F.col("deviation").try_cast("long").alias("deviation"))
+    error = embedding_whitening.identity_error(rows, model)
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", "whitened", F.get(explained, F.col("at")).alias("explained"), F.lit(error).alias("identity_error"))
+
+
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(_read(spark, sf_dir, "embeddings"), 32)
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(conversation_repair.damaged(_read(spark, sf_dir, "conversations")))
 
@@ -74,7 +88,7 @@ def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_mixing.mix(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_metric_search, op2_language_id, op3_token_files, op4_language_model, op5_decontaminate, op6_near_dedup, op7_sentencepiece, op8_html_extraction, op9_substring_dedup, op10_chat_format, op12_conversation_repair, op13_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_metric_search, op2_language_id, op3_token_files, op4_language_model, op5_decontaminate, op6_near_dedup, op7_sentencepiece, op8_html_extraction, op9_substring_dedup, op10_chat_format, op11_embedding_whitening, op12_conversation_repair, op13_source_mixing)}
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
