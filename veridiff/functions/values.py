@@ -64,20 +64,61 @@ def _versions(a: Column, b: Column, pa: Column, pb: Column, ra: Column, rb: Colu
     )
 
 
-#: Free forms that are read besides the numeric ones.
-DATE_FORMATS = ("MMMM d, yyyy", "MMM d, yyyy", "d MMMM yyyy", "d MMM yyyy", "EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy")
+#: Names of months by their first letters, and what may stand for the zone of UTC. Fixed values.
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
+ZONES = "utc|ut|gmt|z"
+_CLOCK = rf"[\s,t]+(\d{{1,2}}):(\d{{2}})(?::(\d{{2}})(?:\.\d+)?)?\s*(am|pm)?\s*(?:{ZONES})?\s*(?:([+-])(\d{{2}}):?(\d{{2}}))?\s*$"
+_MONTH = rf"(?:{'|'.join(MONTHS)})[a-z]*"
+#: Words before the first number are skipped, after it only months may stand.
+_FREE = rf"^(?:[a-z]+[\s,./-]+)*(?:\d{{1,6}})(?:(?:st|nd|rd|th)?[\s,./-]+(?:\d{{1,6}}|{_MONTH}))*[\s,.]*$"
+
+
+def free_date(x: Column) -> Column:
+    """``yyyy-MM-dd`` of a date in words or numbers, null if there is none.
+
+    Up to three numbers and one month's name, and a time of day with its offset. With a name the number above 31 is the year; without one the order is
+    month, day, year, or year, month, day where the first is above 31. What is missing is the first month, the first day and the year 2001; years of two digits lie
+    between 1950 and 2049. So a lone number is a month or a year.
+    """
+    low = F.lower(F.trim(F.regexp_replace(x, r"\([^)]*\)", " ")))
+
+    def parts(t: Column) -> Column:
+        day = F.regexp_replace(t, _CLOCK, "")
+        part = lambda k: F.coalesce(F.regexp_extract(t, _CLOCK, k).try_cast("int"), F.lit(0))
+        half = F.regexp_extract(t, _CLOCK, 4)
+        hour = F.when(half == "pm", part(1) % 12 + 12).when(half == "am", part(1) % 12).otherwise(part(1))
+        ahead = F.when(F.regexp_extract(t, _CLOCK, 5) == "-", -1).otherwise(1) * (part(6) * 60 + part(7))
+        numbers = F.transform(F.regexp_extract_all(day, F.lit(r"\d+"), F.lit(0)), lambda n: n.try_cast("int"))
+        name = F.regexp_extract(day, rf"(?:^|[^a-z])({'|'.join(MONTHS)})[a-z]*", 1)
+        minutes = hour * 60 + part(2) - ahead
+        return F.struct(numbers.alias("n"), F.nullif(F.array_position(F.array(*map(F.lit, MONTHS)), name), F.lit(0)).cast("int").alias("name"), F.floor(minutes / 1440).cast("int").alias("days"), (day.rlike(_FREE) & (hour < 25)).alias("ok"))
+
+    def composed(v: Column) -> Column:
+        at = lambda k: F.coalesce(F.get(v["n"], F.lit(k)), F.lit(1))
+        is_day = at(0).between(1, 31)
+        named = F.struct(F.when(is_day, at(1)).otherwise(at(0)).alias("y"), v["name"].alias("m"), F.when(is_day, at(0)).otherwise(at(1)).alias("d"))
+        plain = F.when(is_day, F.struct(at(2).alias("y"), at(0).alias("m"), at(1).alias("d"))).otherwise(F.struct(at(0).alias("y"), at(1).alias("m"), at(2).alias("d")))
+        return F.when(v["ok"] & (F.size(v["n"]) <= 3), let(F.when(v["name"].isNotNull(), named).otherwise(plain), lambda w: dated(w, v["days"])))
+
+    def dated(w: Column, days: Column) -> Column:
+        year = F.when(w["y"] <= 49, w["y"] + 2000).when(w["y"] <= 99, w["y"] + 1900).otherwise(w["y"])
+        ok = w["m"].between(1, 12) & w["d"].between(1, 31) & (year <= 9999)
+        return F.when(ok, F.date_format(F.date_add(F.make_date(F.when(ok, year), F.when(ok, w["m"]), F.lit(1)), w["d"] - 1 + days), "yyyy-MM-dd"))
+
+    return F.when(x.rlike(r"\d"), let(low, lambda t: let(parts(t), composed)))
+
+
+_ISO = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
 
 
 def normalize_date(x: Column, day_first: bool = False) -> Column:
-    iso = r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})"
     slash = r"^(\d{1,2})[/.-](\d{1,2})[/.-](\d{4})$"
     p, q, y = (F.regexp_extract(x, slash, k).try_cast("int") for k in (1, 2, 3))
     flip = F.when((p > 12) & (q <= 12), True).when((q > 12) & (p <= 12), False).otherwise(day_first)
-    free = F.coalesce(*(F.try_to_timestamp(x, F.lit(f)) for f in DATE_FORMATS))
     return (
-        F.when(x.rlike(iso), F.concat_ws("-", F.regexp_extract(x, iso, 1), *(F.lpad(F.regexp_extract(x, iso, k), 2, "0") for k in (2, 3))))
+        F.when(x.rlike(_ISO), F.concat_ws("-", F.regexp_extract(x, _ISO, 1), *(F.lpad(F.regexp_extract(x, _ISO, k), 2, "0") for k in (2, 3))))
         .when(x.rlike(slash), F.concat_ws("-", y, F.lpad(F.when(flip, q).otherwise(p).cast("string"), 2, "0"), F.lpad(F.when(flip, p).otherwise(q).cast("string"), 2, "0")))
-        .otherwise(F.date_format(free, "yyyy-MM-dd"))
+        .otherwise(free_date(x))
     )
 
 
@@ -173,7 +214,7 @@ def infer_pair_type(a: Column, b: Column) -> Column:
         dotted = s.rlike(r"(?i)(?<![A-Za-z0-9_])v?\d+(\.\d+)+(?![A-Za-z0-9_])")
         return ~s.rlike(r"^\d+$") & ~V.not_a_version(s) & (dotted | V.is_range(s) & s.rlike(r"[\^~><=v.]"))
 
-    date = lambda x: normalize_date(x).isNotNull() & x.rlike(r"\d")
+    date = lambda x: free_date(x).isNotNull()
     price = lambda x: x.rlike(r"(?i)[$€£¥₹]|(?<![A-Za-z0-9_])(?:INR|USD|EUR|GBP|JPY|CAD|AUD)(?![A-Za-z0-9_])")
     units = "|".join(sorted((w for u in L.UNITS for w in u[0].split()), key=len, reverse=True))
     number = lambda x: F.trim(x).rlike(rf"(?i)^[-+]?[\d,]+(?:\.\d+)?\s*(?:{units})?$")

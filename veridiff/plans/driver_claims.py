@@ -59,3 +59,28 @@ def mixed_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = event_claims(spark, sf_dir).withColumn("event_id", F.substring("id", 2, 10).cast("long"))
     c = c.withColumns({"predicate": predicate, "value": value, "subject": F.concat(F.lit("unit_"), F.lpad(F.regexp_extract("subject", "[0-9]+", 0), 6, "0"))})
     return c.withColumn("value_type", value_type(F.col("predicate"), F.col("value"))).drop("event_id")
+
+
+#: predicate: (value, its type) of claims that reach every gate of the verdict, by event_id modulo their numbers.
+ODD = {
+    "launch_deadline": (("TBD", "date"), ("2024-01-05", "date"), ("Tue, 15 Jan 2024 10:00:00 +0000", "date"), ("January 15, 2024", "date"), ("next spring", "date")),
+    "remark": (("hello", None), ("world", None), ("8080", None), ("9090", None), ("30 days", None)),
+    "retention": (("30 days", "policy"), ("60 days", "requirement"), ("30 days", "requirement")),
+    "node_version": ((">=18.0.0", "version"), ("18.2.0", "version"), ("16.0.0", "version"), ("^18.0.0", "version")),
+    "endpoint": (("10.0.0.1", "address"), ("80", "quantity"), ("localhost", "address")),
+}
+
+
+def odd_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event claims with values that no rule reads, without types, with ranges and with types that clash; every fifth is historical."""
+    i = F.col("event_id")
+    k, turn = i % len(ODD), F.floor(i / len(ODD)).cast("long")
+    predicate, value, kind = (F.lit(None).cast("string") for _ in range(3))
+    for n, (name, values) in enumerate(ODD.items()):
+        predicate = F.when(k == n, name).otherwise(predicate)
+        value = F.when(k == n, _pick(turn % len(values), [v for v, _ in values])).otherwise(value)
+        kind = F.when(k == n, _pick(turn % len(values), [t for _, t in values])).otherwise(kind)
+    c = event_claims(spark, sf_dir).withColumn("event_id", F.substring("id", 2, 10).cast("long"))
+    role = F.when(F.floor(i / 7) % 5 == 4, "historical").otherwise("documentation")
+    fixed = {"environment": F.lit("production"), "scope": F.lit("service"), "source_role": role, "subject": F.concat(F.lit("unit_"), F.lpad(F.regexp_extract("subject", "[0-9]+", 0), 6, "0"))}
+    return c.withColumns({"predicate": predicate, "value": value, "value_type": kind, **fixed}).drop("event_id")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from .functions import explain as E
 from .operators import blocking, pairs, store, sync
-from .plans.driver_claims import MIXED, event_claims, event_trust, mixed_claims
+from .plans.driver_claims import MIXED, ODD, event_claims, event_trust, mixed_claims, odd_claims
 from .queries import _CLAIMS, _INSIDE, _LOG, _PAIRS, _fixed, _review_log, query
 from .sources import extract
 
@@ -136,6 +136,63 @@ def analyze_claim_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.analyze_pairs(wanted, claims).select("a_id", "b_id", "relation", "status")
 
 
+# --- every gate of the verdict: values that no rule reads, untyped values, ranges, types that clash -----------------------
+
+
+def _odd_outcomes() -> str:
+    """Rows (predicate, ka, kb, gate, difference, strength, na, nb) for the ODD values, reasoned out by hand; a pair reads the same from both sides."""
+    shown = {
+        "launch_deadline": ("TBD", "2024-01-05", "2024-01-15", "2024-01-15", "next spring"), "remark": ("hello", "world", "8080-01-01", "9090-01-01", "30 d"),
+        "retention": ("30 days", "60 days", "30 days"), "node_version": ("18.0.0", "18.2.0", "16.0.0", "18.0.0"), "endpoint": ("10.0.0.1", "80", "localhost"),
+    }
+    mixed = {  # what differs from "equal to itself, else different"
+        ("launch_deadline", 0, 1): ("VAGUE", "UNPARSEABLE_DATE", 0.5, "TBD", "2024-01-05"), ("launch_deadline", 0, 2): ("VAGUE", "UNPARSEABLE_DATE", 0.5, "TBD", "Tue, 15 Jan 2024 10:00:00 +0000"),
+        ("launch_deadline", 0, 3): ("VAGUE", "UNPARSEABLE_DATE", 0.5, "TBD", "January 15, 2024"), ("launch_deadline", 0, 4): ("VAGUE", "UNPARSEABLE_DATE", 0.5, "TBD", "next spring"),
+        ("launch_deadline", 0, 0): ("EQUAL", "UNPARSEABLE_DATE", 0.5, "TBD", "TBD"), ("launch_deadline", 4, 4): ("EQUAL", "UNPARSEABLE_DATE", 0.5, "next spring", "next spring"),
+        ("launch_deadline", 1, 4): ("VAGUE", "UNPARSEABLE_DATE", 0.5, "2024-01-05", "next spring"), ("launch_deadline", 2, 4): ("VAGUE", "UNPARSEABLE_DATE", 0.5, "Tue, 15 Jan 2024 10:00:00 +0000", "next spring"),
+        ("launch_deadline", 3, 4): ("VAGUE", "UNPARSEABLE_DATE", 0.5, "January 15, 2024", "next spring"), ("launch_deadline", 1, 2): ("CONFLICT", "DATE_MISMATCH", 1.0, "2024-01-05", "2024-01-15"),
+        ("launch_deadline", 1, 3): ("CONFLICT", "DATE_MISMATCH", 1.0, "2024-01-05", "2024-01-15"), ("launch_deadline", 2, 3): ("EQUAL", None, 0.0, "2024-01-15", "2024-01-15"),
+        ("remark", 2, 3): ("CONFLICT", "DATE_MISMATCH", 1.0, "8080-01-01", "9090-01-01"), ("remark", 2, 4): ("CONFLICT", "UNIT_MISMATCH", 0.9, "8080", "30 d"), ("remark", 3, 4): ("CONFLICT", "UNIT_MISMATCH", 0.9, "9090", "30 d"),
+        ("retention", 0, 1): ("CONFLICT", "NUMERIC_MISMATCH", 0.85, "30 d", "60 d"), ("retention", 0, 2): ("EQUAL", None, 0.0, "30 d", "30 d"),
+        ("node_version", 0, 1): ("COMPATIBLE", "RANGE_SATISFIED", 0.0, "18.0.0", "18.2.0"), ("node_version", 0, 2): ("CONFLICT", "RANGE_VIOLATION", 1.0, "18.0.0", "16.0.0"),
+        ("node_version", 0, 3): ("COMPATIBLE", "RANGES_INTERSECT", 0.0, "18.0.0", "18.0.0"), ("node_version", 1, 2): ("CONFLICT", "MAJOR_VERSION_MISMATCH", 1.0, "18.2.0", "16.0.0"),
+        ("node_version", 1, 3): ("COMPATIBLE", "RANGE_SATISFIED", 0.0, "18.2.0", "18.0.0"), ("node_version", 2, 3): ("CONFLICT", "RANGE_VIOLATION", 1.0, "16.0.0", "18.0.0"),
+        ("endpoint", 0, 1): ("TYPES", None, None, None, None), ("endpoint", 1, 2): ("TYPES", None, None, None, None),
+    }
+    rows = []
+    for p, values in ODD.items():
+        for a in range(len(values)):
+            for b in range(len(values)):
+                gate, difference, strength, na, nb = mixed.get((p, min(a, b), max(a, b))) or (("EQUAL", None, 0.0, shown[p][a], shown[p][a]) if a == b else ("CONFLICT", "VALUE_MISMATCH", 0.8, *sorted((values[a][0], values[b][0]), key=lambda v: v == values[max(a, b)][0])))
+                if a > b:
+                    na, nb = nb, na
+                rows.append((p, a, b, gate, difference, strength, na, nb))
+    lit = lambda v: "NULL" if v is None else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) if isinstance(v, int) else _QUOTED(v)
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + ") AS t(predicate, ka, kb, gate, difference, strength, na, nb)"
+
+
+_ODD = f"""odd AS (SELECT id, user_id, event_id, {_CASE(f"event_id % {len(ODD)}", [_QUOTED(p) for p in ODD])} AS predicate, (event_id // {len(ODD)}) % {_CASE(f"event_id % {len(ODD)}", [str(len(v)) for v in ODD.values()])} AS k, (event_id // 7) % 5 = 4 AS old FROM claims),
+    wanted AS (SELECT x.id AS a_id, y.id AS b_id FROM odd x JOIN odd y ON x.user_id = y.user_id AND x.predicate = y.predicate AND x.id <= y.id
+        UNION ALL SELECT a_id, b_id FROM (SELECT id AS a_id, lead(id) OVER w AS b_id, predicate AS p, lead(predicate) OVER w AS q FROM odd WINDOW w AS (PARTITION BY user_id ORDER BY id)) WHERE p <> q),
+    gated AS (SELECT a_id, b_id, CASE WHEN a_id = b_id THEN 'SELF' WHEN x.predicate <> y.predicate THEN 'NO_MATCH' WHEN x.old OR y.old THEN 'CONTEXT' ELSE t.gate END AS g, t.*
+        FROM wanted JOIN odd x ON x.id = a_id JOIN odd y ON y.id = b_id LEFT JOIN {_odd_outcomes()} ON t.predicate = x.predicate AND x.predicate = y.predicate AND t.ka = x.k AND t.kb = y.k)"""
+
+
+@query(f"""WITH {_CLAIMS}, {_ODD} SELECT a_id, b_id, g AS gate, CASE g WHEN 'CONFLICT' THEN 'CONFIRMED_CONTRADICTION' WHEN 'VAGUE' THEN 'UNCERTAIN' ELSE 'NOT_A_CONTRADICTION' END AS status,
+    CASE g WHEN 'CONFLICT' THEN 'INCOMPATIBLE_FACT' WHEN 'CONTEXT' THEN 'HISTORICAL' WHEN 'SELF' THEN 'SAME_FACT' WHEN 'EQUAL' THEN 'SAME_FACT' WHEN 'COMPATIBLE' THEN 'COMPATIBLE_FACT' ELSE 'UNKNOWN' END AS relation,
+    CASE WHEN g IN ('EQUAL', 'COMPATIBLE', 'VAGUE', 'CONFLICT') THEN difference END AS difference, CASE WHEN g IN ('EQUAL', 'COMPATIBLE', 'VAGUE', 'CONFLICT') THEN strength END AS strength,
+    CASE WHEN g IN ('EQUAL', 'COMPATIBLE', 'VAGUE', 'CONFLICT') THEN na END AS normalized_a, CASE WHEN g IN ('EQUAL', 'COMPATIBLE', 'VAGUE', 'CONFLICT') THEN nb END AS normalized_b FROM gated""")
+def verdict_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of each unit's claims with themselves, with the same predicate, and with the next claim of another predicate."""
+    claims = odd_claims(spark, sf_dir)
+    x, y = (claims.select(F.col("id").alias(f"{n}_id"), "subject", "predicate") for n in ("a", "b"))
+    same = x.join(y, ["subject", "predicate"]).where("a_id <= b_id").select("a_id", "b_id")
+    order = Window.partitionBy("subject").orderBy("id")
+    after = claims.select(F.col("id").alias("a_id"), F.lead("id").over(order).alias("b_id"), "predicate", F.lead("predicate").over(order).alias("q")).where("predicate <> q")
+    got = pairs.analyze(pairs.attach(same.unionByName(after.select("a_id", "b_id")), claims))
+    return got.select("a_id", "b_id", "gate", "status", "relation", "cmp.difference", "cmp.strength", "cmp.normalized_a", "cmp.normalized_b")
+
+
 @query(f"""WITH {_CLAIMS} SELECT id, CASE WHEN event_id % 7 = 6 THEN 'Unlinked claim observed ' ELSE 'Extracted from document source ''Source ' || source_id || ''' at /data/' || source_id || CASE WHEN event_id % 2 = 0 THEN ' (rev abc' || lpad((event_id % 10000)::VARCHAR, 4, '0') || ')' ELSE '' END || ', observed ' END
     || strftime(observed_at, '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS summary, event_id % 7 <> 6 AS traceable FROM claims""")
 def provenance_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
