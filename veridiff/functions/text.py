@@ -23,6 +23,15 @@ def let(x: Column, body) -> Column:
     return F.element_at(F.transform(F.array(x), body), 1)
 
 
+#: White space at the ends of texts, as the readers cut it. Fixed values.
+BLANKS = "\t\n\x0b\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+def trimmed(x: Column | str) -> Column:
+    """Without white space of any kind at either end; ``trim`` alone cuts blanks only."""
+    return F.trim(x, F.lit(BLANKS))
+
+
 def one_of(x: Column, words: str) -> Column:
     """Whether x is one of the words; one pattern is one call to the JVM, however many words there are."""
     return x.rlike(rf"\A(?:{'|'.join(map(re.escape, words.split()))})\z")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import lexicon as L
 from . import versions as V
-from .text import let, one_of, table
+from .text import let, one_of, table, trimmed
 
 FIELDS = ("comparable", "equal", "compatible", "normalized_a", "normalized_b", "value_type", "strength", "difference")
 
@@ -226,7 +226,7 @@ def infer_pair_type(a: Column, b: Column) -> Column:
 
 def compare(a: Column, b: Column, kind: Column | str | None = None, day_first: bool = False) -> Column:
     """Struct of FIELDS; ``kind`` null or missing means inference. A kind that is known beforehand, as a string, needs its own comparison only."""
-    a, b = F.trim(F.coalesce(a, F.lit(""))), F.trim(F.coalesce(b, F.lit("")))
+    a, b = trimmed(F.coalesce(a, F.lit(""))), trimmed(F.coalesce(b, F.lit("")))
     if isinstance(kind, str) and kind:
         return let(F.struct(a.alias("a"), b.alias("b")), lambda v: _dispatch(v["a"], v["b"], kind.lower(), F.lit(kind), day_first))
     given = F.lit(None).cast("string") if kind is None else F.when(F.lit(kind) != "", F.lit(kind))

@@ -362,11 +362,22 @@ def rate_limit_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- extraction ----------------------------------------------------------------------------------------------
 
 
-@query(r"""WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), chr(10))) AS line FROM pages),
-    d AS (SELECT page_id, trim(replace(replace(replace(replace(replace(replace(line, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&')) AS line FROM l)
-    SELECT page_id, line FROM d WHERE length(line) > 3 AND line NOT LIKE '//%' AND line NOT LIKE '/*%'""")
+#: Written as in a page, with the lines that it must give; %s is the page's number.
+_SAMPLE = "<title>A sample</title>\r\n<p>\tTimeout: %ss\r\n// note\n\t// hidden</p>Port<SCRIPT>var a = '<b>';</SCRIPT>8080 here<br>It&#8217;s &apos;ok&apos; &amp;lt;b&amp;gt; &#x41;BC<table><tr><td>Owner&nbsp;</td><td> <b>team</b> &amp; co</td><td>third</td></tr><tr><td>lone&nbsp;cell</td></tr></table>"
+_SAMPLE_LINES = ("A sample", "Timeout: %ss", "Port 8080 here", "It\u2019s 'ok' <b> ABC", "Owner: team  & co", "lone cell")
+_ENDS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160) || chr(65279)"
+
+
+@query(rf"""WITH l AS (SELECT page_id, unnest(string_split(regexp_replace(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', ' ', 'g'), '<[^>]+>', chr(10), 'g'), chr(10))) AS line FROM pages),
+    d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(replace(line, '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&apos;', ''''), '&nbsp;', ' ') AS line FROM l),
+    t AS (SELECT page_id, trim(unnest(string_split_regex(line, '\r?\n')), {_ENDS}) AS line FROM d)
+    SELECT page_id, line FROM t WHERE length(line) > 3 AND line NOT LIKE '//%' AND line NOT LIKE '/*%'
+    UNION ALL SELECT -1 - page_id, replace(unnest([{", ".join("'" + x.replace("'", "''") + "'" for x in _SAMPLE_LINES)}]), '%s', page_id::VARCHAR) FROM pages""")
 def html_clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.html_lines(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "line")
+    """The pages of the table, and for each of them one with control characters, references of all kinds, a script inside a line and table rows."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    samples = pages.select((-1 - F.col("page_id")).alias("page_id"), F.replace(F.lit(_SAMPLE), F.lit("%s"), F.col("page_id").cast("string")).alias("html"))
+    return extract.html_lines(pages.unionByName(samples)).select("page_id", "line")
 
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)

@@ -56,6 +56,13 @@ DEPENDENCIES = {
     "typescript": "typescript_version", "react": "react_version", "next": "next_version", "express": "express_version", "@modelcontextprotocol/sdk": "mcp_sdk_version",
     "@modelcontextprotocol/server": "mcp_server_version", "@modelcontextprotocol/client": "mcp_client_version",
 }
+#: Patterns of pages, container files and workflows, and the character references that are decoded, in this order. Fixed values.
+_HIDDEN = r"(?is)<script\b.*?</script>|<style\b.*?</style>"
+_ROW, _CELL = r"(?is)<tr\b[^>]*>(.*?)</tr>", r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"
+ENTITIES = (("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "))
+BASE_IMAGES = "node python postgres"
+_FROM, _EXPOSE = r"(?i)^FROM\s+(?:--platform=\S+\s+)?([a-zA-Z0-9_./-]+)(?::([a-zA-Z0-9_.-]+))?", r"(?i)^EXPOSE\s+(\d{2,5})"
+_NODE, _RUNNER = r"""(?i)node-version:\s*(?:\[([^\]]+)\]|['"]?([0-9.x]+)['"]?)""", r"(?i)runs-on:\s*([a-zA-Z0-9_.-]+)"
 
 
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
@@ -64,12 +71,12 @@ def lines(files: DataFrame, content: str = "content") -> DataFrame:
 
 
 def key_form(x: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    return F.regexp_replace(F.regexp_replace(F.lower(T.trimmed(x)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
 def data_key(x: Column) -> Column:
     """:func:`key_form`; a key without any letter or digit of it keeps its underscores, so that it is not empty."""
-    return F.when(key_form(x) != "", key_form(x)).otherwise(T.predicate_form(F.trim(x)))
+    return F.when(key_form(x) != "", key_form(x)).otherwise(T.predicate_form(T.trimmed(x)))
 
 
 # Patterns of single values. ``(?<![A-Za-z0-9_])`` and ``(?![A-Za-z0-9_])`` stand for an ASCII word boundary.
@@ -83,7 +90,7 @@ _AMOUNT = r"^[-+]?[\d,]+(\.\d+)?\s*(b|bytes?|kb|kib|ki|k|mb|mib|mi|m|gb|gib|gi|g
 
 def value_type(predicate: Column, value: Column) -> Column:
     """Type tag of a single value; the first rule that holds decides."""
-    p, v = F.lower(F.trim(F.coalesce(predicate, F.lit("")))), F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    p, v = F.lower(T.trimmed(F.coalesce(predicate, F.lit("")))), F.lower(T.trimmed(F.coalesce(value, F.lit(""))))
     holds = lambda words: p.rlike("|".join(words.split()))
     address = v.rlike(_ADDRESS)
     return (
@@ -99,17 +106,17 @@ def value_type(predicate: Column, value: Column) -> Column:
 
 def source_key(kind: Column, identifier: Column) -> Column:
     """Stable external id of a source: ``type:identifier``."""
-    return F.concat_ws(":", F.lower(F.trim(kind)), _slashless(identifier))
+    return F.concat_ws(":", F.lower(T.trimmed(kind)), _slashless(identifier))
 
 
 def claim_key(source: Column, path: Column, predicate: Column, distinct: Column | None = None) -> Column:
     """Stable external id of a claim: ``source:path:predicate``, and what else tells claims of one key apart."""
-    parts = [F.lower(F.trim(source)), _slashless(path), F.lower(F.trim(predicate))]
-    return F.concat_ws(":", *parts, *([F.nullif(F.lower(F.trim(distinct)), F.lit(""))] if distinct is not None else []))
+    parts = [F.lower(T.trimmed(source)), _slashless(path), F.lower(T.trimmed(predicate))]
+    return F.concat_ws(":", *parts, *([F.nullif(F.lower(T.trimmed(distinct)), F.lit(""))] if distinct is not None else []))
 
 
 def _slashless(x: Column) -> Column:
-    return F.regexp_replace(F.lower(F.trim(x)), "^/+|/+$", "")
+    return F.regexp_replace(F.lower(T.trimmed(x)), "^/+|/+$", "")
 
 
 def content_hash(x: Column) -> Column:
@@ -142,7 +149,7 @@ def fetchable(url: Column) -> Column:
 
 
 def _claims(rows: DataFrame, subject: Column, confidence: float | Column, method: str, *more: str) -> DataFrame:
-    return rows.select("path", "line_no", subject.alias("subject"), "predicate", F.trim("value").alias("value"), value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method"), *more)
+    return rows.select("path", "line_no", subject.alias("subject"), "predicate", T.trimmed("value").alias("value"), value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method"), *more)
 
 
 def base_name(path: Column) -> Column:
@@ -157,19 +164,19 @@ def yaml_claims(files: DataFrame) -> DataFrame:
     rows = lines(files).where(~F.col("line").rlike(r"^\s*#"))
     hit = F.coalesce(*(F.when(F.col("line").rlike(p), F.struct(at(p, 1).alias("k"), at(p, 2).alias("v"))) for p in forms))
     rows = rows.withColumn("kv", hit).where("kv IS NOT NULL").select("path", "line_no", data_key(F.col("kv.k")).alias("predicate"), F.col("kv.v").alias("value"))
-    return _claims(rows.where("trim(value) <> ''"), base_name(F.col("path")), 0.9, "yaml_parse")
+    return _claims(rows.where(T.trimmed("value") != ""), base_name(F.col("path")), 0.9, "yaml_parse")
 
 
 def csv_claims(files: DataFrame) -> DataFrame:
     """Plain comma split with one quote off each side; the first column names the subject, the others are predicates."""
-    cells = F.transform(F.split("line", ","), lambda c: F.regexp_replace(F.trim(c), "^[\"']|[\"']$", ""))
-    rows = lines(files).where("trim(line) <> ''").withColumn("cells", cells)
+    cells = F.transform(F.split("line", ","), lambda c: F.regexp_replace(T.trimmed(c), "^[\"']|[\"']$", ""))
+    rows = lines(files).where(T.trimmed("line") != "").withColumn("cells", cells)
     first = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("header", F.first("cells").over(first)).where("line_no > 1")
     rows = rows.select("*", F.posexplode("cells").alias("k", "value")).where("k > 0 AND k < size(header)")
     subject = F.when(F.col("cells")[0] != "", F.col("cells")[0]).otherwise(F.concat(base_name(F.col("path")), F.lit("_row_"), F.col("line_no") - 1))
     rows = rows.withColumn("predicate", data_key(F.col("header")[F.col("k")])).withColumn("subject", subject)
-    return _claims(rows.where("predicate <> '' AND trim(value) <> ''"), F.col("subject"), 0.95, "csv_parse")
+    return _claims(rows.where((F.col("predicate") != "") & (T.trimmed("value") != "")), F.col("subject"), 0.95, "csv_parse")
 
 
 def _number(x: Decimal) -> str:
@@ -234,11 +241,11 @@ def markdown_claims(files: DataFrame) -> DataFrame:
     A line gives its badges, and one of these: its direct pair, its table cells, or the first prose rule that it fits. A row of more than two cells under a header of more than two gives a claim
     ``row_column`` for each further cell; under no such header its first two cells count. Keys get the section's name in front. The external id holds the line's number.
     """
-    rows = lines(files).where(F.trim("line") != "")
+    rows = lines(files).where(T.trimmed("line") != "")
     order = Window.partitionBy("path").orderBy("line_no")
-    heading = F.trim(F.regexp_extract("line", r"^#{2,6}\s+(.+)$", 1))
+    heading = T.trimmed(F.regexp_extract("line", r"^#{2,6}\s+(.+)$", 1))
     plain = heading.rlike(f"(?i)^({'|'.join(PLAIN_HEADINGS)})")
-    cell_form = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(F.trim(x)), "[^a-z0-9_]", "_"), "_+", "_"), "^_|_$", "")
+    cell_form = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(T.trimmed(x)), "[^a-z0-9_]", "_"), "_+", "_"), "^_|_$", "")
     slug = F.regexp_replace(cell_form(heading), "_(cluster|layer|service|server|component|section)$", "")
     is_heading = F.col("line").rlike(r"^#{2,6}\s+.+$")
     section = F.when(is_heading, F.when(plain, "").otherwise(slug))
@@ -248,14 +255,14 @@ def markdown_claims(files: DataFrame) -> DataFrame:
     rows = rows.withColumn("section", F.coalesce(F.last(section, ignorenulls=True).over(order), F.lit("")))
     rows = rows.withColumn("is_header", F.coalesce(is_row & (below["line_no"] == F.col("line_no") + 1) & below["line"].rlike(rule), F.lit(False))).where(~is_heading)
     direct = r"^\s*(?:[-*+]|\d+\.)?\s*(?:\*{1,2}|`|__)?([a-zA-Z0-9_\s.-]{2,50}?)(?:\*{1,2}|`|__)?\s*[:=]\s*(?:\*{1,2}|`|__)?([^\r\n#]{1,160}?)(?:\*{1,2}|`|__)?(?:\s+#.*)?$"
-    named = F.lower(F.trim(F.regexp_extract("line", direct, 1))).isin(LABEL_WORDS.split()) & F.col("line").rlike(direct)
+    named = F.lower(T.trimmed(F.regexp_extract("line", direct, 1))).isin(LABEL_WORDS.split()) & F.col("line").rlike(direct)
     rows = rows.withColumn("pair", F.when(~named, _direct(F.col("line"), direct, "", "markdown_pattern")))
     badges = badge_claims(rows)
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(T.trimmed("line"), r"^\||\|$", ""), r"\|"), T.trimmed)
     rows = rows.withColumn("cells", F.when(is_row, cells)).withColumn("in_table", is_row & ~is_rule & F.col("pair").isNull() & ~named)
     head = F.when(F.col("in_table") & F.col("is_header"), F.transform("cells", cell_form)).when(~is_row & ~is_rule & ~named, F.array().cast("array<string>"))
     rows = rows.withColumn("header", F.coalesce(F.last(head, ignorenulls=True).over(order), F.array().cast("array<string>"))).where(~named & ~is_rule & ~(F.col("in_table") & F.col("is_header")))
-    bare = lambda c: F.trim(F.regexp_replace(c, r"""^[*`_"'\s]+|[*`_"'\s]+$""", ""))
+    bare = lambda c: T.trimmed(F.regexp_replace(c, r"""^[*`_"'\s]+|[*`_"'\s]+$""", ""))
     row_key = cell_form(F.col("cells")[0])
     good = F.col("in_table") & (F.size("cells") >= 2) & ~row_key.isin(TABLE_WORDS.split()) & ~F.contains(F.col("cells")[0], F.lit("---"))
     wide = good & (F.size("header") > 2) & (F.size("cells") > 2)
@@ -269,7 +276,7 @@ def markdown_claims(files: DataFrame) -> DataFrame:
     picked = F.when(F.col("pair").isNotNull(), one(F.col("pair")).cast(out)).when(wide, by_column.cast(out)).when(good & (row_key != ""), first_two.cast(out)).when(prose.isNotNull(), one(prose).cast(out))
     rows = rows.withColumn("kv", F.explode(picked)).withColumn("key", F.col("kv.k"))
     rows = rows.where(F.col("kv.any") | (F.length("key") > 2) & (F.col("kv.v") != "") & ~F.startswith("kv.v", F.lit("http")))
-    found = rows.select("path", "line_no", F.col("kv.method").alias("method"), _namespaced(F.col("key")).alias("predicate"), F.col("kv.v").alias("value"), value_type(_namespaced(F.col("key")), F.col("kv.v")).alias("value_type"), F.trim("line").alias("evidence"))
+    found = rows.select("path", "line_no", F.col("kv.method").alias("method"), _namespaced(F.col("key")).alias("predicate"), F.col("kv.v").alias("value"), value_type(_namespaced(F.col("key")), F.col("kv.v")).alias("value_type"), T.trimmed("line").alias("evidence"))
     both = badges.unionByName(found)
     return both.select("path", "line_no", base_name(F.col("path")).alias("subject"), "predicate", "value", "value_type", F.lit(0.85).alias("confidence"), F.col("method").alias("extraction_method"), claim_key(F.lit("document"), F.col("path"), F.col("predicate"), F.col("line_no").cast("string")).alias("external_id"), "evidence")
 
@@ -282,52 +289,74 @@ def license_lines(docs: DataFrame) -> DataFrame:
 
 def _row_lines(html: Column) -> Column:
     """Page text with each table row rewritten as a line of its own: the gaps between the rows, each with the row that follows it."""
-    row = r"(?is)<tr\b[^>]*>(.*?)</tr>"
-
     def line(content: Column) -> Column:
-        cells = F.regexp_extract_all(content, F.lit(r"(?is)<t[dh]\b[^>]*>(.*?)</t[dh]>"), F.lit(1))
-        plain = F.transform(cells, lambda c: F.regexp_replace(F.replace(F.regexp_replace(c, "<[^>]+>", " "), F.lit("&nbsp;"), F.lit(" ")), r"(?U)^\s+|\s+$", ""))
+        cells = F.regexp_extract_all(content, F.lit(_CELL), F.lit(1))
+        plain = F.transform(cells, lambda c: T.trimmed(decoded(T.trimmed(F.regexp_replace(c, "<[^>]+>", " ")))))
         filled = F.filter(plain, lambda c: c != "")
         return F.concat(F.lit("\n"), F.when(F.size(filled) >= 2, F.array_join(F.slice(filled, 1, 2), ": ")).otherwise(F.array_join(filled, " ")), F.lit("\n"))
 
-    parts = F.struct(F.split(html, row, -1).alias("gaps"), F.transform(F.regexp_extract_all(html, F.lit(row), F.lit(1)), line).alias("rows"))
-    joined = T.let(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(p["rows"], i), F.lit("")))), ""))
-    return F.when(html.rlike(r"(?i)<tr\b"), joined).otherwise(html)
+    return F.when(html.rlike(r"(?i)<tr\b"), _between(html, _ROW, line)).otherwise(html)
+
 
+def _between(x: Column, pattern: str, body) -> Column:
+    """``x`` with ``body`` of the first group in place of each match of ``pattern``; what was put in is not looked at again."""
+    parts = F.struct(F.split(x, pattern, -1).alias("gaps"), F.transform(F.regexp_extract_all(x, F.lit(pattern), F.lit(1)), body).alias("found"))
+    return T.let(parts, lambda p: F.array_join(F.transform(p["gaps"], lambda g, i: F.concat(g, F.coalesce(F.get(p["found"], i), F.lit("")))), ""))
 
-def _decoded(x: Column) -> Column:
-    for code, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+
+def decoded(x: Column) -> Column:
+    """Character references decoded one after the other, as listed, then by number; a number is taken as a 16-bit unit, half of a pair is U+FFFD."""
+    for code, char in ENTITIES:
         x = F.replace(x, F.lit(code), F.lit(char))
-    return x
+
+    def char(unit: Column) -> Column:
+        paired = unit.between(0xD800, 0xDFFF)
+        return F.when(paired, "\ufffd").otherwise(F.decode(F.unhex(F.lpad(F.hex(F.when(paired, 32).otherwise(unit)), 4, "0")), "UTF-16BE"))
+
+    unit = lambda digits: F.pmod(digits.cast("decimal(38, 0)"), F.lit(65536)).cast("long")
+    decimal = T.let(x, lambda v: F.when(F.contains(v, F.lit("&#")), _between(v, r"&#(\d{1,30});", lambda d: char(unit(d)))).otherwise(v))
+    hexed = lambda d: char(F.conv(F.right(d, F.lit(4)), 16, 10).cast("long"))
+    return T.let(decimal, lambda v: F.when(F.contains(v, F.lit("&#x")), _between(v, r"&#x([0-9a-fA-F]+);", hexed)).otherwise(v))
 
 
 def html_lines(pages: DataFrame, *more: str | Column) -> DataFrame:
-    """Text lines of a page (page_id, line, and ``more`` of the page) without scripts and styles; entities decoded, short lines and code comments left out.
+    """Text lines of a page (page_id, line, and ``more`` of the page); scripts and styles are a blank, short lines and code comments are left out.
 
-    A table row of two or more filled cells is the line ``first: second``, as in the reference, which leaves further cells out; any other row is its cells in one line.
+    A table row of two or more filled cells is the line ``first: second``, which leaves further cells out; any other row is its cells in one line.
     """
-    text = F.regexp_replace(_row_lines(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>", "\n")), "<[^>]*>", "\n")
-    rows = pages.select("page_id", *more, F.explode(F.split(text, "\n")).alias("line")).withColumn("line", F.trim(_decoded(F.col("line"))))
-    return rows.where((F.length("line") > 3) & ~F.col("line").rlike(r"^(//|/\*)"))
+    text = decoded(F.regexp_replace(_row_lines(F.regexp_replace("html", _HIDDEN, " ")), "<[^>]+>", "\n"))
+    rows = pages.select("page_id", *more, F.explode(F.split(text, r"\r?\n")).alias("line")).withColumn("line", T.trimmed("line"))
+    return rows.where((F.length("line") > 3) & ~F.startswith("line", F.lit("//")) & ~F.startswith("line", F.lit("/*")))
 
 
 def dockerfile_claims(files: DataFrame) -> DataFrame:
-    image = r"(?i)^\s*FROM\s+(?:--platform=\S+\s+)?(?:\S*/)?(node|python|postgres):v?(\d[^\s-]*)"
-    expose = r"(?i)^\s*EXPOSE\s+(\d+)"
-    rows = lines(files)
-    kv = F.when(F.col("line").rlike(image), F.struct(F.concat(F.lower(F.regexp_extract("line", image, 1)), F.lit("_version")).alias("k"), F.regexp_extract("line", image, 2).alias("v"))).when(F.col("line").rlike(expose), F.struct(F.lit("port").alias("k"), F.regexp_extract("line", expose, 1).alias("v")))
-    rows = rows.withColumn("kv", kv).where("kv IS NOT NULL").select("path", "line_no", F.col("kv.k").alias("predicate"), F.col("kv.v").alias("value"))
-    return _claims(rows, F.lit("repository"), 0.95, "regex")
+    """Versions of base images, up to the first hyphen of their tags, and exposed ports. The image's name tells what it is, wherever the word stands in it."""
+    rows = lines(files).withColumn("line", T.trimmed("line"))
+    image, tag = F.lower(F.regexp_extract("line", _FROM, 1)), F.split(F.regexp_extract("line", _FROM, 2), "-")[0]
+    named = F.coalesce(*(F.when(F.contains(image, F.lit(word)), f"{word}_version") for word in BASE_IMAGES.split()))
+    claim = lambda k, v, method: F.struct(k.alias("k"), v.alias("v"), F.lit(method).alias("m"))
+    base = F.when(F.col("line").rlike(_FROM) & named.isNotNull() & (tag != ""), claim(named, tag, "dockerfile-base-image"))
+    port = F.when(F.col("line").rlike(_EXPOSE), claim(F.lit("port"), F.regexp_extract("line", _EXPOSE, 1), "dockerfile-expose-port"))
+    rows = rows.withColumn("kv", F.coalesce(base, port)).where("kv IS NOT NULL")
+    rows = rows.select("path", "line_no", F.col("kv.k").alias("predicate"), F.col("kv.v").alias("value"), F.col("kv.m").alias("extraction_method"), F.col("line").alias("evidence"))
+    typed = F.when(F.col("predicate") == "port", "quantity").otherwise("version")
+    place = {"environment": "deployment", "scope": "service", "source_role": "configuration"}
+    return rows.select("path", "line_no", F.lit("repository").alias("subject"), "predicate", "value", typed.alias("value_type"), F.lit(0.9).alias("confidence"), "extraction_method", *(F.lit(v).alias(k) for k, v in place.items()), "evidence")
 
 
 def workflow_claims(files: DataFrame) -> DataFrame:
-    """``node-version`` lists give one claim each under one multi-value context; ``runs-on`` gives the runner's system."""
-    p, runner = r"^\s*(?:-\s*)?node-version:\s*(.+?)\s*$", r"(?i)runs-on:\s*([A-Za-z0-9_.\-]+)"
-    rows = lines(files).where(F.col("line").rlike(p)).withColumn("raw", F.regexp_extract("line", p, 1))
-    values = F.transform(F.split(F.regexp_replace("raw", r"[\[\]\"']", ""), ","), lambda v: F.regexp_replace(F.trim(v), r"\.x$", ""))
-    versions = rows.select("path", "line_no", F.lit("node_version").alias("predicate"), F.explode(values).alias("value"), F.when(F.col("raw").rlike(r"^\["), "ci_matrix").otherwise("ci_step").alias("multi_value_context"))
-    on = lines(files).where(F.col("line").rlike(runner))
-    return versions.unionByName(on.select("path", "line_no", F.lit("ci_runner_os").alias("predicate"), F.regexp_extract("line", runner, 1).alias("value"), F.lit("ci_runner").alias("multi_value_context")))
+    """``node-version`` with a number, or with a list that gives a claim for each item under one multi-value context; ``runs-on`` gives the runner's system."""
+    rows = lines(files)
+    one, many = F.regexp_extract("line", _NODE, 2), F.regexp_extract("line", _NODE, 1)
+    bare = lambda v: F.regexp_replace(F.regexp_replace(T.trimmed(v), "['\"]", ""), r"\.x$", "")
+    claim = lambda k, v, t, c, group, method: F.struct(F.lit(k).alias("predicate"), v.alias("value"), F.lit(t).alias("value_type"), F.lit(c).alias("confidence"), F.lit(group).alias("multi_value_context"), F.lit(method).alias("extraction_method"))
+    step = lambda v: claim("node_version", v, "version", 0.9, "ci_step", "github-workflow-node-version")
+    matrix = lambda v: claim("node_version", bare(v), "version", 0.9, "ci_matrix", "github-workflow-node-matrix")
+    node = F.when(one != "", F.array(step(F.regexp_replace(one, r"\.x$", "")))).when(many != "", F.transform(F.split(many, ","), matrix)).otherwise(F.array())
+    runner = F.when(F.col("line").rlike(_RUNNER), F.array(claim("ci_runner_os", F.regexp_extract("line", _RUNNER, 1), "name", 0.95, "ci_runner", "github-workflow-runner"))).otherwise(F.array())
+    found = rows.select("path", "line_no", F.substring(T.trimmed("line"), 1, 160).alias("evidence"), F.inline(F.concat(node, runner))).where("value <> ''")
+    place = {"environment": "ci", "scope": "workflow", "source_role": "configuration"}
+    return found.select("path", "line_no", "predicate", "value", "value_type", "confidence", "multi_value_context", "extraction_method", *(F.lit(v).alias(k) for k, v in place.items()), "evidence")
 
 
 def package_claims(files: DataFrame) -> DataFrame:
@@ -341,7 +370,7 @@ def package_claims(files: DataFrame) -> DataFrame:
     deps = F.array(*(claim(F.lit(p), F.coalesce(F.try_element_at("dependencies", F.lit(n)), F.try_element_at("devDependencies", F.lit(n))), 0.9, F.coalesce(F.map_contains_key("devDependencies", n), F.lit(False))) for n, p in DEPENDENCIES.items()))
     ports = each("scripts", lambda k, v: claim(F.lit("port"), F.regexp_extract(v, port, 1), 0.85, F.lower(k).rlike("dev|test")))
     rows = rows.select("path", F.lit(None).cast("int").alias("line_no"), F.inline(F.concat(engines, deps, ports)))
-    return _claims(rows.where("trim(value) <> ''"), F.lit("repository"), F.col("confidence"), "json_parse", "environment")
+    return _claims(rows.where(T.trimmed("value") != ""), F.lit("repository"), F.col("confidence"), "json_parse", "environment")
 
 
 def redact(x: Column) -> Column:
@@ -363,26 +392,26 @@ def readme_claims(files: DataFrame) -> DataFrame:
     port = r"(?i)(?:default\s+port|(?:runs?|running|listening|server)\s+(?:on\s+)?port|port\s*:)\s*[:=]?\s*(\d{2,5})(?![A-Za-z0-9_])"
     version = F.regexp_extract("line", node, 1)
     is_node = F.col("line").rlike(node) & ~F.contains(low, F.lit("npm")) & (version != "0") & ~version.rlike("^(202|199)")
-    limit = F.when(F.col("line").rlike(r"[><=~^\s*|xX]"), F.substring(F.trim("line"), 1, 50))
+    limit = F.when(F.col("line").rlike(r"[><=~^\s*|xX]"), F.substring(T.trimmed("line"), 1, 50))
     claim = lambda k, v, t, c: F.struct(F.lit(k).alias("predicate"), v.alias("value"), F.lit(t).alias("value_type"), c.alias("value_constraint"))
     found = F.array(F.when(is_node, claim("node_version", version, "version", limit)), F.when(F.col("line").rlike(port), claim("port", F.regexp_extract("line", port, 1), "quantity", F.lit(None).cast("string"))))
-    kept = rows.select("path", "line_no", role.alias("source_role"), old.alias("is_historical"), F.substring(F.trim("line"), 1, 160).alias("evidence"), F.inline(F.filter(found, lambda x: x.isNotNull())))
+    kept = rows.select("path", "line_no", role.alias("source_role"), old.alias("is_historical"), F.substring(T.trimmed("line"), 1, 160).alias("evidence"), F.inline(F.filter(found, lambda x: x.isNotNull())))
     return kept.select("path", "line_no", "predicate", "value", "value_type", F.lit(0.8).alias("confidence"), "source_role", "is_historical", "value_constraint", "evidence")
 
 
 def normalized_claims(claims: DataFrame) -> DataFrame:
     """Predicates as normal snake-case words, and the value as the comparison with itself writes it."""
     own = V.compare(F.col("value"), F.col("value"), F.col("value_type"))["normalized_a"]
-    return claims.withColumns({"predicate": F.regexp_replace(T.normalize_text(F.col("predicate")), r"\s+", "_"), "normalized_value": F.coalesce(F.nullif(own, F.lit("")), F.trim("value"))})
+    return claims.withColumns({"predicate": F.regexp_replace(T.normalize_text(F.col("predicate")), r"\s+", "_"), "normalized_value": F.coalesce(F.nullif(own, F.lit("")), T.trimmed("value"))})
 
 
 def page_title(html: Column) -> Column:
-    return _decoded(F.trim(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)))
+    return decoded(T.trimmed(F.regexp_extract(html, r"(?i)<title[^>]*>([^<]+)</title>", 1)))
 
 
 def page_claims(pages: DataFrame) -> DataFrame:
     """Claims of pages (page_id, url, html): ``key: value`` lines, else the first prose rule that a line fits. The title names the subject."""
-    rows = html_lines(pages, "url", F.coalesce(F.nullif(F.trim(F.regexp_replace(page_title(F.col("html")), r"[^a-zA-Z0-9_\s-]", "")), F.lit("")), F.lit("Website")).alias("subject"))
+    rows = html_lines(pages, "url", F.coalesce(F.nullif(T.trimmed(F.regexp_replace(page_title(F.col("html")), r"[^a-zA-Z0-9_\s-]", "")), F.lit("")), F.lit("Website")).alias("subject"))
     kv = r"^\s*[-*•]?\s*(?:\*{1,2}|`|__)?([a-zA-Z0-9_\s.-]{2,50}?)(?:\*{1,2}|`|__)?\s*[:=]\s*(?:\*{1,2}|`|__)?([^\r\n#]{1,160}?)(?:\*{1,2}|`|__)?(?:\s+#.*)?$"
     prose = _prose(F.col("line"), PAGE_RULES)
     rows = rows.withColumn("hit", F.coalesce(_direct(F.col("line"), kv, ""), F.when(prose["k"] == "database", F.struct(prose["k"].alias("k"), F.lower(prose["v"]).alias("v"), prose["method"].alias("method"))).otherwise(prose)))
@@ -393,9 +422,9 @@ def page_claims(pages: DataFrame) -> DataFrame:
 
 def _direct(line: Column, pattern: str, skipped: str, method: str = "html_text_pattern") -> Column:
     """struct(k, v, method) of a direct ``key: value`` line, null otherwise; a long value with a quantity in it is cut down to that."""
-    k, v = F.trim(F.regexp_extract(line, pattern, 1)), F.trim(F.regexp_extract(line, pattern, 2))
-    value = F.trim(F.regexp_replace(v, r"""^[*`_"'\s]+|[*`_"'\s]+$""", ""))
-    amount = F.trim(F.regexp_extract(value, rf"(?i)(?:at\s+least|minimum|requires|is)?\s*(\d+(?:\.\d+)?\s*(?:{_SIZES}))(?![A-Za-z0-9_])", 1))
+    k, v = T.trimmed(F.regexp_extract(line, pattern, 1)), T.trimmed(F.regexp_extract(line, pattern, 2))
+    value = T.trimmed(F.regexp_replace(v, r"""^[*`_"'\s]+|[*`_"'\s]+$""", ""))
+    amount = T.trimmed(F.regexp_extract(value, rf"(?i)(?:at\s+least|minimum|requires|is)?\s*(\d+(?:\.\d+)?\s*(?:{_SIZES}))(?![A-Za-z0-9_])", 1))
     ok = line.rlike(pattern) & (k != "") & (v != "") & ~F.contains(k, F.lit("---")) & ~F.lower(k).isin(skipped.split() or [""])
     short = F.when((F.length(value) > 20) & (amount != ""), amount).otherwise(value)
     return F.when(ok, F.struct(F.regexp_replace(F.lower(k), "[^a-z0-9_]", "_").alias("k"), short.alias("v"), F.lit(method).alias("method")))
@@ -404,7 +433,7 @@ def _direct(line: Column, pattern: str, skipped: str, method: str = "html_text_p
 def _prose(line: Column, rules: list[tuple[str, str]]) -> Column:
     """struct(k, v, method) of the first rule that a line fits, null without one."""
     def hit(key: str, pattern: str) -> Column:
-        v = F.trim(F.regexp_extract(line, f"(?i){pattern}", 1))
+        v = T.trimmed(F.regexp_extract(line, f"(?i){pattern}", 1))
         if key == "commercial_use":
             v = F.when(v.rlike("(?i)prohibited|forbidden|not"), "prohibited").otherwise("allowed")
         if key == "configuration_required":
@@ -419,7 +448,7 @@ def badge_claims(rows: DataFrame) -> DataFrame:
     pattern = r"(?i)!\[([^\]]*)\]\((https?://[^\s)]*(?:shields\.io/badge/|github\.com/[^\s)]*/badge\.svg|[a-z0-9_-]+-badge)[^\s)]*)\)"
     all_of = lambda g: F.regexp_extract_all("line", F.lit(pattern), F.lit(g))
     rows = rows.where(F.col("line").rlike(pattern)).select("path", "line_no", "line", "section", F.explode(F.arrays_zip(all_of(1).alias("alt"), all_of(2).alias("url"))).alias("b"))
-    alt, url = F.trim("b.alt"), F.trim("b.url")
+    alt, url = T.trimmed("b.alt"), T.trimmed("b.url")
     shield = F.split(F.try_url_decode(F.regexp_replace(F.regexp_extract(url, r"(?i)shields\.io/badge/([^?#]+)", 1), r"\+", "%2B")), "-")
     is_shield = url.rlike(r"(?i)shields\.io/badge/[^?#]+")
     form = lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9_]", "_")
@@ -429,7 +458,7 @@ def badge_claims(rows: DataFrame) -> DataFrame:
     named = F.split(alt, r"[:\s-]+")
     by_name = F.when((alt != "") & (F.size(named) >= 2), F.struct(form(named[0]).alias("k"), F.lower(named[1]).alias("v")))
     rows = rows.withColumn("s", F.coalesce(F.when(state["v"] != "", state), by_name)).where("s.v <> ''")
-    return rows.select("path", "line_no", F.lit("markdown_badge").alias("method"), _namespaced(F.concat(F.col("s.k"), F.lit("_status"))).alias("predicate"), F.col("s.v").alias("value"), F.lit("status").alias("value_type"), F.trim("line").alias("evidence"))
+    return rows.select("path", "line_no", F.lit("markdown_badge").alias("method"), _namespaced(F.concat(F.col("s.k"), F.lit("_status"))).alias("predicate"), F.col("s.v").alias("value"), F.lit("status").alias("value_type"), T.trimmed("line").alias("evidence"))
 
 
 def _namespaced(key: Column) -> Column:
