@@ -15,22 +15,46 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct("*"), F.struct(*order)).alias("r")).select("r.*")
 
 
-def upsert_claims(current: DataFrame, staged: DataFrame) -> DataFrame:
-    """Full outer join by external_id with ``change``: created, updated, unchanged or kept. An unchanged claim keeps its old row."""
+def _steps(current: DataFrame, staged: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The rows that start a run of equal values of a key: the current row first, then the staged ones by observed_at and id, one after the other.
+
+    Adds ``old`` (whether the key was there), ``first`` (its first row), ``staged`` (rows staged for it), ``before`` and ``after`` (the neighbouring runs' rows).
+    """
     cols = [c for c in current.columns if c != "external_id"]
-    c = current.select("external_id", F.struct(*cols).alias("old"))
-    s = staged.select("external_id", F.struct(*[F.col(x) for x in cols]).alias("new"))
-    j = c.join(s, "external_id", "full")
-    differs = ~F.col("old.value").eqNullSafe(F.col("new.value")) | F.col("new.normalized_value").isNotNull() & ~F.col("old.normalized_value").eqNullSafe(F.col("new.normalized_value"))
-    j = j.withColumn("change", F.when(F.col("new").isNull(), "kept").when(F.col("old").isNull(), "created").when(differs, "updated").otherwise("unchanged"))
-    moved = F.col("change").isin("created", "updated")
-    row = F.when(moved, F.col("new")).otherwise(F.col("old"))
-    stable = {"id": F.coalesce("old.id", "new.id"), "first_seen_at": F.coalesce("old.first_seen_at", "new.first_seen_at"), "created_at": F.coalesce("old.created_at", "new.created_at")}
-    return j.select("external_id", *(stable.get(x, row[x]).alias(x) for x in cols), "change", F.when(F.col("change") == "updated", F.col("old")).alias("superseded"))
-
-
-def history_rows(upserted: DataFrame) -> DataFrame:
-    return upserted.where("change = 'updated'").select(F.concat_ws("@", "superseded.id", "observed_at").alias("id"), F.col("superseded.id").alias("claim_id"), "superseded.source_id", "superseded.value", "superseded.normalized_value", "superseded.observed_at", "superseded.first_seen_at", "superseded.last_seen_at", F.col("observed_at").alias("superseded_at"), F.lit(None).cast("string").alias("superseded_by"))
+    names = ["external_id", *cols]
+    both = current.select(*names, F.lit(0).alias("_seq")).unionByName(staged.select(*names, F.lit(1).alias("_seq")))
+    key = Window.partitionBy("external_id")
+    order = key.orderBy("_seq", "observed_at", "id")
+    whole, before = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), order.rowsBetween(Window.unboundedPreceding, -1)
+    known = F.last("normalized_value", ignorenulls=True).over(before)
+    differs = ~F.col("value").eqNullSafe(F.lag("value").over(order)) | F.col("normalized_value").isNotNull() & ~F.col("normalized_value").eqNullSafe(known)
+    marked = both.withColumns({
+        "_starts": (F.row_number().over(order) == 1) | differs, "_old": F.min("_seq").over(key) == 0, "_staged": F.sum("_seq").over(key),
+        "_first": F.first(F.struct("id", "first_seen_at", "created_at")).over(whole),
+    })
+    starts = marked.where("_starts").withColumn("_row", F.struct(*cols))
+    return starts.withColumns({"_before": F.lag("_row").over(order), "_after": F.lead("_row").over(order), "_run": F.row_number().over(order)}), cols
+
+
+def upsert_claims(current: DataFrame, staged: DataFrame) -> DataFrame:
+    """One row for each external_id of either table, with ``change``: created, updated, unchanged or kept, and the row that was ``superseded`` last.
+
+    Staged rows of one key are taken in one after the other, by observed_at and id. An unchanged claim keeps its old row; id, first sight and creation are those of the key's
+    first row. :func:`history_rows` has all values between.
+    """
+    steps, cols = _steps(current, staged)
+    moved = F.when(~F.col("_old"), "created").when(F.col("_staged") == 0, "kept").when(F.col("_run") > 1, "updated").otherwise("unchanged")
+    stable = {x: F.col("_first")[x] for x in ("id", "first_seen_at", "created_at")}
+    last = steps.where("_after IS NULL")
+    return last.select("external_id", *(stable.get(x, F.col(x)).alias(x) for x in cols), moved.alias("change"), F.when(F.col("_run") > 1, F.col("_before")).alias("superseded"))
+
+
+def history_rows(current: DataFrame, staged: DataFrame) -> DataFrame:
+    """A row for each value that a staged row replaced, also where several rows are staged for one key."""
+    steps, _ = _steps(current, staged)
+    gone = steps.where("_after IS NOT NULL")
+    own = [F.col(x) for x in ("source_id", "value", "normalized_value", "observed_at", "first_seen_at", "last_seen_at")]
+    return gone.select(F.concat_ws("@", "_first.id", "_run").alias("id"), F.col("_first.id").alias("claim_id"), *own, F.col("_after.observed_at").alias("superseded_at"), F.lit(None).cast("string").alias("superseded_by"))
 
 
 def value_changes(claims: DataFrame, key: list[str]) -> DataFrame:

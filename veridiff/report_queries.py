@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .functions import explain as E
 from .operators import blocking, pairs, store, sync
+from .operators.versioned import KeyedTable, scratch
 from .plans.driver_claims import MIXED, ODD, event_claims, event_trust, mixed_claims, odd_claims
 from .queries import _CLAIMS, _INSIDE, _LOG, _PAIRS, _fixed, _review_log, query
 from .sources import extract
@@ -302,6 +303,66 @@ def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sync.table_counts({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES})
 
 
+# --- the keyed table with versions ------------------------------------------------------------------------------------
+
+_BATCHES = "b AS (SELECT subject || ':' || predicate AS external_id, id, value, observed_at, event_id % 4 AS batch, user_id FROM claims)"
+_LAST = "arg_max({0}, (batch, observed_at, id))"
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> KeyedTable:
+    """Four batches of claims as upserts by external_id; after the second a compaction, after the third the keys of every seventh user go."""
+    c = event_claims(spark, sf_dir).withColumn("batch", F.substring("id", 2, 10).cast("long") % 4).select("external_id", "id", "value", "observed_at", "batch", "subject")
+    rows = lambda k: c.where(F.col("batch") == k).select("external_id", "id", "value", "observed_at")
+    table = KeyedTable.create(spark, scratch(spark, "claims"), rows(0), ["external_id"], ["observed_at", "id"], buckets=8)
+    table.upsert(rows(1), ["observed_at", "id"])
+    table.compact()
+    table.upsert(rows(2), ["observed_at", "id"])
+    table.delete(c.where(F.regexp_extract("subject", "[0-9]+", 0).cast("int") % 7 == 3).select("external_id"))
+    table.upsert(rows(3), ["observed_at", "id"])
+    return table
+
+
+@query(f"""WITH {_CLAIMS}, {_BATCHES} SELECT external_id, {_LAST.format("id")} AS id, {_LAST.format("value")} AS value FROM b WHERE user_id % 7 <> 3 OR batch = 3 GROUP BY external_id""")
+def versioned_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _versions(spark, sf_dir).read().select("external_id", "id", "value")
+
+
+@query(f"""WITH {_CLAIMS}, {_BATCHES} SELECT external_id, {_LAST.format("id")} AS id, {_LAST.format("value")} AS value FROM b WHERE batch <= 1 GROUP BY external_id""")
+def versioned_as_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version before the compaction, read after later ones."""
+    return _versions(spark, sf_dir).read(1).select("external_id", "id", "value")
+
+
+@query(f"""WITH {_CLAIMS}, {_BATCHES}, o AS (SELECT external_id, {_LAST.format("id")} AS id FROM b WHERE batch <= 2 GROUP BY 1), n AS (SELECT external_id, {_LAST.format("id")} AS id FROM b WHERE user_id % 7 <> 3 OR batch = 3 GROUP BY 1)
+    SELECT external_id, CASE WHEN o.id IS NULL THEN 'created' WHEN n.id IS NULL THEN 'deleted' ELSE 'updated' END AS change FROM o FULL JOIN n USING (external_id) WHERE o.id IS DISTINCT FROM n.id""")
+def versioned_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Between the version before the deletion and the last one."""
+    return _versions(spark, sf_dir).changes(3)
+
+
+@query(f"""WITH {_CLAIMS}, {_BATCHES}, n AS (SELECT count(DISTINCT external_id) FILTER (batch <= 1) AS base, count(DISTINCT external_id) FILTER (batch = 2) AS third, count(DISTINCT external_id) FILTER (user_id % 7 = 3) AS gone, count(DISTINCT external_id) FILTER (batch = 3) AS fourth FROM b)
+    SELECT 'ok' AS status, base + third + gone + fourth AS n_rows FROM n""")
+def table_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all files of the last version, by what their digests say."""
+    table = _versions(spark, sf_dir)
+    m = table.manifest()
+    noted = spark.read.parquet(*[f"{table.path}/digests/{n}" for n in (m.base, *m.deltas)])
+    return table.verify().join(noted, "file").groupBy("status").agg(F.sum("n_rows").alias("n_rows"))
+
+
+# Staged claims are the odd batches, all of their rows; the current table has the last row of each key of the even ones.
+@query(f"""WITH {_CLAIMS}, {_BATCHES}, c AS (SELECT external_id, arg_max(id, (observed_at, id)) AS id, arg_max(value, (observed_at, id)) AS value FROM b WHERE batch % 2 = 0 GROUP BY 1),
+    s AS (SELECT external_id, id, value, 0 AS seq, NULL::TIMESTAMP AS observed_at FROM c UNION ALL SELECT external_id, id, value, 1, observed_at FROM b WHERE batch % 2 = 1),
+    o AS (SELECT *, lag(value) OVER w AS before, row_number() OVER w AS n, first_value(id) OVER w AS claim_id FROM s WINDOW w AS (PARTITION BY external_id ORDER BY seq, observed_at, id)),
+    r AS (SELECT *, lead(observed_at) OVER (PARTITION BY external_id ORDER BY n) AS superseded_at FROM o WHERE n = 1 OR value IS DISTINCT FROM before)
+    SELECT claim_id, value, superseded_at FROM r WHERE superseded_at IS NOT NULL""")
+def upsert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = event_claims(spark, sf_dir)
+    odd = F.substring("id", 2, 10).cast("long") % 2 == 1
+    current = store.latest(c.where(~odd), ["external_id"], [F.col("observed_at"), F.col("id")])
+    return store.history_rows(current, c.where(odd)).select("claim_id", "value", "superseded_at")
+
+
 # --- reads -----------------------------------------------------------------------------------------------------------
 
 
