@@ -42,8 +42,6 @@ from . import common as C
 
 T, ROWS, WORDS, PART = 128, 3, 5, 2_048
 BUCKET_WORDS = 500_000
-APART = 66
-_NIBBLES = 0x1111111111111111
 BANDS = T // ROWS
 FINE = 2048
 #: Pairs at similarity 0.75 differ in more coordinates than these (of 4 bits of T, of 1 bit of FINE) with probability 1e-10.
@@ -334,8 +332,10 @@ def links(sketched: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(touched.select("id"), "id", "left_semi").dropDuplicates(["id"])
     texts = C.materialize(texts, "candidate-texts")
 
-    def near(pairs: DataFrame) -> DataFrame:
-        """Those distinct pairs whose sketches do not tell them apart, compared on their whole sets."""
+    def near(pairs: DataFrame, finer: bool = False) -> DataFrame:
+        """Those distinct pairs whose sketches do not tell them apart, compared on their whole sets; ``finer`` sketches have been looked at before."""
+        if finer:
+            return C.materialize(verified(pairs.distinct(), texts, words, percent), "edges")
         one = lambda c: touched.select(F.col("id").alias(c), F.col("nibbles").alias(f"of_{c}"))
         some = pairs.distinct().join(one("a"), "a").join(one("b"), "b").where(alike(F.col("of_a"), F.col("of_b")))
         return C.materialize(verified(some.select("a", "b"), texts, words, percent), "edges")
@@ -364,8 +364,8 @@ def links(sketched: DataFrame, docs: DataFrame, words: int = WORDS, percent: int
         most = F.least(F.col("n") - F.col("p"), F.col("hub.n") - F.col("hub.p"))
         may = (F.col("label") != F.col("hub.label")) & (100 * most >= percent * (F.col("n") + F.col("hub.n") - most))
         hubs = left.select("bucket", "id", "label", "n", "p").join(best, "bucket").where(may).select(F.col("id").alias("a"), F.col("hub.id").alias("b"))
-        for pairs in (lambda: hubs, lambda: _unlinked(left, percent)):
-            more = near(pairs())
+        for pairs, finer in ((lambda: hubs, False), (lambda: _unlinked(left, percent), True)):
+            more = near(pairs(), finer)
             if not more.isEmpty():
                 found.append(more)
                 C.release(labels)
