@@ -8,7 +8,9 @@ skew join: both sides are plain exchanges on the key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -56,22 +58,41 @@ def cross_pairs(k: DataFrame) -> DataFrame:
     return _met(_blocked(k, RULES[2:]))
 
 
+GRAM = 4
+#: A form within another is at least this part of it, and both have GRAM letters or more.
+SHARE = 0.6
+
+
+def grams(form: Column) -> Column:
+    """The distinct runs of GRAM letters of a form; none of a shorter one."""
+    n = F.length(form)
+    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - GRAM + 1, F.lit(1))), lambda i: F.substring(form, i, GRAM)))).otherwise(F.array().cast("array<string>"))
+
+
+def size_class(form: Column) -> Column:
+    """Forms of which one can be within the other lie in the same class or in neighbouring ones."""
+    return F.floor(F.log(F.greatest(F.length(form), F.lit(1))) / math.log(1 / SHARE) + 1e-9)
+
+
 def alias_keys(k: DataFrame) -> DataFrame:
     """(p, q), p < q: subject keys that the entity rules match, however many there are.
 
-    Two keys match when their forms are equal, in one alias group, or one within the other at three fifths of its length or more. So a key is laid under its form and its
-    group, and under each part of its form that is long enough to be such another form: candidates come from an equi-join, the rules decide.
+    Two keys match when their forms are equal, in one alias group, or one within the other at three fifths of its length or more. Of the last kind candidates come from
+    runs of four letters: a form is laid under each of its own, and looked for by its rarest one among forms of its size class and the next. That is linear in the length of the forms.
     """
-    form = T.entity_form(F.col("skey"))
-    keys = k.where("NOT generic").select("skey").distinct().withColumn("form", form)
-    group = T.canonical_alias(F.col("skey"))
-    n = F.length("form")
-    least = F.greatest(F.lit(4), F.ceil(n * 0.6 - 1e-9).cast("int"))
-    parts = F.flatten(F.transform(F.sequence(least, n), lambda size: F.transform(F.sequence(F.lit(1), n - size + 1), lambda at: F.substring(F.col("form"), at, size))))
-    whole = F.array(F.col("form"), F.concat(F.lit("alias:"), group))
-    short = keys.select(F.col("skey").alias("x"), F.explode(F.filter(whole, lambda f: f.isNotNull() & (f != ""))).alias("under"))
-    long = keys.select(F.col("skey").alias("y"), F.explode(F.array_distinct(F.filter(F.concat(whole, F.when(n >= least, parts).otherwise(F.array())), lambda f: f.isNotNull() & (f != "")))).alias("under"))
-    met = short.join(long, "under").where("x <> y").select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).distinct()
+    keys = k.where("NOT generic").select("skey").distinct().withColumn("form", T.entity_form(F.col("skey")))
+    whole = F.array(F.col("form"), F.concat(F.lit("alias:"), T.canonical_alias(F.col("skey"))))
+    under = keys.select("skey", F.explode(F.filter(whole, lambda f: f.isNotNull() & (f != ""))).alias("under"))
+    side = lambda n: under.select(F.col("skey").alias(n), "under")
+    alike = side("x").join(side("y"), "under").where("x < y").select(F.col("x").alias("p"), F.col("y").alias("q"))
+    forms = keys.select("form").distinct()
+    laid = forms.select("form", F.explode(grams(F.col("form"))).alias("gram"), size_class(F.col("form")).alias("class"))
+    rare = laid.join(laid.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("form", "class").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+    wanted = rare.select(F.col("form").alias("short"), "gram", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
+    near = wanted.join(laid.withColumnRenamed("form", "long"), ["gram", "class"])
+    near = near.where((F.length("short") < F.length("long")) & (F.length("short") >= SHARE * F.length("long") - 1e-9) & F.contains("long", F.col("short"))).select("short", "long")
+    inside = near.join(keys.select(F.col("form").alias("short"), F.col("skey").alias("x")), "short").join(keys.select(F.col("form").alias("long"), F.col("skey").alias("y")), "long")
+    met = alike.unionByName(inside.select(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"))).where("p <> q").distinct()
     return met.where(T.resolve_entity(F.col("p"), F.col("q"))["is_match"])
 
 
@@ -92,17 +113,84 @@ def compatible_subjects(a, b, predicate):
     return same | ga & gb | (ga | gb) & T.system_level(predicate)
 
 
-def probe_pairs(touched: DataFrame, claims: DataFrame) -> DataFrame:
-    """Pairs of touched claims with all claims: equal keys; equal canonical predicate with a compatible subject; equal subject key with a near predicate."""
-    t, c = keyed(touched), keyed(claims)
-    x = t.select(F.col("id").alias("x"), F.col("skey").alias("xs"), F.col("pkey").alias("xp"), F.col("subject").alias("x_subject"), F.col("predicate").alias("x_predicate"))
-    y = c.select(F.col("id").alias("y"), F.col("skey").alias("ys"), F.col("pkey").alias("yp"), F.col("subject").alias("y_subject"), F.col("predicate").alias("y_predicate"))
-    by_predicate = x.join(y, F.col("xp") == F.col("yp")).where((F.col("xs") == F.col("ys")) | compatible_subjects(F.col("x_subject"), F.col("y_subject"), F.col("x_predicate")))
+# --- probes: facts are the distinct (subject, predicate) of claims; these meet under keys, claims come in at the end ----------
+
+
+def facts(claims: DataFrame) -> DataFrame:
+    """Each (subject, predicate) once, with what its keys are made of."""
+    s, p = F.col("subject"), F.col("predicate")
+    own = {"skey": T.subject_key(s), "pkey": T.canonical_predicate(p), "form": T.entity_form(s), "norm": T.normalize_text(s), "generic": T.generic_subject(s), "system": T.system_level(p)}
+    return claims.select("subject", "predicate").distinct().withColumns(own)
+
+
+def _alias_forms() -> dict[str, str]:
+    """form -> the forms that its alias group, or one that it was taken over from, makes it match, as SQL."""
+    groups = T.alias_groups()
+    near = {f: sorted({*own, *(g for g, members in groups.items() if f in members)}) for f, own in groups.items()}
+    return {f: "array(" + ", ".join(f"'{x}'" for x in forms) + ")" for f, forms in near.items()}
+
+
+def _key(kind: str, *parts) -> Column:
+    return F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
+
+
+def _chosen(form: Column) -> Column:
+    """One run of letters of a form, the same wherever it is asked."""
+    return F.array_min(F.transform(grams(form), lambda g: F.struct(F.xxhash64(g).alias("h"), g.alias("g"))))["g"]
+
+
+def posted_keys(f: DataFrame) -> DataFrame:
+    """(block, subject, predicate): the keys under which a fact is found."""
+    pkey, form, size = F.col("pkey"), F.col("form"), size_class(F.col("form"))
+    one = lambda on, key: F.when(on, key)
+    fixed = F.array(
+        _key("subject", F.col("skey")), _key("predicate", pkey), one(F.col("generic"), _key("generic", pkey)), _key("form", form, pkey), one(F.col("norm") != "", _key("text", F.col("norm"), pkey)),
+        one(F.length(form) >= GRAM, _key("short", _chosen(form), size, pkey)),
+    )
+    long = F.transform(grams(form), lambda g: _key("long", g, size, pkey))
+    rows = f.where("subject IS NOT NULL AND predicate IS NOT NULL").select(F.explode(F.concat(F.filter(fixed, lambda x: x.isNotNull()), long)).alias("block"), "subject", "predicate")
+    return rows.distinct()
+
+
+def asked_keys(f: DataFrame) -> DataFrame:
+    """(block, x_subject, x_predicate): the keys under which facts lie that a fact may go with."""
+    pkey, form, size, generic, system = F.col("pkey"), F.col("form"), size_class(F.col("form")), F.col("generic"), F.col("system")
+    forms = F.array_distinct(F.concat(F.array(form), F.coalesce(F.try_element_at(T.table(_alias_forms()), form), F.array().cast("array<string>"))))
+    one = lambda on, key: F.when(on, key)
+    around = F.array(size, size + 1)
+    fixed = F.array(
+        _key("subject", F.col("skey")), one(generic | system, _key("generic", pkey)), one(generic & system, _key("predicate", pkey)), one(F.col("norm") != "", _key("text", F.col("norm"), pkey)),
+    )
+    by_form = F.transform(forms, lambda g: _key("form", g, pkey))
+    longer = F.when(F.length(form) >= GRAM, F.transform(around, lambda c: _key("long", _chosen(form), c, pkey))).otherwise(F.array())
+    shorter = F.flatten(F.transform(grams(form), lambda g: F.transform(F.array(size, size - 1), lambda c: _key("short", g, c, pkey))))
+    rows = f.select(F.explode(F.concat(F.filter(fixed, lambda x: x.isNotNull()), by_form, longer, shorter)).alias("block"), F.col("subject").alias("x_subject"), F.col("predicate").alias("x_predicate"))
+    return rows.distinct()
+
+
+def compatible_facts(met: DataFrame) -> DataFrame:
+    """Those of (x_subject, x_predicate, y_subject, y_predicate) that a probe takes: equal keys, one canonical predicate with compatible subjects, or one subject key with near predicates."""
+    own = lambda n: {f"{n}s": T.subject_key(F.col(f"{n}_subject")), f"{n}p": T.canonical_predicate(F.col(f"{n}_predicate"))}
+    rows = met.distinct().withColumns(own("x") | own("y"))
     pa, pb = F.col("x_predicate"), F.col("y_predicate")
     la, lb = T.leaf(pa), T.leaf(pb)
     near = T.synonyms(pa, pb) | T.synonyms(la, lb) | (T.composite_similarity(pa, pb) >= 0.65) & ~((la != lb) & (F.contains(pa, F.lit("_")) | F.contains(pb, F.lit("_"))))
-    by_subject = x.join(y, F.col("xs") == F.col("ys")).where(near)
-    return _ordered(by_predicate.unionByName(by_subject).where("x <> y")).dropDuplicates(["pair_key"])
+    same = F.col("xs") == F.col("ys")
+    by_predicate = (F.col("xp") == F.col("yp")) & (same | compatible_subjects(F.col("x_subject"), F.col("y_subject"), pa))
+    return rows.where(by_predicate | same & near).select(*met.columns)
+
+
+def probe_pairs(touched: DataFrame, claims: DataFrame) -> DataFrame:
+    """Pairs of touched claims with all claims: equal keys; equal canonical predicate with a compatible subject; equal subject key with a near predicate."""
+    met = asked_keys(facts(touched)).join(posted_keys(facts(claims)).withColumnsRenamed({"subject": "y_subject", "predicate": "y_predicate"}), "block").drop("block")
+    return claim_pairs(compatible_facts(met), touched, claims)
+
+
+def claim_pairs(near: DataFrame, touched: DataFrame, claims: DataFrame) -> DataFrame:
+    """Pairs of the claims of pairs of facts, each once."""
+    side = lambda df, n: df.select(F.col("id").alias(n), F.col("subject").alias(f"{n}_subject"), F.col("predicate").alias(f"{n}_predicate"))
+    both = near.join(side(touched, "x"), ["x_subject", "x_predicate"]).join(side(claims, "y"), ["y_subject", "y_predicate"])
+    return _ordered(both.where("x <> y")).dropDuplicates(["pair_key"])
 
 
 def source_pairs(mine: DataFrame, claims: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .functions import explain as E
 from .operators import blocking, pairs, store, sync
+from .operators.index import BlockIndex
 from .operators.versioned import KeyedTable, scratch
 from .plans.driver_claims import MIXED, ODD, event_claims, event_trust, mixed_claims, odd_claims
 from .queries import _CLAIMS, _INSIDE, _LOG, _PAIRS, _fixed, _review_log, query
@@ -363,6 +364,27 @@ def upsert_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.history_rows(current, c.where(odd)).select("claim_id", "value", "superseded_at")
 
 
+_FORMS = "t AS (SELECT *, replace(subject, '_', '') AS form FROM claims)"
+_PROBED = f"""SELECT DISTINCT least(x.id, y.id) || '::' || greatest(x.id, y.id) AS pair_key FROM t x JOIN t y ON x.predicate = y.predicate AND x.id <> y.id
+    WHERE x.source_id = 'src3' AND (x.form = y.form OR {_INSIDE.format("x.form", "y.form")})"""
+
+
+@query(f"WITH {_CLAIMS}, {_FORMS} {_PROBED}")
+def probe_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The candidate pairs of all claims that one source has brought in."""
+    claims = event_claims(spark, sf_dir)
+    return blocking.probe_pairs(claims.where("source_id = 'src3'"), claims).select("pair_key")
+
+
+@query(f"WITH {_CLAIMS}, {_FORMS} {_PROBED}")
+def indexed_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from the persisted index, to which the claims of the source have been added last."""
+    claims = event_claims(spark, sf_dir)
+    index = BlockIndex.create(spark, scratch(spark, "index"), claims.where("source_id <> 'src3'"), buckets=16)
+    index.add(claims.where("source_id = 'src3'"))
+    return index.probe(claims.where("source_id = 'src3'")).select("pair_key")
+
+
 # --- reads -----------------------------------------------------------------------------------------------------------
 
 
