@@ -84,12 +84,24 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: What modules keep in a worker from task to task: a function that lets go of it, and the modules whose tasks use it.
+HELD: list[tuple[Callable, frozenset[str]]] = []
+
+
+def let_go(user: str) -> None:
+    """Workers live on from stage to stage; a task drops what other modules' tasks have left."""
+    for forget, users in HELD:
+        if user not in users:
+            forget()
+
+
 def tidy(run: Callable) -> Callable:
     """A function for ``mapInPandas`` that gives freed memory back to the system when a task ends: workers live on, and what the
     allocators would keep of one stage counts against the next one's memory."""
 
     @functools.wraps(run)
     def bounded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        let_go(run.__module__)
         try:
             yield from run(batches)
         finally:

@@ -28,7 +28,7 @@ BUCKETS = 1 << 16
 GRAMS = (1, 2, 3)
 ALPHA = 0.5
 MAX_LANGUAGES = 512
-CHUNK = 1_000_000
+CHUNK = 400_000
 
 
 @cache
@@ -184,8 +184,13 @@ def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def known(text: pd.Series) -> pd.Series:
-        pred, score = score_texts(list(text), *sent.value)
-        return pd.Series([p != "und" and s >= least for p, s in zip(pred, score)])
+    def known(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        C.let_go(__name__)
+        try:
+            for text in texts:
+                pred, score = score_texts(list(text), *sent.value)
+                yield pd.Series([p != "und" and s >= least for p, s in zip(pred, score)], dtype=bool)
+        finally:
+            C.give_back()
 
     return docs.where(known("text"))

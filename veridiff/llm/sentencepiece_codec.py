@@ -371,6 +371,14 @@ def codec(path: str, dropout: float, seed: int) -> Codec:
     return Codec(path, dropout, seed)
 
 
+def _forget() -> None:
+    decoder.cache_clear()
+    codec.cache_clear()
+
+
+C.HELD.append((_forget, frozenset({__name__, f"{__package__}.chat_format"})))
+
+
 def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED) -> DataFrame:
     """doc_id and ids (array<int>) of each row; null ids for a null text."""
 
