@@ -5,35 +5,72 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .. import schemas
 from ..operators import store
+from ..operators.index import BlockIndex
+from ..operators.versioned import KeyedTable
 from ..plans import discover
 
+FOUND = "pair_key string, claim_a_id string, claim_b_id string, contradiction_type string, severity string, confidence double"
 
-def run(staged: DataFrame, claims_dir: str, found_dir: str, checkpoint: str, least: float = 0.35) -> StreamingQuery:
-    """Append each micro-batch to the claim log under its batch id, scan what it touched, and append pairs not stored yet.
 
-    Batches are written under their id with overwrite, so a batch that is run again leaves the same files.
-    """
+class Store:
+    """Claims by external_id, the index of their facts, and the conflicts found: three keyed tables under one path."""
 
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{claims_dir}/batch={number}")
-        log = spark.read.parquet(claims_dir).where(F.col("batch") <= number)
-        current = store.latest(log, ["external_id"], [F.col("batch"), F.col("observed_at"), F.col("id")])
-        touched = current.where(F.col("batch") == number)
-        found = discover.scan_claims(touched.drop("batch"), current.drop("batch"), None, least)
-        rows = found.select("pair_key", F.col("a_id").alias("claim_a_id"), F.col("b_id").alias("claim_b_id"), "contradiction_type", "severity", "confidence")
-        path = f"{found_dir}/batch={number}"
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64) -> None:
+        none = spark.createDataFrame([], schemas.CLAIMS)
+        self.spark = spark
+        self.claims, self.found = KeyedTable(spark, f"{path}/claims"), KeyedTable(spark, f"{path}/found")
+        if not self.claims.versions():
+            KeyedTable.create(spark, f"{path}/found", spark.createDataFrame([], FOUND), ["pair_key"], buckets=buckets)
+            BlockIndex.create(spark, f"{path}/index", none, buckets)
+            KeyedTable.create(spark, f"{path}/claims", none, ["external_id"], buckets=buckets)  # last: with it the store is there
+        self.index = BlockIndex(spark, f"{path}/index")
+
+    def take_in(self, staged: DataFrame, trust: DataFrame | None = None, least: float = 0.35) -> None:
+        """Upsert staged claims, and store the conflicts of those that are new or changed with all claims, unless they are stored already.
+
+        Only the buckets of the staged keys, of their facts' blocks and of the claims that these find are read. The claims are committed last: a call that
+        is broken off and made again finds the same claims changed, and whatever it writes twice is there once.
+        """
+        staged = staged.persist()
         try:
-            stored = spark.read.schema(rows.schema).option("recursiveFileLookup", "true").parquet(*[f"{found_dir}/batch={k}" for k in range(number)]) if number else None
-        except Exception as e:
-            raise OSError(f"the stored pairs under {found_dir} are incomplete") from e
-        (store.new_pairs(rows, stored) if stored is not None else rows).write.mode("overwrite").parquet(path)
+            known = self.claims.look_up(staged.select("external_id"))
+            upserted = store.upsert_claims(known, staged)
+            touched = upserted.where("change IN ('created', 'updated')").drop("superseded").persist()
+            fresh = touched.drop("change")
+            if not fresh.isEmpty():
+                self.index.add(fresh)
+                pairs = self.index.probe(fresh).persist()
+                new = pairs.join(self.found.look_up(pairs.select("pair_key")).select("pair_key"), "pair_key", "left_anti")
+                ids = new.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
+                keys = self.index.keys_of(ids)
+                there = self.claims.look_up(keys.select("external_id")).join(fresh.select("external_id"), "external_id", "left_anti")
+                rows = discover.scan_pairs(new, there.unionByName(fresh), trust, least)
+                rows = rows.select("pair_key", F.col("a_id").alias("claim_a_id"), F.col("b_id").alias("claim_b_id"), "contradiction_type", "severity", "confidence")
+                self.found.upsert(rows)
+                pairs.unpersist()
+                self.claims.upsert(fresh)
+            touched.unpersist()
+        finally:
+            staged.unpersist()
+
+
+def run(staged: DataFrame, path: str, checkpoint: str, least: float = 0.35, compact_every: int = 16, buckets: int = 64) -> StreamingQuery:
+    """Take each micro-batch into the :class:`Store` under ``path``; what is there so far is worked on, then the query ends."""
+
+    def step(batch: DataFrame, number: int) -> None:
+        kept = Store(batch.sparkSession, path, buckets)
+        kept.take_in(batch, None, least)
+        if number % compact_every == compact_every - 1:
+            kept.index.compact()
+            kept.claims.compact()
+            kept.found.compact()
 
     return staged.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
