@@ -12,7 +12,8 @@ from .operators.index import BlockIndex
 from .operators.versioned import KeyedTable, scratch
 from .plans.driver_claims import MIXED, ODD, event_claims, event_trust, mixed_claims, odd_claims
 from .queries import _CLAIMS, _INSIDE, _LOG, _PAIRS, _fixed, _review_log, query
-from .sources import extract
+from .sources import extract, scan
+from .streaming import state
 
 _CASE = lambda x, items: f"CASE {x} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(items)) + " END"
 _QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
@@ -385,6 +386,53 @@ def indexed_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.probe(claims.where("source_id = 'src3'")).select("pair_key")
 
 
+# --- files of mixed formats, streams ----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {_CLAIMS} SELECT 'd/' || id || CASE event_id % 4 WHEN 0 THEN '.yaml' WHEN 1 THEN '.json' WHEN 2 THEN '.csv' ELSE '.eml' END AS path, predicate, value,
+    CASE event_id % 4 WHEN 2 THEN subject ELSE id END AS subject, CASE WHEN event_id % 4 = 3 THEN observed_at::DATE + INTERVAL 10 HOUR ELSE observed_at END AS observed_at FROM claims""")
+def routed_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each claim, in four formats, through one scan; a message is observed when it was sent."""
+    c, i = event_claims(spark, sf_dir), F.substring("id", 2, 10).cast("long") % 4
+    ending = F.when(i == 0, ".yaml").when(i == 1, ".json").when(i == 2, ".csv").otherwise(".eml")
+    pair = F.concat_ws(": ", "predicate", "value")
+    mail = F.concat(F.lit("From: a@example.org\nSubject: claims\n of today\nDate: "), F.date_format("observed_at", "E, d MMM yyyy"), F.lit("\n\t10:00:00 +0000\n\n"), pair, F.lit("\n"))
+    text = F.when(i == 0, pair).when(i == 1, F.to_json(F.create_map("predicate", "value"))).when(i == 2, F.concat(F.lit("name,"), "predicate", F.lit("\n"), "subject", F.lit(","), "value")).otherwise(mail)
+    path = F.concat(F.lit("d/"), "id", ending)
+    files = c.select(path.alias("path"), F.col("observed_at").cast("timestamp").alias("modified"), scan.document_route(path).alias("route"), text.cast("binary").alias("content"))
+    return scan.routed_claims(files).select("path", "predicate", "value", "subject", F.col("observed_at").cast("timestamp_ntz").alias("observed_at"))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CHANGES of the claims as a stream of four files, in the order of their times."""
+    folder, out = scratch(spark, "stream-in"), scratch(spark, "stream-out")
+    c = event_claims(spark, sf_dir).select("external_id", "id", "value", F.col("observed_at").cast("timestamp").alias("observed_at"))
+    cuts = c.agg(F.percentile_approx("observed_at", [0.25, 0.5, 0.75])).first()[0]
+    for k in range(4):
+        part = c
+        if k:
+            part = part.where(F.col("observed_at") > F.lit(cuts[k - 1]))
+        if k < 3:
+            part = part.where(F.col("observed_at") <= F.lit(cuts[k]))
+        part.coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(c.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    run = state.claim_changes(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", scratch(spark, "stream-checkpoint")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(state.CHANGES).parquet(out)
+
+
+@query(f"""WITH {_CLAIMS}, o AS (SELECT subject || ':' || predicate AS external_id, id, value, observed_at, lag(value) OVER w AS before, row_number() OVER w AS n, first_value(observed_at) OVER w AS first_seen_at FROM claims WINDOW w AS (PARTITION BY subject, predicate ORDER BY observed_at, id))
+    SELECT external_id, CASE n WHEN 1 THEN 'created' ELSE 'updated' END AS change, id, value, before AS previous, first_seen_at FROM o WHERE n = 1 OR value IS DISTINCT FROM before""")
+def stream_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = _changes(spark, sf_dir).where("change IN ('created', 'updated')")
+    return got.select("external_id", "change", "id", "value", "previous", F.col("first_seen_at").cast("timestamp_ntz").alias("first_seen_at"))
+
+
+@query(f"WITH {_CLAIMS} SELECT subject || ':' || predicate AS external_id, arg_max(id, (observed_at, id)) AS id, arg_max(value, (observed_at, id)) AS value FROM claims GROUP BY ALL")
+def stream_current(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.current_rows(_changes(spark, sf_dir)).select("external_id", "id", "value")
+
+
 # --- reads -----------------------------------------------------------------------------------------------------------
 
 
