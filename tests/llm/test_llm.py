@@ -3,12 +3,14 @@
 import random
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veridiff.llm import chat_format, decontaminate, html_extraction, language_id, language_model, metric_search, near_dedup, sentencepiece_codec, substring_dedup, token_files
 from veridiff.llm.common import shared_path
+from veridiff.llm.queries import ORACLE_SQL
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, bands string"
 
@@ -87,15 +89,24 @@ def test_substring_dedup(docs, texts, none):
 
 def test_decontaminate(spark, docs, texts, none):
     item = " ".join(texts[3].split()[20:60])
-    bench = spark.createDataFrame([(1, item), (2, "unseen words of an item that leaks nowhere at all"), (3, None), (4, ""), (5, "one two")], "item_id long, text string")
-    got = {(r.doc_id, r.item_id): r.shared for r in decontaminate.leaks(docs, bench).collect()}
+    short, four = " ".join(texts[4].split()[50:52]), " ".join(texts[11].split()[-4:]).upper()
+    bench = [(1, item), (2, "unseen words of an item that leaks nowhere at all"), (3, None), (4, ""), (5, "one two"), (6, short), (7, four), (8, short), (8, item), (8, item)]
+    bench = spark.createDataFrame(bench, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.shared, r.n_item_shingles) for r in decontaminate.leaks(docs, bench).collect()}
     want = {}
     for k, t in texts.items():
-        for i, x in ((1, item), (5, "one two")):
-            q, d = shingles(x), shingles(t)
-            if q and 100 * len(q & d) >= 75 * len(q):
-                want[k, i] = len(q & d)
-    assert got == want
+        w = (t or "").encode().lower().split()
+        d = shingles(t) | {tuple(w[i : i + n]) for n in (2, 4) for i in range(len(w) - n + 1)}
+        for i, xs in ((1, [item]), (5, ["one two"]), (6, [short]), (7, [four]), (8, [short, item])):
+            q = set().union(*map(shingles, xs))
+            if 100 * len(q & d) >= 75 * len(q):
+                want[k, i] = (len(q & d), len(q))
+    assert got == want and {i for _, i in want} == {1, 5, 6, 7, 8}
+    con = duckdb.connect()
+    for name, rows in (("documents", [(k, t) for k, t in texts.items()]), ("benchmark", [tuple(r) for r in bench.collect()])):
+        con.execute(f"CREATE TABLE {name} ({'doc_id' if name == 'documents' else 'item_id'} BIGINT, text VARCHAR)")
+        con.executemany(f"INSERT INTO {name} VALUES (?, ?)", rows)
+    assert {(r[0], r[1]): (r[2], r[3]) for r in con.execute(f"SELECT doc_id, item_id, shared, n_item_shingles FROM ({ORACLE_SQL['op5_decontaminate']})").fetchall()} == want
     assert decontaminate.leaks(docs, bench, part_shingles=10).count() == len(want)
     assert decontaminate.leaks(none, bench).count() == 0 and decontaminate.decontaminate(docs, bench.limit(0)).count() == docs.count()
 

@@ -111,7 +111,9 @@ ORACLE_SQL = {
         r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
     "op5_decontaminate": f"""
-        WITH d AS ({_shingles("documents", "doc_id")}), b AS ({_shingles("benchmark", "item_id")}),
+        WITH w AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+        k AS (SELECT DISTINCT len(w) AS k FROM (SELECT {_WORDS.format(_LOWER)} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL) WHERE len(w) BETWEEN 1 AND 4),
+        d AS ({_shingles("documents", "doc_id")} UNION SELECT doc_id, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i+k-1], ' '))) FROM w, k), b AS ({_shingles("benchmark", "item_id")}),
         n AS (SELECT item_id, count(*) AS q FROM b GROUP BY item_id)
         SELECT doc_id, item_id, count(*) AS shared, any_value(q) AS n_item_shingles
         FROM d JOIN b USING (s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 75 * any_value(q)""",
