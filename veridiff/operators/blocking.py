@@ -113,6 +113,20 @@ def compatible_subjects(a, b, predicate):
     return same | ga & gb | (ga | gb) & T.system_level(predicate)
 
 
+def fact_id(subject: Column | str = "subject", predicate: Column | str = "predicate") -> Column:
+    s, p = (F.col(x) if isinstance(x, str) else x for x in (subject, predicate))
+    return F.to_json(F.struct(s.alias("s"), p.alias("p")))
+
+
+def fact_pairs(claims: DataFrame) -> DataFrame:
+    """(a_fact, b_fact): the ordered pairs of facts whose claims are candidate pairs, a fact with itself among them. Claims repeat facts many times, facts are compared once."""
+    k = keyed(claims.select("subject", "predicate").distinct()).withColumn("id", fact_id())
+    other = _met(_blocked(k, RULES)).unionByName(alias_pairs(k)).select("a_id", "b_id")
+    own = _blocked(k, RULES[:2]).where("block IS NOT NULL").select(F.col("id").alias("a_id"), F.col("id").alias("b_id"))
+    both = other.unionByName(other.select(F.col("b_id").alias("a_id"), F.col("a_id").alias("b_id"))).unionByName(own)
+    return both.withColumnsRenamed({"a_id": "a_fact", "b_id": "b_fact"})
+
+
 # --- probes: facts are the distinct (subject, predicate) of claims; these meet under keys, claims come in at the end ----------
 
 

@@ -105,17 +105,17 @@ def cross_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = event_claims(spark, sf_dir)
-    return pairs.analyze(pairs.attach(blocking.candidate_pairs(claims), claims, event_trust(spark)))
+    return pairs.analyze(pairs.matched(claims, event_trust(spark)))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pairs.with_priority(pairs.confirmed(_analyzed(spark, sf_dir)))
+    return discover.scan_all(event_claims(spark, sf_dir), event_trust(spark), 0.0)
 
 
 @query(f"WITH {_CLAIMS}, {_PAIRS}, {_CONTEXT} SELECT relation, count(*) AS n FROM ctx GROUP BY relation")
 def context_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = event_claims(spark, sf_dir)
-    p = pairs.attach(blocking.candidate_pairs(claims), claims)
+    p = pairs.matched(claims)
     return p.select(X.relation(F.col("a"), F.col("b"))["type"].alias("relation")).groupBy("relation").agg(F.count("*").alias("n"))
 
 

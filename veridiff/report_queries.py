@@ -102,7 +102,7 @@ _VERDICT = f"WITH {_CLAIMS}, {_MIXED}, {_FACTS}, {_JUDGED}"
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     claims = mixed_claims(spark, sf_dir)
-    return pairs.analyze(pairs.attach(blocking.candidate_pairs(claims), claims, event_trust(spark)))
+    return pairs.analyze(pairs.matched(claims, event_trust(spark)))
 
 
 @query(f"{_VERDICT} SELECT pair_key, kind AS contradiction_type, severity, difference, na AS normalized_a, nb AS normalized_b, score AS confidence FROM judged WHERE relation = 'SAME_FACT' AND NOT equal")
