@@ -89,8 +89,13 @@ def stripped(x: Column) -> Column:
     return F.regexp_replace(predicate_form(x), f"^({'|'.join(L.WRAPPERS.split())})_+", "")
 
 
+def synonym_groups() -> dict[str, str]:
+    """form -> number of its group; no word is in two groups."""
+    return {w: str(k) for k, g in enumerate(L.PREDICATE_SYNONYMS) for w in g.split()}
+
+
 def synonyms(a: Column, b: Column) -> Column:
-    groups = {w: str(k) for k, g in enumerate(L.PREDICATE_SYNONYMS) for w in g.split()}  # no word is in two groups
+    groups = synonym_groups()
     forms = F.struct(*(f.alias(n) for n, f in (("fa", predicate_form(a)), ("fb", predicate_form(b)), ("sa", stripped(a)), ("sb", stripped(b)))))
 
     def same(v: Column) -> Column:

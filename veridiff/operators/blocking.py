@@ -207,20 +207,83 @@ def claim_pairs(near: DataFrame, touched: DataFrame, claims: DataFrame) -> DataF
     return _ordered(both.where("x <> y")).dropDuplicates(["pair_key"])
 
 
+# --- similarity joins: texts meet under keys that any two similar ones share, and are compared then --------------------
+
+
+def near_predicates(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(x_predicate, y_predicate) of two tables of distinct predicates that can match whatever the subjects are, in either order.
+
+    Two such share a token, a part of a token that the semantic similarity counts, a form, what is left of it without wrappers, or a group of synonyms.
+    """
+
+    def laid(df: DataFrame, n: str) -> DataFrame:
+        p = F.col(f"{n}_predicate")
+        norm, form, bare = T.normalize_text(p), T.predicate_form(F.coalesce(p, F.lit(""))), T.stripped(F.coalesce(p, F.lit("")))
+        words = F.array_union(T.tokens(norm), F.filter(F.split(F.regexp_replace(norm, "[^a-z0-9]", " "), " "), lambda w: w != ""))
+        groups = F.filter(F.transform(F.array(form, bare), lambda f: T.lookup(f, T.synonym_groups())), lambda g: g.isNotNull())
+        keys = F.flatten(F.array(F.transform(words, lambda w: _key("word", w)), F.array(_key("form", form), _key("bare", bare)), F.transform(groups, lambda g: _key("group", g)), F.array(_key("text", norm))))
+        return df.select(f"{n}_predicate", F.explode(F.array_distinct(keys)).alias("key"))
+
+    met = laid(x, "x").join(laid(y, "y"), "key").select("x_predicate", "y_predicate").distinct()
+    one = F.lit("x")
+    return met.where(_either_order(one, F.col("x_predicate"), one, F.col("y_predicate")))
+
+
+def _either_order(sa: Column, pa: Column, sb: Column, pb: Column) -> Column:
+    return T.match_claims(sa, pa, sb, pb)["matches"] | T.match_claims(sb, pb, sa, pa)["matches"]
+
+
+def near_subjects(x: DataFrame, y: DataFrame, least: float = 0.75) -> DataFrame:
+    """(x_subject, y_subject) of two tables of distinct subjects whose similarity or entities match; an exact similarity join.
+
+    A similarity of ``least`` needs half of all tokens in common, or one text's words in a row within the other. Of the first kind two texts share one of their rarest tokens, as many as
+    half of theirs and one; of the second the rarest token of one is any token of the other. Entities meet under their forms, alias groups and runs of letters.
+    """
+    subjects = lambda df, n: df.select(F.col(f"{n}_subject").alias("subject"))
+    every = subjects(x, "x").unionByName(subjects(y, "y")).distinct()
+    words = every.select("subject", F.explode(T.tokens(T.normalize_text(F.col("subject")))).alias("word"))
+    count = words.groupBy("word").agg(F.count("*").alias("n"))
+    ranked = words.join(count, "word").groupBy("subject").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "word"))), lambda w: w["word"]).alias("words"))  # of one text, bounded by it
+    forms = T.entity_form(F.col("subject"))
+    ranked = ranked.withColumnRenamed("subject", "_of")
+    rows = every.join(ranked, F.col("subject").eqNullSafe(F.col("_of")), "left").select("subject", F.coalesce("words", F.array().cast("array<string>")).alias("words"), forms.alias("form"))
+    rows = rows.withColumn("class", size_class(F.col("form")))
+    head, form = F.slice("words", 1, F.floor(F.size("words") / 2).cast("int") + 1), F.col("form")
+    rarest = F.slice("words", 1, 1)
+    with_kind = lambda kind, words: F.transform(words, lambda w: _key(kind, w))
+    always = F.array(_key("form", form), F.when(F.size("words") == 0, _key("none")))
+    short = F.when(F.length(form) >= GRAM, F.array(_key("short", _chosen(form), F.col("class")))).otherwise(F.array())
+    posted = F.concat(with_kind("half", head), with_kind("any", F.col("words")), with_kind("rarest", rarest), always, short, F.transform(grams(form), lambda g: _key("long", g, F.col("class"))))
+    near = F.array_distinct(F.concat(F.array(form), F.coalesce(F.try_element_at(T.table(_alias_forms()), form), F.array().cast("array<string>"))))
+    longer = F.when(F.length(form) >= GRAM, F.transform(F.array(F.col("class"), F.col("class") + 1), lambda c: _key("long", _chosen(form), c))).otherwise(F.array())
+    shorter = F.flatten(F.transform(grams(form), lambda g: F.transform(F.array(F.col("class"), F.col("class") - 1), lambda c: _key("short", g, c))))
+    asked = F.concat(with_kind("half", head), with_kind("any", rarest), with_kind("rarest", F.col("words")), F.transform(near, lambda f: _key("form", f)), F.array(F.when(F.size("words") == 0, _key("none"))), longer, shorter)
+    keyed_by = lambda keys: rows.select("subject", F.explode(F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))).alias("key"))
+    side = lambda df, n, keys: keyed_by(keys).join(df, F.col("subject").eqNullSafe(F.col(f"{n}_subject")), "left_semi").withColumnRenamed("subject", f"{n}_subject")
+    met = side(x, "x", asked).join(side(y, "y", posted), "key").select("x_subject", "y_subject").distinct()
+    a, b = F.col("x_subject"), F.col("y_subject")
+    return met.where((T.composite_similarity(a, b) >= least) | T.resolve_entity(a, b)["is_match"] | T.resolve_entity(b, a)["is_match"])
+
+
 def source_pairs(mine: DataFrame, claims: DataFrame) -> DataFrame:
-    """Pairs of the claims of one source with all claims that the match accepts: no block keys, so none is missed.
+    """Pairs of the claims of one source with all claims that the match accepts: no block keys of the engine, so none is missed.
 
-    The match looks at subjects and predicates only, so these are compared instead of claims, each once: first all predicates with equal subjects
-    (what fails there fails with any subjects), then the subjects of the predicates left. Both orders are tried, as the pair's order decides later.
+    The match looks at subjects and predicates only, so these are compared instead of claims, each once, by two similarity joins. A subject that means the whole system goes with any
+    other under a predicate of that level; such pairs come in by their predicates alone. Both orders are tried, as the pair's order decides later.
     """
-    match = lambda sa, pa, sb, pb: T.match_claims(sa, pa, sb, pb)["matches"] | T.match_claims(sb, pb, sa, pa)["matches"]
-    n = max(4, claims.sparkSession.sparkContext.defaultParallelism)
     texts = lambda df, a: df.select(F.col("subject").alias(f"{a}_subject"), F.col("predicate").alias(f"{a}_predicate")).distinct()
-    mine_texts, all_texts = texts(mine, "x"), texts(claims, "y")
-    one = F.lit("x")
-    predicates = mine_texts.select("x_predicate").distinct().repartition(n).join(all_texts.select("y_predicate").distinct(), match(one, F.col("x_predicate"), one, F.col("y_predicate")))
-    near = mine_texts.join(predicates, "x_predicate").join(all_texts, "y_predicate").repartition(n)
-    near = near.where(match(*(F.col(c) for c in ("x_subject", "x_predicate", "y_subject", "y_predicate"))))
+    x, y = texts(mine, "x"), texts(claims, "y")
+    predicates = near_predicates(x.select("x_predicate").distinct(), y.select("y_predicate").distinct())
+    subjects = near_subjects(x.select("x_subject").distinct(), y.select("y_subject").distinct())
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    s = subjects.withColumnsRenamed({"x_subject": "_xs", "y_subject": "_ys"})
+    p = predicates.withColumnsRenamed({"x_predicate": "_xp", "y_predicate": "_yp"})
+    facts = ["x_subject", "x_predicate", "y_subject", "y_predicate"]
+    alike = x.join(s, same("x_subject", "_xs")).join(p, F.col("x_predicate") == F.col("_xp")).join(y, same("_ys", "y_subject") & (F.col("_yp") == F.col("y_predicate"))).select(*facts)
+    whole = lambda n: T.generic_subject(F.col(f"{n}_subject"))
+    by_level = [x.where(on_x).join(p, F.col("x_predicate") == F.col("_xp")).join(y.where(on_y), F.col("_yp") == F.col("y_predicate")).select(*facts) for on_x, on_y in ((whole("x"), F.lit(True)), (~whole("x"), whole("y")))]
+    near = alike.unionByName(by_level[0]).unionByName(by_level[1]).distinct()
+    near = near.where(_either_order(F.col("x_subject"), F.col("x_predicate"), F.col("y_subject"), F.col("y_predicate")))
     side = lambda df, a: df.select(F.col("id").alias(a), F.col("subject").alias(f"{a}_s"), F.col("predicate").alias(f"{a}_p"))
-    on = lambda a: F.col(f"{a}_s").eqNullSafe(F.col(f"{a}_subject")) & (F.col(f"{a}_p") == F.col(f"{a}_predicate"))
+    on = lambda a: same(f"{a}_s", f"{a}_subject") & (F.col(f"{a}_p") == F.col(f"{a}_predicate"))
     return _ordered(near.join(side(mine, "x"), on("x")).join(side(claims, "y"), on("y")).where("x <> y")).dropDuplicates(["pair_key"])

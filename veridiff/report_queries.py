@@ -386,6 +386,13 @@ def indexed_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.probe(claims.where("source_id = 'src3'")).select("pair_key")
 
 
+@query(f"WITH {_CLAIMS}, {_FORMS} {_PROBED}")
+def similar_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pairs of the claims of one source that the match accepts, by similarity joins on subjects and predicates."""
+    claims = event_claims(spark, sf_dir)
+    return blocking.source_pairs(claims.where("source_id = 'src3'"), claims).select("pair_key")
+
+
 # --- files of mixed formats, streams ----------------------------------------------------------------------------------
 
 
