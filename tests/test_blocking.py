@@ -72,3 +72,32 @@ def test_long_subjects(spark):
     forms = [k.replace(" ", "") for k in keys]
     want = {tuple(sorted((keys[i], keys[j]))) for i in range(len(keys)) for j in range(len(keys)) if i != j and forms[i] in forms[j] and len(forms[i]) >= 4 and len(forms[i]) >= 0.6 * len(forms[j])}
     assert got == want and len(want) >= 4
+
+
+def test_alias_tables(spark):
+    from veridiff.operators import aliases
+
+    lists = spark.createDataFrame([(0, "api-server"), (0, "Backend"), (1, "zeta"), (1, "backend"), (1, "alpha"), (2, "")], "position int, name string")
+    assert {(r.form, r.group, r.canonical) for r in aliases.groups_of_lists(lists).collect()} == {("api", "0", "api"), ("backend", "1", "alpha"), ("zeta", "1", "alpha"), ("alpha", "1", "alpha")}
+    pairs = spark.createDataFrame([("a1", "A2"), ("a3", "a2"), ("b1", "b2"), ("a4", "a3"), (None, "x"), ("c", "c")], "a string, b string")
+    groups = aliases.groups_of_pairs(pairs)
+    assert {(r.form, r.canonical) for r in groups.collect()} == {("a1", "a1"), ("a2", "a1"), ("a3", "a1"), ("a4", "a1"), ("b1", "b1"), ("b2", "b1"), ("c", "c")}
+    asked = spark.createDataFrame([("a4", "a 1"), ("a1", "b1"), ("b1", "B1"), ("backend", "api")], "a string, b string")
+    got = {(r.a, r.b): (r.r.is_match, r.r.match_type, r.r.confidence) for r in aliases.resolved(asked, groups).collect()}
+    assert got == {("a4", "a 1"): (True, "ALIAS", 0.95), ("a1", "b1"): (False, "NONE", 0.1), ("b1", "B1"): (True, "EXACT", 0.98), ("backend", "api"): (True, "ALIAS", 0.88)}
+    chain = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(100)], "a string, b string")
+    assert {r.label for r in aliases.components(chain).collect()} == {"n000"}
+
+
+def test_counts_of_a_scan(spark):
+    """Counted in the job that gathers the conflicts."""
+    from veridiff.plans import discover
+    from veridiff.plans.driver_claims import odd_claims
+
+    claims = odd_claims(spark, "/root/testdata/sf0.001").where("subject < 'unit_000006'")
+    whole = {r.pair_key for r in discover.scan_all(claims, None, 0.35).collect()}
+    stored = [k.split("::") for k in sorted(whole)[::3]]
+    new, counts = discover.counted_scan(claims, spark.createDataFrame(stored, "claim_a_id string, claim_b_id string"))
+    assert {r.pair_key for r in new.collect()} == whole - {"::".join(k) for k in stored}
+    got = counts.get
+    assert (got["found"], got["new"], got["existing"]) == (len(whole), len(whole) - len(stored), len(stored)) and got["pairs_analyzed"] > got["found"] and got["uncertain"] > 0

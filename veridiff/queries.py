@@ -186,19 +186,25 @@ def composite_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _parts(spark, sf_dir).select("a", "b", T.composite_similarity(F.col("s"), F.col("t")).alias("similarity"), T.semantic_similarity(F.col("s"), F.col("t")).alias("semantic"))
 
 
-def _words(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w,) for g in L.PREDICATE_SYNONYMS for w in g.split()], "predicate string")
+_SYNONYMS = [w for g in L.PREDICATE_SYNONYMS for w in g.split()]
+_VALUES = ", ".join(f"('{w}', '{min(g.split())}', {k})" for k, (w, g) in enumerate((w, g) for g in L.PREDICATE_SYNONYMS for w in g.split()))
 
 
-_VALUES = ", ".join(f"('{w}', '{min(g.split())}')" for g in L.PREDICATE_SYNONYMS for w in g.split())
+def _nth(words: list[str], n):
+    return F.element_at(F.array(*map(F.lit, words)), (n % len(words) + 1).cast("int"))
 
 
-@query(f"SELECT * FROM (VALUES {_VALUES}) AS t(predicate, canonical)")
+@query(f"""SELECT p_partkey, predicate || CASE WHEN p_partkey % 3 = 0 THEN '_' || p_size ELSE '' END AS predicate, CASE WHEN p_partkey % 3 = 0 THEN predicate || '_' || p_size ELSE canonical END AS canonical
+    FROM part JOIN (VALUES {_VALUES}) AS t(predicate, canonical, k) ON k = p_partkey % {len(_SYNONYMS)}""")
 def canonical_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark).select("predicate", T.canonical_predicate(F.col("predicate")).alias("canonical"))
+    k = F.col("p_partkey")
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("predicate", F.concat(_nth(_SYNONYMS, k), F.when(k % 3 == 0, F.concat(F.lit("_"), F.col("p_size").cast("string"))).otherwise("")))
+    return p.select("p_partkey", "predicate", T.canonical_predicate(F.col("predicate")).alias("canonical"))
 
 
+_ALIAS_LIST = [w for g in L.ALIASES for w in g.split()]
 _ALIAS_WORDS = ", ".join(f"('{w}', {k})" for k, g in enumerate(L.ALIASES) for w in g.split())
+_ALIAS_PLACES = ", ".join(f"('{w}', {k})" for k, w in enumerate(_ALIAS_LIST))
 
 
 @query(f"""WITH w AS (SELECT word, gid, regexp_replace(regexp_replace(word, '[._\\-\\s/]+', '', 'g'), '({"|".join(L.NOUN_SUFFIXES.split())})$', '') AS form FROM (VALUES {_ALIAS_WORDS}) AS v(word, gid)),
@@ -207,11 +213,13 @@ _ALIAS_WORDS = ", ".join(f"('{w}', {k})" for k, g in enumerate(L.ALIASES) for w
         FROM w x CROSS JOIN w y LEFT JOIN m ON m.fa = x.form AND m.fb = y.form),
     r AS (SELECT *, CASE WHEN a = b THEN 'EXACT' WHEN fa <> '' AND fa = fb THEN 'NORMALIZED' WHEN alias THEN 'ALIAS'
         WHEN length(fa) >= 4 AND length(fb) >= 4 AND (contains(fa, fb) OR contains(fb, fa)) AND ratio >= 0.6 THEN 'SUFFIX_PREFIX' ELSE 'NONE' END AS match_type FROM p)
-    SELECT a, b, match_type <> 'NONE' AS is_match, CASE match_type WHEN 'EXACT' THEN 1.0 WHEN 'NORMALIZED' THEN 0.92 WHEN 'ALIAS' THEN 0.88 WHEN 'NONE' THEN 0.1 ELSE {_fixed("0.7::DOUBLE + ratio * 0.15::DOUBLE", 2)} END::DOUBLE AS confidence,
-        match_type, match_type = 'SUFFIX_PREFIX' AND ratio < 0.75 AS is_ambiguous FROM r""")
+    SELECT o_orderkey, a, b, match_type <> 'NONE' AS is_match, CASE match_type WHEN 'EXACT' THEN 1.0 WHEN 'NORMALIZED' THEN 0.92 WHEN 'ALIAS' THEN 0.88 WHEN 'NONE' THEN 0.1 ELSE {_fixed("0.7::DOUBLE + ratio * 0.15::DOUBLE", 2)} END::DOUBLE AS confidence,
+        match_type, match_type = 'SUFFIX_PREFIX' AND ratio < 0.75 AS is_ambiguous
+    FROM orders JOIN (VALUES {_ALIAS_PLACES}) AS u(word, i) ON u.i = o_orderkey % {len(_ALIAS_LIST)} JOIN (VALUES {_ALIAS_PLACES}) AS v(word, i) ON v.i = o_custkey % {len(_ALIAS_LIST)} JOIN r ON r.a = u.word AND r.b = v.word""")
 def entity_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(a, b) for g in L.ALIASES for a in g.split() for h in L.ALIASES for b in h.split()], "a string, b string")
-    return rows.select("a", "b", T.resolve_entity(F.col("a"), F.col("b")).alias("r")).select("a", "b", "r.*")
+    """Two of the known names for each order."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", _nth(_ALIAS_LIST, F.col("o_orderkey")).alias("a"), _nth(_ALIAS_LIST, F.col("o_custkey")).alias("b"))
+    return rows.select("o_orderkey", "a", "b", T.resolve_entity(F.col("a"), F.col("b")).alias("r")).select("o_orderkey", "a", "b", "r.*")
 
 
 # --- values --------------------------------------------------------------------------------------------------
@@ -313,7 +321,7 @@ def _stored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CLAIMS}, {_PAIRS}, {_CONTEXT}, {_FOUND} SELECT count(*) AS found, count(*) FILTER (right(a_id, 1) NOT IN ('0', '5')) AS new, count(*) FILTER (right(a_id, 1) IN ('0', '5')) AS existing, (SELECT count(*) FROM pairs) AS candidate_pairs FROM found")
 def new_vs_existing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return discover.summary(blocking.candidate_pairs(event_claims(spark, sf_dir)), _found(spark, sf_dir), _stored(spark, sf_dir))
+    return discover.summary(_analyzed(spark, sf_dir), _stored(spark, sf_dir))
 
 
 @query(f"WITH {_CLAIMS}, {_PAIRS}, {_CONTEXT}, {_FOUND} SELECT pair_key FROM found WHERE right(a_id, 1) NOT IN ('0', '5')")

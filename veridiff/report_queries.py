@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .functions import explain as E
-from .operators import blocking, pairs, store, sync
+from .operators import aliases, blocking, pairs, store, sync
 from .operators.index import BlockIndex
 from .operators.versioned import KeyedTable, scratch
 from .plans.driver_claims import MIXED, ODD, event_claims, event_trust, mixed_claims, odd_claims
@@ -393,6 +393,18 @@ def similar_to_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocking.source_pairs(claims.where("source_id = 'src3'"), claims).select("pair_key")
 
 
+@query("""WITH RECURSIVE up(k, pos) AS (SELECT c_custkey, c_custkey FROM customer UNION ALL SELECT k, pos // 2 FROM up WHERE pos % 5 <> 0 AND pos // 2 >= (SELECT min(c_custkey) FROM customer) AND pos // 2 IN (SELECT c_custkey FROM customer)),
+    r AS (SELECT k, min(pos) AS root FROM up GROUP BY k), n AS (SELECT c_custkey, regexp_replace(lower(c_name), '[._\\-\\s/]+', '', 'g') AS form FROM customer),
+    e AS (SELECT k FROM r JOIN n ON c_custkey = k WHERE root <> k UNION SELECT root FROM r WHERE root <> k)
+    SELECT x.form, y.form AS canonical FROM e JOIN r USING (k) JOIN n x ON x.c_custkey = e.k JOIN n y ON y.c_custkey = r.root""")
+def alias_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of customers' names out of pairs that form chains and trees: each with the one of half its number, but for every fifth."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    other = c.select(F.col("c_custkey").alias("half"), F.col("c_name").alias("b"))
+    pairs_ = c.where("c_custkey % 5 <> 0").withColumn("half", F.expr("c_custkey div 2")).join(other, "half").select(F.col("c_name").alias("a"), "b")
+    return aliases.groups_of_pairs(pairs_).select("form", "canonical")
+
+
 # --- files of mixed formats, streams ----------------------------------------------------------------------------------
 
 
