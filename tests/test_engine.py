@@ -5,8 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from veridiff import queries as Q
+from veridiff import schemas
+from veridiff.functions import scores as S
 from veridiff.functions import text as T
 from veridiff.functions import values as V
+from veridiff.operators import pairs
 from veridiff.sources import extract
 
 SF = "/root/testdata/sf0.01"
@@ -84,3 +87,37 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == cols
     clean = lambda df: sorted(map(repr, df[cols].astype(object).where(df[cols].notna(), None).itertuples(index=False, name=None)))
     assert clean(got) == clean(want)
+
+
+def test_advice_by_evidence_and_firm_authority(spark):
+    """What the registered query cannot reach: evidence that leads, and firm authority against freshness."""
+    strong, weak, middle = (F.struct(F.lit(x).alias("score"), F.lit(q).alias("quality")) for x, q in ((0.9, "STRONG"), (0.4, "WEAK"), (0.65, "MODERATE")))
+    cases = [
+        ((0.6, 0.62, 0.9, 0.9), (strong, weak), ("claimA", 0.62)), ((0.6, 0.62, 0.9, 0.9), (weak, middle), ("claimB", 0.62)), ((0.6, 0.62, 0.9, 0.9), (weak, weak), ("uncertain", 0.5)),
+        ((0.9, 0.5, 0.3, 0.9), (weak, weak), ("claimA", 0.72)), ((0.8, 0.5, 0.3, 0.9), (weak, weak), ("uncertain", 0.45)), ((0.8, 0.5, 0.3, 0.9), (weak, strong), ("claimB", 0.62)), ((0.9, 0.5, 0.9, 0.9), (weak, strong), ("claimA", 0.76)),
+    ]
+    for numbers, (ea, eb), want in cases:
+        got = spark.range(1).select(S.advice(*map(F.lit, numbers), ea, eb, F.lit("configuration"), F.lit("documentation")).alias("x")).first().x
+        assert (got.likely, got.confidence) == want
+    meta = lambda **kw: F.struct(*(F.lit(kw.get(n)).cast(t).alias(n) for n, t in (("line", "int"), ("start_line", "int"), ("end_line", "int"), ("line_range", "array<int>"), ("snippet", "string"), ("evidence", "string"), ("extraction_method", "string"))))
+    of = lambda **kw: tuple(spark.range(1).select(S.evidence(meta(**kw)).alias("x")).first().x)
+    assert of() == (0.4, "WEAK") and of(line=3) == (0.65, "MODERATE") and of(line=3, snippet="x") == (0.9, "STRONG") and of(line=3, evidence="x", extraction_method="json_parse") == (1.0, "STRONG") and of(snippet=" ", extraction_method="regex") == (0.45, "WEAK")
+
+
+def test_sentences_of_verdicts(spark):
+    """Written out once: the wording of conflicts and of their absence by the gate that decided."""
+    rows = [("a", "b", "18.2.0", "^18.0.0", "version"), ("a", "c", "18.2.0", "16.0.0", "version"), ("d", "e", "TBD", "2024-01-05", "date")]
+    ids = {i: v for a, b, x, y, _ in rows for i, v in ((a, x), (b, y))}
+    kind = {"a": "version", "b": "version", "c": "version", "d": "date", "e": "date"}
+    names = [f.split(" ", 1) for f in schemas.CLAIMS.split(", metadata")[0].split(", ")]
+    made = spark.createDataFrame([(i, f"s{i}", "gateway", "node_version" if kind[i] == "version" else "launch_date", v, kind[i]) for i, v in ids.items()], "id string, source_id string, subject string, predicate string, value string, value_type string")
+    made = made.withColumns({"confidence": F.lit(1.0), "environment": F.lit("production"), "scope": F.lit("service"), "source_role": F.lit("documentation"), "is_historical": F.lit(False), "observed_at": F.lit("2024-03-01").cast("timestamp")})
+    claims = made.select(*(F.col(n) if n in made.columns else F.lit(None).cast(t).alias(n) for n, t in names), F.lit(None).cast(schemas.METADATA).alias("metadata"))
+    wanted = spark.createDataFrame([*((a, b) for a, b, *_ in rows), ("a", "d")], "a_id string, b_id string")
+    got = {(r.a_id, r.b_id): r.explanation for r in pairs.analyze_pairs(wanted, claims).collect()}
+    assert got["a", "b"] == "No contradiction detected (COMPATIBLE_FACT): Values '18.2.0' and '^18.0.0' are compatible (e.g. version range satisfied or overlapping constraints)."
+    assert got["d", "e"] == "Inconclusive comparison: Values 'TBD' and '2024-01-05' cannot be reliably compared under valueType 'date'."
+    assert got["a", "d"].startswith("No contradiction detected: Claims refer to distinct subjects or predicates (")
+    text = got["a", "c"]
+    assert text.startswith("Both claims describe the node_version for 'gateway' (") and " Operational context: production vs production. However, Source (sa) reports '18.2.0' (observed on 2024-03-01). Meanwhile, Source (sc) reports '16.0.0' (observed on 2024-03-01). " in text
+    assert text.endswith(" Classified as VERSION_MISMATCH with HIGH severity.")

@@ -282,7 +282,24 @@ def freshness_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_claims(spark, sf_dir).select("id", F.round(score, 3).alias("freshness"))
 
 
-@query()
+def _advice_side(role: str, trust: str, at: str) -> tuple[str, str]:
+    weight = _ROLE.replace("source_role", role)
+    fresh = f"greatest(0.2, least(1.0, exp(-0.693 * (epoch_us(TIMESTAMP '{AS_OF}') - epoch_us({at})) / 86400000000.0 / 180)))::DOUBLE"
+    return _fixed(f"{weight} * 0.4::DOUBLE + {trust} * 0.25::DOUBLE + 0.6::DOUBLE * 0.2::DOUBLE + 0.5::DOUBLE * 0.15::DOUBLE", 4), _fixed(fresh, 4)
+
+
+_ADVICE_A, _ADVICE_B = _advice_side("ar", "ta", "a_at"), _advice_side("br", "tb", "b_at")
+_WINS = "CASE WHEN abs({0} - {1}) < 0.08::DOUBLE THEN 'tie' WHEN {0} > {1} THEN 'claimA' ELSE 'claimB' END"
+
+
+# Both sides' evidence is a heuristic without line or snippet, so it leads nowhere.
+@query(f"""WITH {_CLAIMS}, {_PAIRS}, {_CONTEXT}, {_FOUND}, s AS (SELECT pair_key, ar, br, {_ADVICE_A[0]} AS xa, {_ADVICE_B[0]} AS xb, {_ADVICE_A[1]} AS fa, {_ADVICE_B[1]} AS fb FROM found),
+    w AS (SELECT *, {_WINS.format("xa", "xb")} AS by_auth, {_WINS.format("fa", "fb")} AS by_fresh FROM s),
+    v AS (SELECT *, by_auth <> 'tie' AND by_fresh IN (by_auth, 'tie') AS agree, by_auth <> 'tie' AND by_fresh <> 'tie' AND by_fresh <> by_auth AS against,
+        CASE by_auth WHEN 'claimA' THEN xa >= 0.85::DOUBLE AND br IN ('documentation', 'example') ELSE xb >= 0.85::DOUBLE AND ar IN ('documentation', 'example') END AS firm FROM w)
+    SELECT pair_key, CASE WHEN agree OR (against AND firm) THEN by_auth ELSE 'uncertain' END AS likely,
+        CASE WHEN agree THEN least(0.95::DOUBLE, {_fixed("0.6::DOUBLE + abs(xa - xb) * 0.4::DOUBLE", 2)}) WHEN against AND firm THEN 0.72::DOUBLE WHEN against THEN 0.45::DOUBLE ELSE 0.5::DOUBLE END AS confidence,
+        by_auth AS authority_winner, by_fresh AS freshness_winner FROM v""")
 def resolution_advice(spark: SparkSession, sf_dir: str) -> DataFrame:
     f, now, null = _found(spark, sf_dir), F.lit(AS_OF).cast("timestamp"), F.lit(None).cast("timestamp")
     for n in ("a", "b"):
