@@ -53,10 +53,15 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation."""
+    """Cut the lineage: write to the shared folder and read back, so that a lost executor costs no recomputation.
+
+    What no caller releases before goes when the driver ends.
+    """
     spark = df.sparkSession
     path = shared_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     out = spark.read.schema(df.schema).parquet(path)
     out._shared_path = path
     return out
