@@ -101,3 +101,14 @@ def test_counts_of_a_scan(spark):
     assert {r.pair_key for r in new.collect()} == whole - {"::".join(k) for k in stored}
     got = counts.get
     assert (got["found"], got["new"], got["existing"]) == (len(whole), len(whole) - len(stored), len(stored)) and got["pairs_analyzed"] > got["found"] and got["uncertain"] > 0
+
+
+def test_entity_candidates_against_all(spark):
+    from veridiff.operators import store
+
+    names = [*SUBJECTS, "User_1", "user 12", "user123", "identity", "idp", "mysql", "db", None]
+    table = spark.createDataFrame([(n,) for n in names], "n string")
+    q, c = table.select(F.col("n").alias("query")), table.select(F.col("n").alias("candidate"))
+    every = q.distinct().join(c.distinct(), F.lit(True)).withColumn("r", T.resolve_entity(F.col("query"), F.col("candidate"))).where("r.is_match AND r.confidence >= 0.7")
+    want = {(r["query"], r.candidate, r.r.confidence, r.r.match_type) for r in every.collect()}
+    assert {(r["query"], r.candidate, r.confidence, r.match_type) for r in store.entity_candidates(q, c).collect()} == want and len(want) > 40

@@ -233,6 +233,23 @@ def _either_order(sa: Column, pa: Column, sb: Column, pb: Column) -> Column:
     return T.match_claims(sa, pa, sb, pb)["matches"] | T.match_claims(sb, pb, sa, pa)["matches"]
 
 
+def near_entities(queries: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(query, candidate) of two tables of names that the entity rules can match: under equal names, forms, alias groups, and runs of letters of a form within another."""
+
+    def laid(df: DataFrame, name: str, asking: bool) -> DataFrame:
+        x = df.select(name).distinct().withColumn("form", T.entity_form(F.col(name)))
+        form, size = F.col("form"), size_class(F.col("form"))
+        short = F.length(form) >= GRAM
+        classes = (lambda *c: F.array(*c)) if asking else (lambda *c: F.array(c[0]))
+        forms = F.array_distinct(F.concat(F.array(form), F.coalesce(F.try_element_at(T.table(_alias_forms()), form), F.array().cast("array<string>")))) if asking else F.array(form)
+        chosen = F.when(short, F.transform(classes(size, size + 1), lambda c: _key("long" if asking else "short", _chosen(form), c))).otherwise(F.array())
+        runs = F.flatten(F.transform(grams(form), lambda g: F.transform(classes(size, size - 1), lambda c: _key("short" if asking else "long", g, c))))
+        same = F.array(_key("name", F.lower(F.trim(F.coalesce(F.col(name), F.lit(""))))))
+        return x.select(name, F.explode(F.array_distinct(F.concat(same, F.transform(forms, lambda f: _key("form", f)), chosen, runs))).alias("key"))
+
+    return laid(queries, "query", True).join(laid(candidates, "candidate", False), "key").select("query", "candidate").distinct()
+
+
 def near_subjects(x: DataFrame, y: DataFrame, least: float = 0.75) -> DataFrame:
     """(x_subject, y_subject) of two tables of distinct subjects whose similarity or entities match; an exact similarity join.
 

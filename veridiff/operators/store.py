@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from .. import schemas
 from ..functions import text as T
+from . import blocking
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -133,14 +134,11 @@ def find_source(sources: DataFrame, name: str) -> DataFrame:
 
 
 def entity_candidates(queries: DataFrame, candidates: DataFrame, least: float = 0.7) -> DataFrame:
-    """(query, candidate, confidence, match_type, rank): of each query the candidates that it matches, best first.
-
-    Queries are a stated set (broadcast by their owner); each candidate is compared with each of them.
-    """
-    r = T.resolve_entity(F.col("query"), F.col("candidate"))
-    met = queries.select("query").crossJoin(candidates.select("candidate")).withColumn("r", r).where(F.col("r.is_match") & (F.col("r.confidence") >= least))
+    """(query, candidate, confidence, match_type, rank): of each query the candidates that it matches, best first. Both are tables of any size; repeated names count once."""
+    met = blocking.near_entities(queries, candidates).withColumn("r", T.resolve_entity(F.col("query"), F.col("candidate")))
     order = Window.partitionBy("query").orderBy(F.desc("r.confidence"), "candidate")
-    return met.select("query", "candidate", "r.confidence", "r.match_type", F.row_number().over(order).alias("rank"))
+    hits = met.where(F.col("r.is_match") & (F.col("r.confidence") >= least))
+    return hits.select("query", "candidate", "r.confidence", "r.match_type", F.row_number().over(order).alias("rank"))
 
 
 def enriched(contradictions: DataFrame, claims: DataFrame, sources: DataFrame) -> DataFrame:
