@@ -64,6 +64,19 @@ BASE_IMAGES = "node python postgres"
 _FROM, _EXPOSE = r"(?i)^FROM\s+(?:--platform=\S+\s+)?([a-zA-Z0-9_./-]+)(?::([a-zA-Z0-9_.-]+))?", r"(?i)^EXPOSE\s+(\d{2,5})"
 _NODE, _RUNNER = r"""(?i)node-version:\s*(?:\[([^\]]+)\]|['"]?([0-9.x]+)['"]?)""", r"(?i)runs-on:\s*([a-zA-Z0-9_.-]+)"
 
+#: Patterns of Markdown, README files, scripts and badges. Fixed values.
+_TABLE_RULE = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$"
+_TABLE_ROW = r"^\s*\|.*\|\s*$"
+_DIRECT = r"^\s*(?:[-*+]|\d+\.)?\s*(?:\*{1,2}|`|__)?([a-zA-Z0-9_\s.-]{2,50}?)(?:\*{1,2}|`|__)?\s*[:=]\s*(?:\*{1,2}|`|__)?([^\r\n#]{1,160}?)(?:\*{1,2}|`|__)?(?:\s+#.*)?$"
+_LICENSE = r"(?i)licensed\s+under\s+the\s+([A-Za-z0-9.\-]+)"
+_SCRIPT_PORT = r"(?i)(?:--port\s+|PORT=)(\d{2,5})"
+_README_NODE = r"(?i)(?:(?:requires?|prerequisites?|built with|runs on)\s+)?node(?:\.js)?\s*(?:version)?\s*[:=~^>=<]*\s*([vV]?\d+(?:\.\d+)*)"
+_README_PORT = r"(?i)(?:default\s+port|(?:runs?|running|listening|server)\s+(?:on\s+)?port|port\s*:)\s*[:=]?\s*(\d{2,5})(?![A-Za-z0-9_])"
+_README_OLD = r"previously|deprecated|former|legacy|dropped\s+support|used\s+to"
+_README_SHOWN = r"for\s+example|e\.g\.|sample|tutorial|docker\s+run"
+_PAGE_DIRECT = r"^\s*[-*•]?\s*(?:\*{1,2}|`|__)?([a-zA-Z0-9_\s.-]{2,50}?)(?:\*{1,2}|`|__)?\s*[:=]\s*(?:\*{1,2}|`|__)?([^\r\n#]{1,160}?)(?:\*{1,2}|`|__)?(?:\s+#.*)?$"
+_BADGE = r"(?i)!\[([^\]]*)\]\((https?://[^\s)]*(?:shields\.io/badge/|github\.com/[^\s)]*/badge\.svg|[a-z0-9_-]+-badge)[^\s)]*)\)"
+
 
 def lines(files: DataFrame, content: str = "content") -> DataFrame:
     """One row per line with its number from 1."""
@@ -249,14 +262,12 @@ def markdown_claims(files: DataFrame) -> DataFrame:
     slug = F.regexp_replace(cell_form(heading), "_(cluster|layer|service|server|component|section)$", "")
     is_heading = F.col("line").rlike(r"^#{2,6}\s+.+$")
     section = F.when(is_heading, F.when(plain, "").otherwise(slug))
-    rule, row = r"^\s*\|?\s*:?-{2,}:?\s*(\|\s*:?-{2,}:?\s*)+\|?\s*$", r"^\s*\|.*\|\s*$"
-    is_rule, is_row = F.col("line").rlike(rule), F.col("line").rlike(row)
+    is_rule, is_row = F.col("line").rlike(_TABLE_RULE), F.col("line").rlike(_TABLE_ROW)
     below = F.lead(F.struct("line_no", "line")).over(order)
     rows = rows.withColumn("section", F.coalesce(F.last(section, ignorenulls=True).over(order), F.lit("")))
-    rows = rows.withColumn("is_header", F.coalesce(is_row & (below["line_no"] == F.col("line_no") + 1) & below["line"].rlike(rule), F.lit(False))).where(~is_heading)
-    direct = r"^\s*(?:[-*+]|\d+\.)?\s*(?:\*{1,2}|`|__)?([a-zA-Z0-9_\s.-]{2,50}?)(?:\*{1,2}|`|__)?\s*[:=]\s*(?:\*{1,2}|`|__)?([^\r\n#]{1,160}?)(?:\*{1,2}|`|__)?(?:\s+#.*)?$"
-    named = F.lower(T.trimmed(F.regexp_extract("line", direct, 1))).isin(LABEL_WORDS.split()) & F.col("line").rlike(direct)
-    rows = rows.withColumn("pair", F.when(~named, _direct(F.col("line"), direct, "", "markdown_pattern")))
+    rows = rows.withColumn("is_header", F.coalesce(is_row & (below["line_no"] == F.col("line_no") + 1) & below["line"].rlike(_TABLE_RULE), F.lit(False))).where(~is_heading)
+    named = F.lower(T.trimmed(F.regexp_extract("line", _DIRECT, 1))).isin(LABEL_WORDS.split()) & F.col("line").rlike(_DIRECT)
+    rows = rows.withColumn("pair", F.when(~named, _direct(F.col("line"), _DIRECT, "", "markdown_pattern")))
     badges = badge_claims(rows)
     cells = F.transform(F.split(F.regexp_replace(T.trimmed("line"), r"^\||\|$", ""), r"\|"), T.trimmed)
     rows = rows.withColumn("cells", F.when(is_row, cells)).withColumn("in_table", is_row & ~is_rule & F.col("pair").isNull() & ~named)
@@ -282,9 +293,8 @@ def markdown_claims(files: DataFrame) -> DataFrame:
 
 
 def license_lines(docs: DataFrame) -> DataFrame:
-    p = r"(?i)licensed\s+under\s+the\s+([A-Za-z0-9.\-]+)"
-    rows = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(p))
-    return rows.select("doc_id", F.regexp_extract("line", p, 1).alias("license"))
+    rows = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).where(F.col("line").rlike(_LICENSE))
+    return rows.select("doc_id", F.regexp_extract("line", _LICENSE, 1).alias("license"))
 
 
 def _row_lines(html: Column) -> Column:
@@ -361,14 +371,13 @@ def workflow_claims(files: DataFrame) -> DataFrame:
 
 def package_claims(files: DataFrame) -> DataFrame:
     """Engines, the listed dependencies and the ports of scripts, with the environment that each speaks of."""
-    port = r"(?i)(?:--port\s+|PORT=)(\d{2,5})"
     part = lambda name: F.from_json(F.get_json_object("content", f"$.{name}"), "map<string,string>")
     claim = lambda k, v, confidence, dev: F.struct(k.alias("predicate"), v.alias("value"), F.lit(confidence).alias("confidence"), F.when(dev, "development").otherwise("production").alias("environment"))
     rows = files.select("path", *(part(n).alias(n) for n in ("engines", "dependencies", "devDependencies", "scripts")))
     each = lambda m, body: F.coalesce(F.transform(F.map_entries(m), lambda e: body(e["key"], e["value"])), F.array())
     engines = each("engines", lambda k, v: claim(F.concat(key_form(k), F.lit("_version")), v, 0.95, F.lit(False)))
     deps = F.array(*(claim(F.lit(p), F.coalesce(F.try_element_at("dependencies", F.lit(n)), F.try_element_at("devDependencies", F.lit(n))), 0.9, F.coalesce(F.map_contains_key("devDependencies", n), F.lit(False))) for n, p in DEPENDENCIES.items()))
-    ports = each("scripts", lambda k, v: claim(F.lit("port"), F.regexp_extract(v, port, 1), 0.85, F.lower(k).rlike("dev|test")))
+    ports = each("scripts", lambda k, v: claim(F.lit("port"), F.regexp_extract(v, _SCRIPT_PORT, 1), 0.85, F.lower(k).rlike("dev|test")))
     rows = rows.select("path", F.lit(None).cast("int").alias("line_no"), F.inline(F.concat(engines, deps, ports)))
     return _claims(rows.where(T.trimmed("value") != ""), F.lit("repository"), F.col("confidence"), "json_parse", "environment")
 
@@ -385,16 +394,14 @@ def readme_claims(files: DataFrame) -> DataFrame:
     """Node version and port of README lines; a line's words tell historical and example statements apart."""
     rows = lines(files)
     low = F.lower("line")
-    old = low.rlike(r"previously|deprecated|former|legacy|dropped\s+support|used\s+to")
-    shown = low.rlike(r"for\s+example|e\.g\.|sample|tutorial|docker\s+run")
+    old = low.rlike(_README_OLD)
+    shown = low.rlike(_README_SHOWN)
     role = F.when(shown, "example").when(old, "historical").otherwise("documentation")
-    node = r"(?i)(?:(?:requires?|prerequisites?|built with|runs on)\s+)?node(?:\.js)?\s*(?:version)?\s*[:=~^>=<]*\s*([vV]?\d+(?:\.\d+)*)"
-    port = r"(?i)(?:default\s+port|(?:runs?|running|listening|server)\s+(?:on\s+)?port|port\s*:)\s*[:=]?\s*(\d{2,5})(?![A-Za-z0-9_])"
-    version = F.regexp_extract("line", node, 1)
-    is_node = F.col("line").rlike(node) & ~F.contains(low, F.lit("npm")) & (version != "0") & ~version.rlike("^(202|199)")
+    version = F.regexp_extract("line", _README_NODE, 1)
+    is_node = F.col("line").rlike(_README_NODE) & ~F.contains(low, F.lit("npm")) & (version != "0") & ~version.rlike("^(202|199)")
     limit = F.when(F.col("line").rlike(r"[><=~^\s*|xX]"), F.substring(T.trimmed("line"), 1, 50))
     claim = lambda k, v, t, c: F.struct(F.lit(k).alias("predicate"), v.alias("value"), F.lit(t).alias("value_type"), c.alias("value_constraint"))
-    found = F.array(F.when(is_node, claim("node_version", version, "version", limit)), F.when(F.col("line").rlike(port), claim("port", F.regexp_extract("line", port, 1), "quantity", F.lit(None).cast("string"))))
+    found = F.array(F.when(is_node, claim("node_version", version, "version", limit)), F.when(F.col("line").rlike(_README_PORT), claim("port", F.regexp_extract("line", _README_PORT, 1), "quantity", F.lit(None).cast("string"))))
     kept = rows.select("path", "line_no", role.alias("source_role"), old.alias("is_historical"), F.substring(T.trimmed("line"), 1, 160).alias("evidence"), F.inline(F.filter(found, lambda x: x.isNotNull())))
     return kept.select("path", "line_no", "predicate", "value", "value_type", F.lit(0.8).alias("confidence"), "source_role", "is_historical", "value_constraint", "evidence")
 
@@ -412,9 +419,8 @@ def page_title(html: Column) -> Column:
 def page_claims(pages: DataFrame) -> DataFrame:
     """Claims of pages (page_id, url, html): ``key: value`` lines, else the first prose rule that a line fits. The title names the subject."""
     rows = html_lines(pages, "url", F.coalesce(F.nullif(T.trimmed(F.regexp_replace(page_title(F.col("html")), r"[^a-zA-Z0-9_\s-]", "")), F.lit("")), F.lit("Website")).alias("subject"))
-    kv = r"^\s*[-*•]?\s*(?:\*{1,2}|`|__)?([a-zA-Z0-9_\s.-]{2,50}?)(?:\*{1,2}|`|__)?\s*[:=]\s*(?:\*{1,2}|`|__)?([^\r\n#]{1,160}?)(?:\*{1,2}|`|__)?(?:\s+#.*)?$"
     prose = _prose(F.col("line"), PAGE_RULES)
-    rows = rows.withColumn("hit", F.coalesce(_direct(F.col("line"), kv, ""), F.when(prose["k"] == "database", F.struct(prose["k"].alias("k"), F.lower(prose["v"]).alias("v"), prose["method"].alias("method"))).otherwise(prose)))
+    rows = rows.withColumn("hit", F.coalesce(_direct(F.col("line"), _PAGE_DIRECT, ""), F.when(prose["k"] == "database", F.struct(prose["k"].alias("k"), F.lower(prose["v"]).alias("v"), prose["method"].alias("method"))).otherwise(prose)))
     rows = rows.where("hit.k <> '' AND hit.v <> ''").select("page_id", "url", "subject", F.col("hit.k").alias("predicate"), F.col("hit.v").alias("value"), F.col("hit.method").alias("extraction_method"), F.col("line").alias("evidence"))
     key = F.concat(F.lit("claim:website:"), F.substring(F.sha2(F.concat_ws(":", "url", "predicate", "value"), 256), 1, 16))
     return rows.select("*", value_type(F.col("predicate"), F.col("value")).alias("value_type"), F.when(F.col("extraction_method") == "prose_heuristic", 0.85).otherwise(0.95).alias("confidence"), key.alias("external_id"))
@@ -445,9 +451,8 @@ def _prose(line: Column, rules: list[tuple[str, str]]) -> Column:
 
 def badge_claims(rows: DataFrame) -> DataFrame:
     """Status badges of Markdown lines (path, line_no, line, section)."""
-    pattern = r"(?i)!\[([^\]]*)\]\((https?://[^\s)]*(?:shields\.io/badge/|github\.com/[^\s)]*/badge\.svg|[a-z0-9_-]+-badge)[^\s)]*)\)"
-    all_of = lambda g: F.regexp_extract_all("line", F.lit(pattern), F.lit(g))
-    rows = rows.where(F.col("line").rlike(pattern)).select("path", "line_no", "line", "section", F.explode(F.arrays_zip(all_of(1).alias("alt"), all_of(2).alias("url"))).alias("b"))
+    all_of = lambda g: F.regexp_extract_all("line", F.lit(_BADGE), F.lit(g))
+    rows = rows.where(F.col("line").rlike(_BADGE)).select("path", "line_no", "line", "section", F.explode(F.arrays_zip(all_of(1).alias("alt"), all_of(2).alias("url"))).alias("b"))
     alt, url = T.trimmed("b.alt"), T.trimmed("b.url")
     shield = F.split(F.try_url_decode(F.regexp_replace(F.regexp_extract(url, r"(?i)shields\.io/badge/([^?#]+)", 1), r"\+", "%2B")), "-")
     is_shield = url.rlike(r"(?i)shields\.io/badge/[^?#]+")
