@@ -15,6 +15,7 @@ from ..operators import store
 from ..operators.index import BlockIndex
 from ..operators.versioned import KeyedTable
 from ..plans import discover
+from .state import without_empty_batches
 
 FOUND = "pair_key string, claim_a_id string, claim_b_id string, contradiction_type string, severity string, confidence double"
 
@@ -98,4 +99,5 @@ def rate_limited(hits: DataFrame, most: int = 60, seconds: int = 60) -> DataFram
         state.update((kept,))
         state.setTimeoutDuration(seconds * 1000)
 
+    without_empty_batches(hits.sparkSession)
     return hits.groupBy("key").applyInPandasWithState(step, "key string, ts timestamp, allowed boolean", "kept array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -61,10 +61,14 @@ class ClaimState(StatefulProcessor):
         pass
 
 
+def without_empty_batches(spark: SparkSession) -> None:
+    """State with a time to live or a time-out asks for batches without rows for ever, so that a run over what is there would not end: such batches are off, what has expired goes with the next rows."""
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+
+
 def keep_state_in_rocksdb(spark: SparkSession) -> None:
-    """State with a time to live asks for batches without rows for ever, so that a run over what is there would not end: such batches are off, what has expired goes with the next rows."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    without_empty_batches(spark)
 
 
 def claim_changes(claims: DataFrame, keep_days: int = 30) -> DataFrame:
