@@ -6,9 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from veridiff import schemas
 from veridiff.operators import store
-from veridiff.plans import discover
 from veridiff.streaming import incremental, runner, state
 
 LOG = "external_id string, id string, value string, observed_at timestamp"
@@ -59,35 +57,6 @@ def test_state_over_batches_and_a_restart(spark, tmp_path):
     assert all(a.value == b.previous for a, b in zip(each, each[1:]))
 
 
-def claims(n, seed=2):
-    rng = random.Random(seed)
-    names = [f.split(" ")[0] for f in schemas.CLAIMS.split(", metadata")[0].split(", ")]
-    out = []
-    for i in range(n):
-        subject, predicate = rng.choice(["gateway", "api-gateway", "billing"]), rng.choice(["port", "http_port", "memory"])
-        row = dict.fromkeys(names) | {"id": f"c{i:03d}", "external_id": f"s{i % 9}:{subject}:{predicate}", "source_id": f"s{i % 9}", "subject": subject, "predicate": predicate, "value": str(rng.choice([80, 81, 443]))}
-        row |= {"value_type": "quantity", "confidence": 1.0, "environment": "production", "scope": "service", "source_role": "documentation", "is_historical": False, "observed_at": datetime(2024, 1, 1) + timedelta(minutes=i)}
-        out.append((*row.values(), None))
-    return out
-
-
-def test_incremental_discovery(spark, tmp_path):
-    rows = claims(60)
-    folder = str(tmp_path / "in")
-    files(spark, folder, rows, schemas.CLAIMS, 2)
-    q = incremental.run(stream(spark, folder, schemas.CLAIMS), str(tmp_path / "store"), str(tmp_path / "checkpoint"), buckets=2)
-    q.awaitTermination()
-    kept = incremental.Store(spark, str(tmp_path / "store"))
-    whole = spark.createDataFrame(rows, schemas.CLAIMS)
-    current = store.upsert_claims(spark.createDataFrame([], schemas.CLAIMS), whole).drop("change", "superseded")
-    assert {(r.external_id, r.id, r.value) for r in kept.claims.read().collect()} == {(r.external_id, r.id, r.value) for r in current.collect()}
-    found = {r.pair_key for r in kept.found.read().collect()}
-    now = {r.pair_key for r in discover.scan_all(current).collect()}
-    assert now <= found and now  # conflicts of values that were replaced later stay stored
-    kept.take_in(whole.where("id >= 'c040'"))  # a batch that is run again
-    assert {r.pair_key for r in kept.found.read().collect()} == found
-
-
 def test_rate_limit(spark, tmp_path):
     start = datetime(2024, 1, 1)
     hits = [("a", start + timedelta(seconds=s)) for s in (0, 1, 2, 3, 11, 12, 13)] + [("b", start)]

@@ -48,13 +48,13 @@ class Store:
             if not fresh.isEmpty():
                 self.index.add(fresh)
                 pairs = self.index.probe(fresh).persist()
-                new = pairs.join(self.found.look_up(pairs.select("pair_key")).select("pair_key"), "pair_key", "left_anti")
-                ids = new.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct()
-                keys = self.index.keys_of(ids)
-                there = self.claims.look_up(keys.select("external_id")).join(fresh.select("external_id"), "external_id", "left_anti")
-                rows = discover.scan_pairs(new, there.unionByName(fresh), trust, least)
-                rows = rows.select("pair_key", F.col("a_id").alias("claim_a_id"), F.col("b_id").alias("claim_b_id"), "contradiction_type", "severity", "confidence")
-                self.found.upsert(rows)
+                new = pairs.join(self.found.look_up(pairs.select("pair_key")).select("pair_key"), "pair_key", "left_anti").persist()
+                if not new.isEmpty():
+                    keys = self.index.keys_of(new.select(F.explode(F.array("a_id", "b_id")).alias("id")).distinct())
+                    there = self.claims.look_up(keys.select("external_id")).join(fresh.select("external_id"), "external_id", "left_anti")
+                    rows = discover.scan_pairs(new, there.unionByName(fresh), trust, least)
+                    self.found.upsert(rows.select("pair_key", F.col("a_id").alias("claim_a_id"), F.col("b_id").alias("claim_b_id"), "contradiction_type", "severity", "confidence"))
+                new.unpersist()
                 pairs.unpersist()
                 self.claims.upsert(fresh)
             touched.unpersist()
