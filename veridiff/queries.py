@@ -147,6 +147,10 @@ def probe_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
 _SIM = """p AS (SELECT x.p_partkey AS a, y.p_partkey AS b, lower(x.p_name) AS s, lower(y.p_name) AS t FROM part x JOIN part y ON x.p_brand = y.p_brand AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey)"""
 
 
+def _part_pairs(spark: SparkSession, sf_dir: str, measures) -> DataFrame:
+    return blocking.text_pairs(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_brand", "p_size"], "p_name", "p_partkey", measures)
+
+
 def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     x, y = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("s"), "p_brand", "p_size"), p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("t"), "p_brand", "p_size")
@@ -183,7 +187,7 @@ _NEAR_WORDS = "list_sum(list_transform(mu, lambda x: len(list_filter(mv, lambda
     SELECT a, b, CASE WHEN s = t THEN 1.0::DOUBLE WHEN s = '' OR t = '' THEN 0.0::DOUBLE WHEN inside THEN greatest(j, e, share) WHEN j >= 0.5 THEN greatest(j, e) ELSE j END AS similarity,
         CASE WHEN m IS NULL THEN 0.0::DOUBLE ELSE {_fixed("m", 3)} END AS semantic FROM r""")
 def composite_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _parts(spark, sf_dir).select("a", "b", T.composite_similarity(F.col("s"), F.col("t")).alias("similarity"), T.semantic_similarity(F.col("s"), F.col("t")).alias("semantic"))
+    return _part_pairs(spark, sf_dir, lambda s, t: (T.composite_similarity(s, t).alias("similarity"), T.semantic_similarity(s, t).alias("semantic")))
 
 
 _SYNONYMS = [w for g in L.PREDICATE_SYNONYMS for w in g.split()]
