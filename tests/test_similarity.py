@@ -20,6 +20,7 @@ def parts(spark, tmp_path, rows):
 
 MEASURES = {
     "composite_similarity": lambda s, t: (T.composite_similarity(s, t), T.semantic_similarity(s, t)),
+    "text_similarity": lambda s, t: (T.token_jaccard(T.normalize_text(s), T.normalize_text(t)), T.edit_similarity(T.normalize_text(s), T.normalize_text(t))),
 }
 
 

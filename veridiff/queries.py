@@ -151,12 +151,6 @@ def _part_pairs(spark: SparkSession, sf_dir: str, measures) -> DataFrame:
     return blocking.text_pairs(spark.read.parquet(f"{sf_dir}/part.parquet"), ["p_brand", "p_size"], "p_name", "p_partkey", measures)
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf_dir}/part.parquet")
-    x, y = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("s"), "p_brand", "p_size"), p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("t"), "p_brand", "p_size")
-    return x.join(y, ["p_brand", "p_size"]).where("a < b")
-
-
 _NORM = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '[_\\-./\\\\:]+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
 
@@ -170,8 +164,11 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT a, b, CASE WHEN s = t THEN 1.0::DOUBLE ELSE len(list_intersect(u, v))::DOUBLE / len(list_distinct(u || v)) END AS jaccard,
         CASE WHEN s = t THEN 1.0::DOUBLE ELSE 1.0::DOUBLE - levenshtein(s, t)::DOUBLE / greatest(length(s), length(t)) END AS edit FROM q""")
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s, t = T.normalize_text(F.col("s")), T.normalize_text(F.col("t"))
-    return _parts(spark, sf_dir).select("a", "b", T.token_jaccard(s, t).alias("jaccard"), T.edit_similarity(s, t).alias("edit"))
+    def measures(s, t):
+        s, t = T.normalize_text(s), T.normalize_text(t)
+        return T.token_jaccard(s, t).alias("jaccard"), T.edit_similarity(s, t).alias("edit")
+
+    return _part_pairs(spark, sf_dir, measures)
 
 
 _MEANING = "list_distinct(list_filter(regexp_split_to_array(regexp_replace(lower({}), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda w: length(w) > 2 AND w NOT IN ('the', 'and', 'for', 'with', 'from')))"
