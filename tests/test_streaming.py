@@ -5,8 +5,11 @@ import time
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from veridiff.operators import store
+from veridiff.report_queries import query  # noqa: F401  registers its queries
+from veridiff.queries import QUERIES
 from veridiff.streaming import incremental, runner, state
 
 LOG = "external_id string, id string, value string, observed_at timestamp"
@@ -57,6 +60,38 @@ def test_state_over_batches_and_a_restart(spark, tmp_path):
     assert all(a.value == b.previous for a, b in zip(each, each[1:]))
 
 
+def test_many_keys_in_few_buckets(spark, tmp_path):
+    """Keys of a bucket are taken in together; rows of one time by id, nulls as values, rows behind the current one late."""
+    t = datetime(2024, 1, 1)
+    first = [("a", "2", None, t), ("a", "1", None, t), ("b", "1", "x", t), ("b", None, "y", t), ("c", "1", "x", datetime(1500, 1, 1))]
+    second = [("a", "0", "z", t), ("a", "2", "x", t), ("a", "3", "x", t), ("b", "2", "x", t), ("c", "2", None, datetime(9000, 1, 1)), ("d", "1", "x", t), ("d", "2", "x", t)]
+    folder, out, checkpoint = (str(tmp_path / x) for x in ("in", "out", "checkpoint"))
+    got = []
+    for rows in (first, second):
+        spark.createDataFrame(rows, LOG).coalesce(1).write.mode("append").parquet(folder)
+        q = state.claim_changes(stream(spark, folder, LOG), buckets=2).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+        got = sorted(tuple(map(str, r)) for r in spark.read.schema(state.CHANGES).parquet(out).select("external_id", "change", "id", "value", "previous", F.date_format("first_seen_at", "yyyy"), "recent_changes").collect())
+    want = [
+        ("a", "created", "1", None, None, "2024", 0), ("a", "seen", "2", None, None, "2024", 0), ("a", "late", "0", "z", None, "2024", 0), ("a", "updated", "2", "x", None, "2024", 1),
+        ("a", "seen", "3", "x", "x", "2024", 1), ("b", "created", None, "y", None, "2024", 0), ("b", "updated", "1", "x", "y", "2024", 1), ("b", "seen", "2", "x", "x", "2024", 1),
+        ("c", "created", "1", "x", None, "1500", 0), ("c", "updated", "2", None, "x", "1500", 1), ("d", "created", "1", "x", None, "2024", 0), ("d", "seen", "2", "x", "x", "2024", 0),
+    ]
+    assert got == sorted(tuple(map(str, r)) for r in want)
+
+
+@pytest.mark.parametrize("name", ["stream_changes", "stream_current"])
+def test_stream_of_many_keys(spark, tmp_path, name):
+    """20,000 keys in four micro-batches: no call to the state for each key and row."""
+    events = spark.range(80_000).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(1_700_000_000 + F.col("id")).cast("timestamp_ntz").alias("ts"), (F.col("id") % 20_000).alias("user_id"), F.lit("view").alias("event_type"), (F.col("id") % 7).cast("double").alias("value"),
+    )
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    start = time.time()
+    n = QUERIES[name](spark, str(tmp_path)).count()
+    assert n == {"stream_changes": 80_000, "stream_current": 20_000}[name] and time.time() - start < 45
+
+
 def test_rate_limit(spark, tmp_path):
     start = datetime(2024, 1, 1)
     hits = [("a", start + timedelta(seconds=s)) for s in (0, 1, 2, 3, 11, 12, 13)] + [("b", start)]
